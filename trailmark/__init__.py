@@ -1,0 +1,42 @@
+"""Session-path and funnel analytics on Spark DataFrames."""
+
+from trailmark.errors import RowLimitError, SessionDataError
+from trailmark.operators.edges import edge_counts
+from trailmark.operators.flows import (
+    flow_links,
+    flow_nodes,
+    heatmap_cells,
+    transition_matrix,
+    transition_matrix_wide,
+    transition_pairs,
+)
+from trailmark.operators.funnels import funnel, funnel_auto, funnel_preset, funnel_report
+from trailmark.operators.metrics import (
+    entry_events,
+    event_frequencies,
+    exit_events,
+    session_kpis,
+    top_paths,
+)
+from trailmark.operators.search import match_sessions, search_sessions, session_journeys
+from trailmark.operators.sql import sql_on_data
+from trailmark.plans.reports import analyze_report, insights_report, run_all, session_report
+from trailmark.session import build_session
+from trailmark.sources.adapters import (
+    conversation_paths,
+    keyed_paths,
+    order_paths,
+    sessionize_events,
+)
+from trailmark.sources.columns import as_sessions, map_columns, validate_schema
+from trailmark.sources.convert import (
+    convert_dataset,
+    convert_if_stale,
+    inspect_dataset,
+    is_fresh,
+)
+from trailmark.sources.delimiter import delimiter_of, detect_delimiter
+from trailmark.sources.readers import read_csv, read_parquet, read_sessions
+from trailmark.sources.synthetic import generate_sessions, walk_sessions
+
+__all__ = [name for name in dir() if not name.startswith("_")]

@@ -59,13 +59,13 @@ def match_flags(
             lambda begun: F.transform(
                 v,
                 lambda step, i: by_event(step)
-                | F.exists(
+                | F.array_contains(
                     F.slice(
                         begun,
                         F.greatest(i - (k - 1), F.lit(0)) + 1,
                         F.least(i + 1, F.lit(k)),
                     ),
-                    lambda hit: hit,
+                    True,
                 ),
             ),
         )
@@ -73,47 +73,37 @@ def match_flags(
     return let(steps, flags)
 
 
-def match_positions(
-    steps: Column,
-    event: str | None = None,
-    subpath: str | None = None,
-    delimiter: str = DEFAULT_DELIMITER,
-) -> Column:
-    """Zero-based positions of the matching steps, ascending."""
-    return F.array_compact(
-        F.transform(
-            match_flags(steps, event, subpath, delimiter), lambda hit, i: F.when(hit, i)
-        )
-    )
+def match_positions(flags: Column) -> Column:
+    """Zero-based positions of the matching steps, ascending, from ``match_flags``."""
+    return F.array_compact(F.transform(flags, lambda hit, i: F.when(hit, i)))
 
 
-def compress_journey(
-    steps: Column,
-    event: str | None = None,
-    subpath: str | None = None,
-    delimiter: str = DEFAULT_DELIMITER,
-) -> Column:
-    """Adjacent equal steps as ``array<struct<name, count, matched>>``."""
+def compress_journey(steps: Column, flags: Column) -> Column:
+    """Adjacent equal steps as ``array<struct<name, count, matched>>``.
 
-    def groups(v: Column) -> Column:
-        flags = match_flags(v, event, subpath, delimiter)
-        begins = F.array_compact(
+    A group is matched when any of its steps is. ``flags`` come from ``match_flags``.
+    """
+
+    def group_starts(v: Column) -> Column:
+        return F.array_compact(
             F.transform(v, lambda s, i: F.when((i == 0) | (s != F.get(v, i - 1)), i))
         )
-        return let(flags, lambda hit: let(begins, lambda begin: build(v, hit, begin)))
 
-    def build(v: Column, hit: Column, begin: Column) -> Column:
+    def groups(v: Column, hit: Column, start: Column) -> Column:
         def group(at: Column, j: Column) -> Column:
-            length = F.coalesce(F.get(begin, j + 1), F.size(v)) - at
+            length = F.coalesce(F.get(start, j + 1), F.size(v)) - at
             return F.struct(
                 F.get(v, at).alias("name"),
                 length.alias("count"),
-                F.exists(F.slice(hit, at + 1, length), lambda h: h).alias("matched"),
+                F.array_contains(F.slice(hit, at + 1, length), True).alias("matched"),
             )
 
-        return F.transform(begin, group)
+        return F.transform(start, group)
 
-    return let(steps, groups)
+    return let(
+        steps,
+        lambda v: let(flags, lambda hit: let(group_starts(v), lambda at: groups(v, hit, at))),
+    )
 
 
 def preview_groups(groups: Column, shown: int = PREVIEW_GROUPS) -> Column:

@@ -64,42 +64,33 @@ def _top_event_names(edges: DataFrame, top_n: int) -> DataFrame:
     return top.agg(ranked.getField("event").alias("names"))
 
 
-def transition_matrix(
-    sessions: DataFrame,
-    *,
-    delimiter: str = DEFAULT_DELIMITER,
-    top_n: int = 8,
-    dedupe: str | None = "none",
-) -> DataFrame:
-    """All cells among the ``top_n`` most frequent events, 0 where no transition occurs.
-
-    Columns (source_event, target_event, transition_count, source_rank, target_rank). Blank
-    events are removed before dedupe and pairing. Ranks are by count, then by name.
+def matrix_from_edges(edges: DataFrame, top_n: int) -> DataFrame:
+    """The matrix out of ``edge_counts`` rows.
 
-    The input is scanned and shuffled once: the top events and the cells both come from the
-    edge counts. The list of names, bounded by ``top_n``, is a scalar subquery.
+    Top events and cells read one aggregate, whose exchange Spark runs once. The list of names,
+    bounded by ``top_n``, is a scalar subquery.
     """
-    edges = edge_counts(sessions, delimiter, dedupe, drop_blanks=True)
     names = _top_event_names(edges, top_n)
 
     def rank(event: str) -> Column:
         return F.coalesce(F.array_position(names.scalar(), F.col(event)), F.lit(0)).cast("int")
 
-    # Edges outside the top events gather under rank 0, at most (top_n + 1)^2 rows in all.
+    # Edges outside the top events gather under rank 0: at most (top_n + 1)^2 rows in all. A
+    # filter here would be pushed below the aggregate and make it a second scan.
     cells = (
         edges.select(rank("previous").alias("source_rank"), rank("event").alias("target_rank"), "n")
         .groupBy("source_rank", "target_rank")
         .agg(F.sum("n").alias("n"))
     )
     grid = (
-        names.select("names", F.posexplode("names").alias("source_rank", "source_event"))
+        names.select("names", F.posexplode("names").alias("row", "source_event"))
+        .select("row", "source_event", F.posexplode("names").alias("column", "target_event"))
         .select(
-            "source_rank",
             "source_event",
-            F.posexplode("names").alias("target_rank", "target_event"),
+            "target_event",
+            (F.col("row") + 1).alias("source_rank"),
+            (F.col("column") + 1).alias("target_rank"),
         )
-        .withColumn("source_rank", F.col("source_rank") + 1)
-        .withColumn("target_rank", F.col("target_rank") + 1)
     )
     return (
         grid.join(F.broadcast(cells), ["source_rank", "target_rank"], "left")
@@ -114,6 +105,21 @@ def transition_matrix(
     )
 
 
+def transition_matrix(
+    sessions: DataFrame,
+    *,
+    delimiter: str = DEFAULT_DELIMITER,
+    top_n: int = 8,
+    dedupe: str | None = "none",
+) -> DataFrame:
+    """All cells among the ``top_n`` most frequent events, 0 where no transition occurs.
+
+    Columns (source_event, target_event, transition_count, source_rank, target_rank). Blank
+    events are removed before dedupe and pairing. Ranks are by count, then by name.
+    """
+    return matrix_from_edges(edge_counts(sessions, delimiter, dedupe, drop_blanks=True), top_n)
+
+
 def transition_matrix_wide(
     sessions: DataFrame,
     *,
@@ -128,7 +134,7 @@ def transition_matrix_wide(
     """
     edges = edge_counts(sessions, delimiter, dedupe, drop_blanks=True)
     names = _top_event_names(edges, top_n).head()["names"]
-    matrix = transition_matrix(sessions, delimiter=delimiter, top_n=top_n, dedupe=dedupe)
+    matrix = matrix_from_edges(edges, top_n)
     if not names:
         return matrix.select("source_event").limit(0)
     return (

@@ -132,7 +132,7 @@ def funnel(
     return _step_rows(counted, names)
 
 
-def _frequent_events(
+def frequent_events(
     sessions: DataFrame, delimiter: str, top_n: int, dedupe: str | None
 ) -> list[str]:
     """Names of the most frequent events; at most ``top_n`` rows reach the driver."""
@@ -149,7 +149,7 @@ def funnel_auto(
 ) -> DataFrame:
     """Reach funnel over the most frequent events, at most eight of them."""
     size = min(check_top_n(top_n), MAX_AUTO_STEPS)
-    steps = _frequent_events(sessions, delimiter, size, dedupe)
+    steps = frequent_events(sessions, delimiter, size, dedupe)
     return funnel(sessions, steps, delimiter=delimiter, sequential=False, dedupe=dedupe)
 
 
@@ -163,7 +163,7 @@ def preset_steps(
     """Steps of a preset: its named events that are among the frequent ones, in its order."""
     if preset not in PRESET_FALLBACK:
         raise ValueError(f"Unknown funnel preset: {preset}. Use {', '.join(PRESET_FALLBACK)}.")
-    frequent = _frequent_events(sessions, delimiter, PRESET_EVENT_POOL, dedupe)
+    frequent = frequent_events(sessions, delimiter, PRESET_EVENT_POOL, dedupe)
     named = [step for step in PRESET_STEPS.get(preset, ()) if step in frequent]
     return named or frequent[: PRESET_FALLBACK[preset]]
 

@@ -77,15 +77,21 @@ def session_journeys(
 
     Columns (SESSION, TOTAL_EVENTS, match_positions, groups, preview, hidden_groups).
     """
-    steps = journeys.journey_steps(F.col("EVENT_PATH"), delimiter)
-    marked = sessions.select("SESSION", "TOTAL_EVENTS", steps.alias("steps")).select(
+    marked = (
+        sessions.select(
+            "SESSION",
+            "TOTAL_EVENTS",
+            journeys.journey_steps(F.col("EVENT_PATH"), delimiter).alias("steps"),
+        )
+        .withColumn("flags", journeys.match_flags(F.col("steps"), event, subpath, delimiter))
+        .withColumn("groups", journeys.compress_journey(F.col("steps"), F.col("flags")))
+        .withColumn("preview", journeys.preview_groups(F.col("groups")))
+    )
+    return marked.select(
         "SESSION",
         "TOTAL_EVENTS",
-        journeys.match_positions(F.col("steps"), event, subpath, delimiter).alias(
-            "match_positions"
-        ),
-        journeys.compress_journey(F.col("steps"), event, subpath, delimiter).alias("groups"),
-    )
-    return marked.withColumn("preview", journeys.preview_groups(F.col("groups"))).withColumn(
-        "hidden_groups", journeys.hidden_group_count(F.col("groups"), F.col("preview"))
+        journeys.match_positions(F.col("flags")).alias("match_positions"),
+        "groups",
+        "preview",
+        journeys.hidden_group_count(F.col("groups"), F.col("preview")).alias("hidden_groups"),
     )

@@ -26,7 +26,7 @@ def _path_bytes(event: str, delimiter: str) -> Column:
 
 def _within_limit(value: Column, size: Column, max_record: int) -> Column:
     message = f"A session path exceeds the record limit of {max_record} bytes"
-    return F.when(size.isNull() | (size <= max_record), value).otherwise(
+    return F.when(F.coalesce(size, F.lit(0)) <= max_record, value).otherwise(
         F.raise_error(F.lit(message))
     )
 

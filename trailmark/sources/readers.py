@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from trailmark.errors import SessionDataError
 from trailmark.sources.columns import as_sessions, map_columns
@@ -99,9 +98,7 @@ def read_csv(
         _quoted(depth).isNotNull()
     ).head(1):
         kinds[depth] = "bigint"  # no value at all, for example an export without rows
-    schema = T.StructType(
-        [T.StructField(h, T._parse_datatype_string(kinds[h])) for h in headers]
-    )
+    schema = ", ".join(f"`{h.replace('`', '``')}` {kinds[h]}" for h in headers)
     return as_sessions(reader.schema(schema).option("enforceSchema", False).csv(path))
 
 

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailmark.functions.tokens import let
+
 # Event names, start events, follow-up events and length weights (1..8) of the walk.
 SHOP_EVENTS = (
     "Home", "Search", "Product_View", "Add_To_Cart", "Checkout",
@@ -37,13 +39,18 @@ def _names(values: Sequence[str]) -> Column:
 
 def walk_sessions(ids: DataFrame, id_column: str = "id", seed: int = 42) -> DataFrame:
     """One session per row of ``ids``: (SESSION, EVENT_PATH, TOTAL_EVENTS)."""
-    key = F.concat(F.lit(f"{seed}:"), F.col(id_column).cast("string"))
-    digits = F.concat(F.md5(F.concat(key, F.lit(":a"))), F.md5(F.concat(key, F.lit(":b"))))
-    draws = F.transform(
-        F.sequence(F.lit(0), F.lit(len(LENGTH_WEIGHTS))),
-        lambda i: F.conv(
-            F.substring(F.col("digits"), i * _HEX_PER_DRAW + 1, F.lit(_HEX_PER_DRAW)), 16, 10
-        ).cast("bigint"),
+    key = F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))
+    digest = F.concat(F.md5(F.concat(key, F.lit(":a"))), F.md5(F.concat(key, F.lit(":b"))))
+    draws = let(
+        digest,
+        lambda digits: F.array(
+            *[
+                F.conv(F.substring(digits, 1 + _HEX_PER_DRAW * k, _HEX_PER_DRAW), 16, 10).cast(
+                    "bigint"
+                )
+                for k in range(len(LENGTH_WEIGHTS) + 1)
+            ]
+        ),
     )
 
     # Draw 0 picks the length by weight, draw 1 the start, the others the following events.
@@ -60,15 +67,16 @@ def walk_sessions(ids: DataFrame, id_column: str = "id", seed: int = 42) -> Data
         options = F.coalesce(
             F.try_element_at(follow_ups, F.element_at(path, -1)), _names(SHOP_EVENTS)
         )
-        return F.concat(path, F.array(F.get(options, (draw % F.size(options)).cast("int"))))
+        follower = let(options, lambda o: F.get(o, (draw % F.size(o)).cast("int")))
+        return F.concat(path, F.array(follower))
 
     start = F.get(_names(START_EVENTS), (F.get("draws", F.lit(1)) % len(START_EVENTS)).cast("int"))
     path = F.aggregate(F.slice("draws", F.lit(3), F.col("length") - 1), F.array(start), step)
 
     return (
-        ids.select(F.col(id_column).alias("id"), digits.alias("digits"))
-        .select("id", "digits", draws.alias("draws"))
-        .select("id", "digits", "draws", length.cast("int").alias("length"))
+        ids.select(F.col(id_column).alias("id"))
+        .select("id", draws.alias("draws"))
+        .select("id", "draws", length.cast("int").alias("length"))
         .select(
             F.concat(F.lit("SESS_"), _session_code(F.col("id"))).alias("SESSION"),
             F.array_join(path, "->").alias("EVENT_PATH"),
@@ -77,16 +85,19 @@ def walk_sessions(ids: DataFrame, id_column: str = "id", seed: int = 42) -> Data
     )
 
 
+# An odd multiplier, which is one-to-one modulo a power of two, and half the code.
+_MULTIPLIER, _HALF_BITS = 0x5DEECE66D, 24
+
+
 def _session_code(row_id: Column) -> Column:
     """Twelve hex digits, distinct for distinct ids below 2^48.
 
-    Multiplying by an odd number modulo 2^48 is one-to-one; the product is taken in two halves
-    so that it stays within a bigint.
+    The product modulo 2^48 is taken in two halves so that it stays within a bigint.
     """
-    multiplier, half = 0x5DEECE66D, 1 << 24
-    low = row_id % half
-    high = F.floor(row_id / half).cast("bigint") % half
-    mixed = (low * multiplier + ((high * multiplier) % half) * half) % (1 << 48)
+    half = 1 << _HALF_BITS
+    low = row_id.bitwiseAND(half - 1)
+    high = F.shiftright(row_id, _HALF_BITS).bitwiseAND(half - 1)
+    mixed = (low * _MULTIPLIER + ((high * _MULTIPLIER) % half) * half) % (half * half)
     return F.lpad(F.hex(mixed), 12, "0")
 
 

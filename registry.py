@@ -43,7 +43,7 @@ def untidy_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths, and missing, zero and too small depths."""
     path = F.replace(F.col("EVENT_PATH"), F.lit("error"), F.lit(""))
     path = F.replace(path, F.lit("signup"), F.lit(" signup  "))
-    path = F.replace(path, F.lit("purchase"), F.lit("　buy now "))
+    path = F.replace(path, F.lit("purchase"), F.lit("\u3000buy now\u00a0"))
     return event_sessions(spark, sf_dir).select(
         "SESSION",
         F.nullif(path, F.lit("click")).alias("EVENT_PATH"),
@@ -261,7 +261,7 @@ def build() -> dict[str, Query]:
         # funnels
         "funnel_reach": _on(event_sessions, tm.funnel, FUNNEL_STEPS, sequential=False),
         "funnel_reach_untidy": _on(
-            untidy_sessions, tm.funnel, ["click", "buy now", "signup"], sequential=False
+            untidy_sessions, tm.funnel, ["click", "buy now", "signup"], sequential=False
         ),
         "funnel_auto_topn": _on(event_sessions, tm.funnel_auto),
         "funnel_preset_top": _on(event_sessions, tm.funnel_preset, "top"),
@@ -338,7 +338,7 @@ def build() -> dict[str, Query]:
             ),
             f"funnel_repeat_{mode}": _on(event_sessions, tm.funnel, REPEAT_STEPS, dedupe=mode),
             f"funnel_untidy_{mode}": _on(
-                untidy_sessions, tm.funnel, ["signup", "buy now", "click"], dedupe=mode
+                untidy_sessions, tm.funnel, ["signup", "buy now", "click"], dedupe=mode
             ),
         }
     for name, mark in (("comma", ","), ("pipe", "|"), ("spaced", " / "), ("dashes", "--")):

@@ -7,7 +7,6 @@ import uuid
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,27 +24,35 @@ class FileFacts:
         return round(self.size_bytes / 1024**2, 2)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(path, file system) of a location, for the few steps Spark's API has no call for."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return location, location.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    location, files = _hadoop(spark, path)
+    return bool(files.globStatus(location))
+
+
 def file_facts(spark: SparkSession, path: str) -> FileFacts | None:
     """Number, size and latest change of the files under ``path``; None when there are none.
 
     Only the listing is read: the content column is never selected.
     """
-    try:
-        files = (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", True)
-            .load(path)
-            .select("length", "modificationTime")
-        )
-        row = files.agg(
-            F.count(F.lit(1)).alias("files"),
-            F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes"),
-            F.max("modificationTime").alias("newest"),
-        ).head()
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    if not path_exists(spark, path):
+        return None
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .load(path)
+        .select("length", "modificationTime")
+    )
+    row = files.agg(
+        F.count(F.lit(1)).alias("files"),
+        F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes"),
+        F.max("modificationTime").alias("newest"),
+    ).head()
     return FileFacts(row["files"], row["size_bytes"], row["newest"]) if row["files"] else None
 
 
@@ -68,12 +75,11 @@ def publish_parquet(table: DataFrame, path: str, options: dict[str, str | int])
     A failed write leaves what was at ``path`` before, and nothing of its own.
     """
     spark = table.sparkSession
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
-    target = jvm_path(path)
-    partial = jvm_path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}.partial")
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    target, files = _hadoop(spark, path)
+    beside = f"{target.getParent().toString()}/.{target.getName()}.{uuid.uuid4().hex}.partial"
+    partial, _ = _hadoop(spark, beside)
     try:
-        table.write.options(**options).parquet(partial.toString())
+        table.write.options(**options).parquet(beside)
         if files.exists(target):
             files.delete(target, True)
         if not files.rename(partial, target):

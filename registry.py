@@ -5,6 +5,8 @@ Sessions are built from the whole ``events`` (or ``conversations`` or ``orders``
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 import trailmark as tm
 from trailmark.functions import journeys, tokens
 from trailmark.plans.reports import Report
-from trailmark.sources.storage import scratch_path
+from trailmark.sources.storage import scratch_path, stored_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,18 +28,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def event_sessions(spark: SparkSession, sf_dir: str, delimiter: str = "->") -> DataFrame:
+def sessionize_events(spark: SparkSession, sf_dir: str, delimiter: str = "->") -> DataFrame:
     return tm.sessionize_events(table(spark, sf_dir, "events"), delimiter=delimiter)
 
 
-def talk_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def conversation_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tm.conversation_paths(table(spark, sf_dir, "conversations"))
 
 
-def order_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tm.order_paths(table(spark, sf_dir, "orders"))
 
 
+def generate_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tm.walk_sessions(table(spark, sf_dir, "events"), "event_id")
+
+
+def _stored(name: str, build: Query) -> Query:
+    """Session tables are prepared once and then analysed, like a converted export."""
+
+    def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+        place = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
+        return stored_once(spark, f"{name}-{place}", lambda: build(spark, sf_dir))
+
+    return sessions
+
+
+event_sessions = _stored("events", sessionize_events)
+talk_sessions = _stored("conversations", conversation_paths)
+order_sessions = _stored("orders", order_paths)
+walk_sessions = _stored("walks", generate_sessions)
+
+
+def delimited_sessions(name: str, delimiter: str) -> Query:
+    return _stored(
+        f"events_{name}", lambda spark, sf_dir: sessionize_events(spark, sf_dir, delimiter)
+    )
+
+
 def untidy_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event sessions with what real exports contain: blank and padded events, missing
     paths, and missing, zero and too small depths."""
@@ -138,10 +166,6 @@ def inspect_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _schema_rows(spark.read.parquet(path), dict(found.columns))
 
 
-def generate_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tm.walk_sessions(table(spark, sf_dir, "events"), "event_id")
-
-
 # Journeys -----------------------------------------------------------------------------------
 
 _JOURNEY = {"event": "view", "subpath": "click->purchase"}
@@ -218,14 +242,14 @@ def build() -> dict[str, Query]:
         "convert_dataset": convert_dataset,
         "inspect_dataset": inspect_dataset,
         "detect_delimiter": _on(event_sessions, tm.delimiter_of, sample_paths=None),
-        "detect_delimiter_comma": lambda spark, sf_dir: tm.delimiter_of(
-            event_sessions(spark, sf_dir, delimiter=","), sample_paths=None
+        "detect_delimiter_comma": _on(
+            delimited_sessions("comma", ","), tm.delimiter_of, sample_paths=None
         ),
         "generate_sessions": generate_sessions,
         # input adapters
-        "sessionize_events": event_sessions,
-        "conversation_paths": talk_sessions,
-        "order_paths": order_sessions,
+        "sessionize_events": sessionize_events,
+        "conversation_paths": conversation_paths,
+        "order_paths": order_paths,
         # path arrays
         "tokenize_path": _events(),
         "tokenize_path_untidy": _events(source=untidy_sessions),
@@ -265,11 +289,9 @@ def build() -> dict[str, Query]:
         ),
         "funnel_auto_topn": _on(event_sessions, tm.funnel_auto),
         "funnel_preset_top": _on(event_sessions, tm.funnel_preset, "top"),
-        "funnel_preset_checkout": _on(
-            generate_sessions, tm.funnel_preset, "checkout"
-        ),
+        "funnel_preset_checkout": _on(walk_sessions, tm.funnel_preset, "checkout"),
         "funnel_preset_checkout_fallback": _on(event_sessions, tm.funnel_preset, "checkout"),
-        "funnel_preset_search": _on(generate_sessions, tm.funnel_preset, "search"),
+        "funnel_preset_search": _on(walk_sessions, tm.funnel_preset, "search"),
         "funnel_preset_search_fallback": _on(event_sessions, tm.funnel_preset, "search"),
         "funnel_report": funnel_report,
         "order_funnel": _on(order_sessions, tm.funnel, ORDER_STEPS),
@@ -315,12 +337,12 @@ def build() -> dict[str, Query]:
             ),
             f"order_frequencies_{mode}": _on(order_sessions, tm.event_frequencies, dedupe=mode),
             f"generated_frequencies_{mode}": _on(
-                generate_sessions, tm.event_frequencies, dedupe=mode
+                walk_sessions, tm.event_frequencies, dedupe=mode
             ),
             f"top_paths_{mode}": _on(event_sessions, tm.top_paths, dedupe=mode),
             f"top_paths_untidy_{mode}": _on(untidy_sessions, tm.top_paths, dedupe=mode),
             f"generated_top_paths_{mode}": _on(
-                generate_sessions, tm.top_paths, dedupe=mode, min_events=2
+                walk_sessions, tm.top_paths, dedupe=mode, min_events=2
             ),
             f"transition_pairs_{mode}": _on(event_sessions, tm.transition_pairs, dedupe=mode),
             f"transition_pairs_untidy_{mode}": _on(
@@ -342,9 +364,10 @@ def build() -> dict[str, Query]:
             ),
         }
     for name, mark in (("comma", ","), ("pipe", "|"), ("spaced", " / "), ("dashes", "--")):
-        found[f"transition_pairs_{name}"] = (
-            lambda spark, sf_dir, mark=mark: tm.transition_pairs(
-                event_sessions(spark, sf_dir, delimiter=mark), delimiter=mark, dedupe="consecutive"
-            )
+        found[f"transition_pairs_{name}"] = _on(
+            delimited_sessions(name, mark),
+            tm.transition_pairs,
+            delimiter=mark,
+            dedupe="consecutive",
         )
     return found

@@ -31,13 +31,10 @@ def _within_limit(value: Column, size: Column, max_record: int) -> Column:
     )
 
 
-def _as_session(session: Column, steps: Column, event: str, delimiter: str) -> list[Column]:
-    path = F.array_join(F.sort_array(steps).getField(event), delimiter)
-    return [
-        session.alias("SESSION"),
-        path.alias("EVENT_PATH"),
-        F.col("TOTAL_EVENTS"),
-    ]
+def _joined(steps: Column, part: str, named: Column, delimiter: str) -> Column:
+    """The collected parts in order, as text; NULL when none of them is named."""
+    text = F.array_join(F.sort_array(steps).getField(part), delimiter)
+    return F.when(named > 0, text)
 
 
 def sessionize_events(
@@ -61,44 +58,69 @@ def sessionize_events(
     check_delimiter(delimiter)
     check_max_record(max_record)
     gap = f"{gap_seconds} seconds"
-    columns = dict.fromkeys([user, timestamp, tie_break, event])
-    slotted = events.select(*columns).withColumn(
-        "slot", F.window(F.col(timestamp), gap).getField("start")
+    # Plain, never-NULL keys: the join and the first grouping then share one partitioning.
+    slotted = events.select(
+        F.coalesce(F.col(user).cast("string"), F.lit("")).alias("who"),
+        F.col(user).isNull().alias("nobody"),
+        F.window(F.col(timestamp), gap).getField("start").alias("slot"),
+        F.col(timestamp).alias("ts"),
+        F.col(tie_break).alias("tie"),
+        F.col(event).alias("event"),
     )
-    slots = slotted.groupBy(F.col(user).alias("slot_user"), "slot").agg(
-        F.min(timestamp).alias("first_ts"),
-        F.max(timestamp).alias("last_ts"),
-        _path_bytes(event, delimiter).alias("bytes"),
+    slots = slotted.groupBy("who", "nobody", "slot").agg(
+        F.min("ts").alias("first_ts"),
+        F.max("ts").alias("last_ts"),
+        _path_bytes("event", delimiter).alias("bytes"),
     )
-    by_time = Window.partitionBy("slot_user").orderBy("slot")
+    by_time = Window.partitionBy("who", "nobody").orderBy("slot")
     previous = F.lag("last_ts").over(by_time)
     opens = F.when(F.col("first_ts") <= previous + F.expr(f"INTERVAL {gap}"), 0).otherwise(1)
-    session_window = Window.partitionBy("slot_user", "session_no")
+    one_session = Window.partitionBy("who", "nobody", "session_no")
     numbered = (
         slots.withColumn("opens", opens)
         .withColumn("session_no", F.sum("opens").over(by_time))
-        .withColumn("path_bytes", F.sum("bytes").over(session_window))
+        .withColumn("path_bytes", F.sum("bytes").over(one_session))
         .select(
-            "slot_user",
-            F.col("slot").alias("slot_start"),
+            "who",
+            "nobody",
+            "slot",
             _within_limit(F.col("session_no"), F.col("path_bytes"), max_record).alias(
                 "session_no"
             ),
         )
     )
-    same_slot = F.col(user).eqNullSafe(F.col("slot_user")) & (
-        F.col("slot") == F.col("slot_start")
-    )
-    collected = (
-        slotted.join(numbered, same_slot)
-        .groupBy(user, "session_no")
+    # Events become one piece of path per slot before sessions are put together, so that the
+    # second shuffle and the final rows carry text, not events.
+    pieces = (
+        slotted.join(numbered, ["who", "nobody", "slot"])
+        .groupBy("who", "nobody", "slot", "session_no")
         .agg(
-            F.collect_list(F.struct(timestamp, tie_break, event)).alias("steps"),
-            F.count(F.lit(1)).alias("TOTAL_EVENTS"),
+            F.collect_list(F.struct("ts", "tie", "event")).alias("steps"),
+            F.count("event").alias("named"),
+            F.count(F.lit(1)).alias("n"),
+        )
+        .select(
+            "who",
+            "nobody",
+            "session_no",
+            "named",
+            "n",
+            "slot",
+            _joined(F.col("steps"), "event", F.col("named"), delimiter).alias("piece"),
         )
     )
-    session = F.concat(F.col(user).cast("string"), F.lit("_"), F.col("session_no").cast("string"))
-    return collected.select(_as_session(session, F.col("steps"), event, delimiter))
+    whole = pieces.groupBy("who", "nobody", "session_no").agg(
+        F.collect_list(F.struct("slot", "piece")).alias("pieces"),
+        F.sum("named").alias("named"),
+        F.sum("n").alias("TOTAL_EVENTS"),
+    )
+    return whole.select(
+        F.concat(
+            F.when(~F.col("nobody"), F.col("who")), F.lit("_"), F.col("session_no").cast("string")
+        ).alias("SESSION"),
+        _joined(F.col("pieces"), "piece", F.col("named"), delimiter).alias("EVENT_PATH"),
+        "TOTAL_EVENTS",
+    )
 
 
 def keyed_paths(
@@ -113,8 +135,7 @@ def keyed_paths(
     """One session per ``key``: its rows in order, as a path of ``event``."""
     check_delimiter(delimiter)
     check_max_record(max_record)
-    columns = dict.fromkeys([key, *order_by, event])
-    steps = rows.select(*columns)
+    steps = rows.select(*dict.fromkeys([key, *order_by, event]))
     longest = (
         steps.groupBy(key)
         .agg(_path_bytes(event, delimiter).alias("bytes"))
@@ -126,11 +147,15 @@ def keyed_paths(
         .groupBy(key)
         .agg(
             F.collect_list(F.struct(*dict.fromkeys([*order_by, event]))).alias("steps"),
+            F.count(event).alias("named"),
             F.count(F.lit(1)).alias("TOTAL_EVENTS"),
         )
     )
-    session = F.col(key).cast("string")
-    return collected.select(_as_session(session, F.col("steps"), event, delimiter))
+    return collected.select(
+        F.col(key).cast("string").alias("SESSION"),
+        _joined(F.col("steps"), event, F.col("named"), delimiter).alias("EVENT_PATH"),
+        "TOTAL_EVENTS",
+    )
 
 
 def conversation_paths(conversations: DataFrame, **options) -> DataFrame:

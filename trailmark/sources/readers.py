@@ -21,7 +21,8 @@ _TYPE_PATTERNS = (
     ("bigint", r"^[+-]?[0-9]{1,18}$"),
     ("double", r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,3})?$"),
     ("boolean", r"^(?i:true|false)$"),
-    ("date", r"^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])$"),
+    ("date", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"),
+    ("timestamp_ntz", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?$"),
 )
 
 
@@ -50,9 +51,9 @@ def _sampled_types(rows: DataFrame, columns: list[str], sample_rows: int) -> dic
         for kind, pattern in _TYPE_PATTERNS:
             value = _quoted(name)
             ok = value.rlike(pattern)
-            if kind == "date":
-                ok = ok & value.try_cast("date").isNotNull()
-            fits.append(F.bool_and(ok).alias(f"{kind}_{i}"))
+            if kind in ("date", "timestamp_ntz"):
+                ok = ok & value.try_cast(kind).isNotNull()
+            fits.append(F.bool_and(F.when(value.isNotNull(), ok)).alias(f"{kind}_{i}"))
     seen = rows.select(*[_quoted(c) for c in columns]).limit(sample_rows).agg(*fits).head()
     return {
         name: next((kind for kind, _ in _TYPE_PATTERNS if seen[f"{kind}_{i}"]), "string")

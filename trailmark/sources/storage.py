@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -56,8 +57,8 @@ def file_facts(spark: SparkSession, path: str) -> FileFacts | None:
     return FileFacts(row["files"], row["size_bytes"], row["newest"]) if row["files"] else None
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path for an intermediate table, in the shared folder the cluster names.
+def scratch_base(spark: SparkSession) -> str:
+    """The shared folder the cluster names for intermediate tables.
 
     Without that setting only a local session gets one, in the machine's temporary folder.
     """
@@ -66,7 +67,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"Set {CHECKPOINT_SETTING} to a folder all executors can reach.")
         base = tempfile.gettempdir()
-    return f"{base.rstrip('/')}/trailmark/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/trailmark"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path for an intermediate table."""
+    return f"{scratch_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored_once(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``build`` gives, written once per application and read from there after.
+
+    Cuts the lineage: what reads the table neither repeats the work nor depends on executors
+    that did it.
+    """
+    path = f"{scratch_base(spark)}/{spark.sparkContext.applicationId}/{name}.parquet"
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        publish_parquet(build(), path, {"compression": "zstd"})
+    return spark.read.parquet(path)
 
 
 def publish_parquet(table: DataFrame, path: str, options: dict[str, str | int]) -> None:

@@ -36,7 +36,7 @@ from trailmark.sources.convert import (
     is_fresh,
 )
 from trailmark.sources.delimiter import delimiter_of, detect_delimiter
-from trailmark.sources.readers import read_csv, read_parquet, read_sessions
+from trailmark.sources.readers import is_parquet, read_csv, read_parquet, read_sessions
 from trailmark.sources.synthetic import generate_sessions, walk_sessions
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -507,6 +507,19 @@ def build() -> dict[str, str]:
             ]
         ),
     }
+    for mode in ("none", "consecutive"):
+        found[f"neighbour_summary_{mode}"] = " UNION ALL ".join(
+            [
+                section("events", frequencies(UNTIDY, mode, 20),
+                        "occurrence_count DESC, event_name", "event_name", "occurrence_count"),
+                section("transitions", pairs(UNTIDY, mode, 20),
+                        "transition_count DESC, source_event, target_event", "transition",
+                        "transition_count"),
+                section("matrix", matrix(UNTIDY, mode, 8), "source_rank, target_rank",
+                        "source_event || ' -> ' || target_event", "transition_count"),
+                *end_sections(UNTIDY, 10),
+            ]
+        )
     for mode in DEDUPE_MODES:
         found |= {
             f"dedupe_{mode}": event_rows(UNTIDY, mode),

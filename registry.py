@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import trailmark as tm
-from trailmark.functions import journeys, tokens
+from trailmark.functions import tokens
+from trailmark.operators import edges, flows, metrics
 from trailmark.plans.reports import Report
 from trailmark.sources.storage import scratch_path, stored_once
 
@@ -224,6 +225,27 @@ DEPTH_SQL = """
 """
 
 
+def _neighbours(mode: str, source=untidy_sessions) -> Query:
+    """Event frequencies, transitions and ends out of the one-pass summary."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        counts = edges.neighbour_counts(source(spark, sf_dir))
+        kept = edges.edges_from_neighbours(counts, mode)
+        return Report(
+            {
+                "events": metrics.frequencies_from_edges(kept, 20),
+                "transitions": flows.rank_transitions(kept, 20),
+                "matrix": flows.matrix_from_edges(
+                    edges.edges_from_neighbours(counts, mode, drop_blanks=True), 8
+                ),
+                "entry_points": metrics.rank_ends(edges.end_counts(counts, "entry"), "entry", 10),
+                "exit_points": metrics.rank_ends(edges.end_counts(counts, "exit"), "exit", 10),
+            }
+        ).long()
+
+    return query
+
+
 def run_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     csv_path = _csv_copy(spark, event_sessions(spark, sf_dir))
     summary = tm.run_all(
@@ -241,10 +263,8 @@ def build() -> dict[str, Query]:
         "validate_schema": validate_schema,
         "convert_dataset": convert_dataset,
         "inspect_dataset": inspect_dataset,
-        "detect_delimiter": _on(event_sessions, tm.delimiter_of, sample_paths=None),
-        "detect_delimiter_comma": _on(
-            delimited_sessions("comma", ","), tm.delimiter_of, sample_paths=None
-        ),
+        "detect_delimiter": _on(event_sessions, tm.delimiter_of),
+        "detect_delimiter_comma": _on(delimited_sessions("comma", ","), tm.delimiter_of),
         "generate_sessions": generate_sessions,
         # input adapters
         "sessionize_events": sessionize_events,
@@ -325,6 +345,8 @@ def build() -> dict[str, Query]:
             event_sessions(spark, sf_dir), steps=FUNNEL_STEPS
         ).long(),
         "run_all": run_all,
+        "neighbour_summary_none": _neighbours("none"),
+        "neighbour_summary_consecutive": _neighbours("consecutive"),
     }
     for mode in tokens.DEDUPE_MODES:
         found |= {

@@ -274,3 +274,19 @@ def test_reports(base):
     kpis = {r.label: r.value for r in tm.insights_report(base).long().collect()
             if r.section == "kpis"}
     assert kpis["avg_events_per_session"] == 2.75
+
+
+def test_neighbour_summary_agrees_with_the_direct_counts(edge):
+    from trailmark.operators import edges
+
+    counts = edges.neighbour_counts(edge)
+    for mode in ("none", "consecutive"):
+        for drop in (False, True):
+            direct = edges.edge_counts(edge, dedupe=mode, drop_blanks=drop)
+            again = edges.edges_from_neighbours(counts, mode, drop_blanks=drop)
+            assert sorted(rows(again), key=str) == sorted(rows(direct), key=str)
+    assert set(rows(edges.end_counts(counts, "exit"))) == {("A", 2), ("B", 3), ("", 2)}
+    with pytest.raises(ValueError, match="first occurrences"):
+        edges.edges_from_neighbours(counts, "unique")
+    full = tm.session_report(edge, dedupe="unique", matrix_dedupe="unique").long().collect()
+    assert ("matrix", "A -> B", 6.0) in {(r.section, r.label, r.value) for r in full}

@@ -6,7 +6,7 @@ sort over events.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions.tokens import (
@@ -65,3 +65,68 @@ def edge_counts(
         # exactly the run boundaries of the raw path.
         rows = rows.where(~F.col("event").eqNullSafe(F.col("previous")))
     return rows.groupBy("previous", "event").agg(F.count(F.lit(1)).alias("n"))
+
+
+def neighbour_counts(sessions: DataFrame, delimiter: str = DEFAULT_DELIMITER) -> DataFrame:
+    """(blanks, deep, previous, event, n): all neighbours of all paths, counted in one pass.
+
+    A small table that answers frequencies, transitions, matrices, entries and exits without
+    another look at the paths, for the modes ``none`` and ``consecutive``. ``blanks`` says what
+    a row holds: ``absent`` for paths without blank events, and for the others ``kept`` or
+    ``dropped``, each path being counted both ways. ``deep`` is TOTAL_EVENTS > 0.
+    """
+    none_yet = F.array(F.lit(None).cast("string"))
+
+    def hops(events: Column, blanks: str) -> Column:
+        return F.arrays_zip(
+            F.array_repeat(F.lit(blanks), F.size(events) + 1).alias("blanks"),
+            F.concat(none_yet, events).alias("previous"),
+            events.alias("event"),
+        )
+
+    split = sessions.select(
+        tokenize_path(F.col("EVENT_PATH"), delimiter).alias("events"),
+        F.coalesce(F.col("TOTAL_EVENTS") > 0, F.lit(False)).alias("deep"),
+    ).where(F.col("events").isNotNull())
+    has_blank = F.array_contains("events", "")
+    both = split.select(
+        "deep",
+        F.when(
+            has_blank,
+            F.concat(
+                hops(F.col("events"), "kept"), hops(drop_blank_events(F.col("events")), "dropped")
+            ),
+        )
+        .otherwise(hops(F.col("events"), "absent"))
+        .alias("hops"),
+    )
+    return (
+        both.select("deep", F.explode("hops").alias("hop"))
+        .select("hop.blanks", "deep", "hop.previous", "hop.event")
+        .groupBy("blanks", "deep", "previous", "event")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def edges_from_neighbours(
+    counts: DataFrame, dedupe: str | None = "none", *, drop_blanks: bool = False
+) -> DataFrame:
+    """What ``edge_counts`` gives, out of ``neighbour_counts``; not for the mode ``unique``."""
+    mode = check_dedupe(dedupe)
+    if mode == "unique":
+        raise ValueError("Neighbour counts do not hold the first occurrences of events.")
+    unwanted = "kept" if drop_blanks else "dropped"
+    rows = counts.where((F.col("blanks") != unwanted) & F.col("event").isNotNull())
+    if mode == "consecutive":
+        rows = rows.where(~F.col("event").eqNullSafe(F.col("previous")))
+    return rows.groupBy("previous", "event").agg(F.sum("n").alias("n"))
+
+
+def end_counts(counts: DataFrame, end: str) -> DataFrame:
+    """(event_name, n) of the first or last events of sessions with a positive depth."""
+    here, beyond = ("event", "previous") if end == "entry" else ("previous", "event")
+    return (
+        counts.where((F.col("blanks") != "dropped") & F.col("deep") & F.col(beyond).isNull())
+        .groupBy(F.col(here).alias("event_name"))
+        .agg(F.sum("n").alias("n"))
+    )

@@ -14,6 +14,9 @@ TOP_HEAT_BAND, EMPTY_HEAT_BAND = "peak", "none"
 MIN_CELL_OPACITY = 0.15
 FLOW_EVENTS, FLOW_LINKS = 10, 24
 
+# A matrix of up to this many events has its cells broadcast, about a million small rows.
+BROADCAST_EVENTS = 1_000
+
 
 def rank_transitions(edges: DataFrame, top_n: int) -> DataFrame:
     """Top transitions out of ``edge_counts`` rows; pairs that touch a blank are dropped."""
@@ -92,8 +95,10 @@ def matrix_from_edges(edges: DataFrame, top_n: int) -> DataFrame:
             (F.col("column") + 1).alias("target_rank"),
         )
     )
+    if top_n <= BROADCAST_EVENTS:
+        cells = F.broadcast(cells)
     return (
-        grid.join(F.broadcast(cells), ["source_rank", "target_rank"], "left")
+        grid.join(cells, ["source_rank", "target_rank"], "left")
         .select(
             "source_event",
             "target_event",

@@ -48,6 +48,16 @@ def rank_frequencies(counts: DataFrame, top_n: int) -> DataFrame:
     )
 
 
+def frequencies_from_edges(edges: DataFrame, top_n: int) -> DataFrame:
+    """Event frequencies out of ``edge_counts`` rows."""
+    counts = (
+        edges.where(F.col("event") != "")
+        .groupBy(F.col("event").alias("event_name"))
+        .agg(F.sum("n").alias("occurrence_count"))
+    )
+    return rank_frequencies(counts, top_n)
+
+
 def event_frequencies(
     sessions: DataFrame,
     *,
@@ -96,24 +106,33 @@ def top_paths(
     )
 
 
-def _edge_events(
-    sessions: DataFrame, event: Column, count_name: str, share_name: str, top_n: int
-) -> DataFrame:
+def rank_ends(counts: DataFrame, end: str, top_n: int) -> DataFrame:
+    """Top entry or exit events with their share, from (event_name, n).
+
+    Blank events count in the total but are not reported. They sort last and go after the
+    limit, so that the total and the ranking read one and the same aggregate.
+    """
+    total = counts.agg(F.sum("n")).scalar()
+    return (
+        counts.orderBy(F.col("event_name") == "", F.desc("n"), "event_name")
+        .limit(check_top_n(top_n))
+        .where(F.col("event_name") != "")
+        .select(
+            "event_name",
+            F.col("n").alias(f"{end}_count"),
+            share_percent(F.col("n"), total).alias(f"{end}_share_pct"),
+        )
+    )
+
+
+def _end_events(sessions: DataFrame, event: Column, end: str, top_n: int) -> DataFrame:
     counts = (
         sessions.where(F.col("EVENT_PATH").isNotNull() & (F.col("TOTAL_EVENTS") > 0))
         .select(event.alias("event_name"))
         .groupBy("event_name")
-        .agg(F.count(F.lit(1)).alias(count_name))
-    )
-    total = counts.agg(F.sum(count_name)).scalar()
-    # Blank events count in the total but are not reported. They sort last and go after the
-    # limit, so that the total and the ranking read one and the same aggregate.
-    return (
-        counts.orderBy(F.col("event_name") == "", F.desc(count_name), "event_name")
-        .limit(check_top_n(top_n))
-        .where(F.col("event_name") != "")
-        .withColumn(share_name, share_percent(F.col(count_name), total))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
+    return rank_ends(counts, end, top_n)
 
 
 def entry_events(
@@ -121,7 +140,7 @@ def entry_events(
 ) -> DataFrame:
     """(event_name, entry_count, entry_share_pct) of the first events."""
     event = first_event(F.col("EVENT_PATH"), delimiter)
-    return _edge_events(sessions, event, "entry_count", "entry_share_pct", top_n)
+    return _end_events(sessions, event, "entry", top_n)
 
 
 def exit_events(
@@ -132,7 +151,7 @@ def exit_events(
     A path that ends with a delimiter has a blank last event and is not reported.
     """
     event = last_event(F.col("EVENT_PATH"), delimiter)
-    return _edge_events(sessions, event, "exit_count", "exit_share_pct", top_n)
+    return _end_events(sessions, event, "exit", top_n)
 
 
 def session_kpis(sessions: DataFrame) -> DataFrame:

@@ -10,21 +10,26 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.tokens import DEFAULT_DELIMITER
-from trailmark.operators.edges import edge_counts
+from trailmark.operators.edges import (
+    edge_counts,
+    edges_from_neighbours,
+    end_counts,
+    neighbour_counts,
+)
 from trailmark.operators.flows import (
     matrix_from_edges,
     rank_transitions,
 )
 from trailmark.operators.funnels import (
     MAX_AUTO_STEPS,
-    frequent_events,
     funnel,
     funnel_report,
 )
 from trailmark.operators.metrics import (
     entry_events,
     exit_events,
-    rank_frequencies,
+    frequencies_from_edges,
+    rank_ends,
     session_kpis,
     top_paths,
 )
@@ -119,13 +124,8 @@ def analyze_report(
     splits the paths once.
     """
     edges = edge_counts(sessions, delimiter, dedupe)
-    frequencies = (
-        edges.groupBy(F.col("event").alias("event_name"))
-        .agg(F.sum("n").alias("occurrence_count"))
-        .where(F.col("event_name") != "")
-    )
     tables = {
-        "events": rank_frequencies(frequencies, top_n),
+        "events": frequencies_from_edges(edges, top_n),
         "transitions": rank_transitions(edges, top_n),
         "paths": top_paths(sessions, top_n=REPORT_PATHS, dedupe=dedupe, delimiter=delimiter),
     }
@@ -142,23 +142,32 @@ def session_report(
     steps: Sequence[str] | None = None,
     dedupe: str | None = "consecutive",
     matrix_dedupe: str | None = "none",
+    neighbours: DataFrame | None = None,
 ) -> Report:
     """All tables of the full run.
 
     Given steps make an ordered funnel; without them the most frequent events, at most eight,
-    make a reach funnel.
+    make a reach funnel. ``neighbours`` is the stored result of ``neighbour_counts``: with it,
+    the paths are read for the funnel and the top paths only.
     """
+    if neighbours is None:
+        neighbours = neighbour_counts(sessions, delimiter)
+
+    def edges(mode: str | None, drop_blanks: bool) -> DataFrame:
+        if mode == "unique":
+            return edge_counts(sessions, delimiter, mode, drop_blanks=drop_blanks)
+        return edges_from_neighbours(neighbours, mode, drop_blanks=drop_blanks)
+
     sequential = bool(steps)
     if not steps:
-        steps = frequent_events(sessions, delimiter, min(top_n, MAX_AUTO_STEPS), dedupe)
+        top = frequencies_from_edges(edges(dedupe, False), min(top_n, MAX_AUTO_STEPS))
+        steps = [row["event_name"] for row in top.select("event_name").collect()]
     tables = {
         "kpis": session_kpis(sessions),
-        "entry_points": entry_events(sessions, delimiter=delimiter, top_n=REPORT_ENDS),
-        "exit_points": exit_events(sessions, delimiter=delimiter, top_n=REPORT_ENDS),
+        "entry_points": rank_ends(end_counts(neighbours, "entry"), "entry", REPORT_ENDS),
+        "exit_points": rank_ends(end_counts(neighbours, "exit"), "exit", REPORT_ENDS),
         "paths": top_paths(sessions, top_n=REPORT_PATHS, delimiter=delimiter),
-        "matrix": matrix_from_edges(
-            edge_counts(sessions, delimiter, matrix_dedupe, drop_blanks=True), top_n
-        ),
+        "matrix": matrix_from_edges(edges(matrix_dedupe, True), top_n),
     }
     if steps:
         tables["funnel"] = funnel_report(
@@ -191,7 +200,9 @@ def run_all(
 ) -> RunSummary:
     """Convert an export unless its Parquet copy is up to date, then write every report table.
 
-    The delimiter is detected unless another than the default is given.
+    The delimiter is detected unless another than the default is given. The counts of
+    neighbouring events are written first, to ``neighbours`` under ``output_dir``; most tables
+    are made from them.
     """
     conversion = convert_if_stale(
         spark, csv_path, parquet_path, force=force, compression=compression
@@ -200,8 +211,17 @@ def run_all(
     sessions = read_parquet(spark, parquet_path)
     if delimiter == DEFAULT_DELIMITER:
         delimiter = detect_delimiter(sessions)
+    neighbours_path = f"{output_dir.rstrip('/')}/neighbours"
+    publish_parquet(
+        neighbour_counts(sessions, delimiter), neighbours_path, {"compression": "zstd"}
+    )
     report = session_report(
-        sessions, delimiter=delimiter, top_n=top_n, steps=steps, dedupe=dedupe
+        sessions,
+        delimiter=delimiter,
+        top_n=top_n,
+        steps=steps,
+        dedupe=dedupe,
+        neighbours=spark.read.parquet(neighbours_path),
     )
     outputs = report.write(output_dir)
     return RunSummary(conversion, found.total_rows, found.columns, delimiter, outputs)

@@ -10,22 +10,32 @@ from trailmark.functions.tokens import DEFAULT_DELIMITER, KNOWN_DELIMITERS, trim
 SAMPLE_PATHS = 10
 
 
-def delimiter_of(sessions: DataFrame, *, sample_paths: int | None = SAMPLE_PATHS) -> DataFrame:
-    """One row (delimiter): the first known delimiter that occurs in the sampled paths.
+def _filled_paths(sessions: DataFrame) -> DataFrame:
+    path = F.col("EVENT_PATH")
+    return sessions.where(path.isNotNull() & (trim_event(path) != "")).select("EVENT_PATH")
+
+
+def delimiter_of(sessions: DataFrame) -> DataFrame:
+    """One row (delimiter): the first known delimiter that occurs in any path.
 
-    Blank paths are skipped; without any delimiter the answer is ``->``. ``sample_paths=None``
-    looks at every path, which does not depend on the order rows are read in.
+    Blank paths are skipped; without any delimiter the answer is ``->``.
     """
-    path = F.col("EVENT_PATH")
-    paths = sessions.where(path.isNotNull() & (trim_event(path) != "")).select("EVENT_PATH")
-    if sample_paths is not None:
-        paths = paths.limit(sample_paths)
-    found = F.lit(None).cast("string")
+    found = F.lit(DEFAULT_DELIMITER)
     for delimiter in reversed(KNOWN_DELIMITERS):
-        found = F.when(F.bool_or(path.contains(delimiter)), delimiter).otherwise(found)
-    return paths.agg(F.coalesce(found, F.lit(DEFAULT_DELIMITER)).alias("delimiter"))
+        occurs = F.bool_or(F.col("EVENT_PATH").contains(delimiter))
+        found = F.when(occurs, delimiter).otherwise(found)
+    return _filled_paths(sessions).agg(found.alias("delimiter"))
 
 
 def detect_delimiter(sessions: DataFrame, *, sample_paths: int | None = SAMPLE_PATHS) -> str:
-    """The detected delimiter as a string: one small job, one row to the driver."""
-    return delimiter_of(sessions, sample_paths=sample_paths).head()["delimiter"]
+    """The delimiter of the first few paths, or of all with ``sample_paths=None``.
+
+    For a sample only four flags per path reach the driver, and Spark stops reading once it
+    has enough paths.
+    """
+    if sample_paths is None:
+        return delimiter_of(sessions).head()["delimiter"]
+    flags = [F.col("EVENT_PATH").contains(delimiter) for delimiter in KNOWN_DELIMITERS]
+    seen = _filled_paths(sessions).select(*flags).take(sample_paths)
+    occurring = (d for i, d in enumerate(KNOWN_DELIMITERS) if any(row[i] for row in seen))
+    return next(occurring, DEFAULT_DELIMITER)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,23 +45,32 @@ def _quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def _sampled_types(rows: DataFrame, columns: list[str], sample_rows: int) -> dict[str, str]:
-    """Type of each text column as seen in the first rows: one job, one result row."""
+def _sampled_types(rows: DataFrame, columns: list[str], sample_rows: int) -> dict[str, str | None]:
+    """Type of each text column as seen in the first rows, None where they hold no value.
+
+    Each value becomes a small number, one bit per type it fits. Only those numbers are taken,
+    and Spark reads partitions one after the other until it has enough.
+    """
     if not columns:
         return {}
-    fits = []
-    for i, name in enumerate(columns):
-        for kind, pattern in _TYPE_PATTERNS:
-            value = _quoted(name)
-            ok = value.rlike(pattern)
+
+    def fitting(name: str) -> Column:
+        value, bits = _quoted(name), F.lit(0)
+        for bit, (kind, pattern) in enumerate(_TYPE_PATTERNS):
+            fits = value.rlike(pattern)
             if kind in ("date", "timestamp_ntz"):
-                ok = ok & value.try_cast(kind).isNotNull()
-            fits.append(F.bool_and(F.when(value.isNotNull(), ok)).alias(f"{kind}_{i}"))
-    seen = rows.select(*[_quoted(c) for c in columns]).limit(sample_rows).agg(*fits).head()
-    return {
-        name: next((kind for kind, _ in _TYPE_PATTERNS if seen[f"{kind}_{i}"]), "string")
-        for i, name in enumerate(columns)
-    }
+                fits = fits & value.try_cast(kind).isNotNull()
+            bits = bits + F.when(fits, 1 << bit).otherwise(0)
+        return F.when(value.isNotNull(), bits)
+
+    seen = rows.select(*[fitting(name) for name in columns]).take(sample_rows)
+    types: dict[str, str | None] = {}
+    for i, name in enumerate(columns):
+        values = [row[i] for row in seen if row[i] is not None]
+        common = reduce(and_, values, -1)
+        fits = [kind for bit, (kind, _) in enumerate(_TYPE_PATTERNS) if common & (1 << bit)]
+        types[name] = (fits or ["string"])[0] if values else None
+    return types
 
 
 def read_csv(
@@ -94,12 +106,9 @@ def read_csv(
         **_sampled_types(as_text, [h for h in headers if h not in fixed], sample_rows),
         **fixed,
     }
-    depth = mapping["TOTAL_EVENTS"]
-    if kinds[depth] == "string" and depth not in given and not as_text.where(
-        _quoted(depth).isNotNull()
-    ).head(1):
-        kinds[depth] = "bigint"  # no value at all, for example an export without rows
-    schema = ", ".join(f"`{h.replace('`', '``')}` {kinds[h]}" for h in headers)
+    # Without any value seen, a depth is taken for a whole number and anything else for text.
+    blank = {h: "bigint" if h == mapping["TOTAL_EVENTS"] else "string" for h in headers}
+    schema = ", ".join(f"`{h.replace('`', '``')}` {kinds[h] or blank[h]}" for h in headers)
     return as_sessions(reader.schema(schema).option("enforceSchema", False).csv(path))
 
 

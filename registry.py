@@ -225,19 +225,23 @@ DEPTH_SQL = """
 """
 
 
-def _neighbours(mode: str, source=untidy_sessions) -> Query:
-    """Event frequencies, transitions and ends out of the one-pass summary."""
+neighbour_table = _stored(
+    "neighbours", lambda spark, sf_dir: tm.neighbour_counts(untidy_sessions(spark, sf_dir))
+)
+
+
+def _neighbours(mode: str) -> Query:
+    """Event frequencies, transitions, matrix and ends out of the one-pass summary."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        counts = edges.neighbour_counts(source(spark, sf_dir))
+        counts = neighbour_table(spark, sf_dir)
         kept = edges.edges_from_neighbours(counts, mode)
+        filled = edges.edges_from_neighbours(counts, mode, drop_blanks=True)
         return Report(
             {
                 "events": metrics.frequencies_from_edges(kept, 20),
                 "transitions": flows.rank_transitions(kept, 20),
-                "matrix": flows.matrix_from_edges(
-                    edges.edges_from_neighbours(counts, mode, drop_blanks=True), 8
-                ),
+                "matrix": flows.matrix_from_edges(filled, 8),
                 "entry_points": metrics.rank_ends(edges.end_counts(counts, "entry"), "entry", 10),
                 "exit_points": metrics.rank_ends(edges.end_counts(counts, "exit"), "exit", 10),
             }

@@ -1,7 +1,7 @@
 """Session-path and funnel analytics on Spark DataFrames."""
 
 from trailmark.errors import RowLimitError, SessionDataError
-from trailmark.operators.edges import edge_counts
+from trailmark.operators.edges import edge_counts, neighbour_counts
 from trailmark.operators.flows import (
     flow_links,
     flow_nodes,

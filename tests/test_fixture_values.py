@@ -144,7 +144,7 @@ def test_sql_on_data(base):
     "operator", [tm.event_frequencies, tm.top_paths, tm.transition_pairs, tm.transition_matrix]
 )
 def test_unknown_dedupe_mode_is_refused(base, operator):
-    with pytest.raises(ValueError, match="Unsupported deduplication mode"):
+    with pytest.raises(ValueError, match="Unknown dedupe mode"):
         operator(base, dedupe="adjacent")
     with pytest.raises(ValueError, match="top_n"):
         operator(base, top_n=0)

@@ -58,7 +58,7 @@ def test_header_meanings(headers, expected):
 @pytest.mark.parametrize(
     "headers, text",
     [
-        (["SESSION", "EVENT_PATH"], "mapped to TOTAL_EVENTS"),
+        (["SESSION", "EVENT_PATH"], "reads as TOTAL_EVENTS"),
         (["VEHICLESESSION", "USER_SESSION", "STEP_COUNT", "SESSION_PATH"],
          "ambiguous columns for SESSION"),
         (["SESSION", "session", "EVENT_PATH", "TOTAL_EVENTS"], "ambiguous columns for SESSION"),
@@ -86,7 +86,7 @@ def test_parquet_headers_are_mapped_and_checked(spark, tmp_path):
     path = str(tmp_path / "x.parquet")
     spark.createDataFrame([(7, "A", 2)], "`Session Id` int, SESSION_PATH string, steps int").write \
         .parquet(path)
-    with pytest.raises(tm.SessionDataError, match="mapped to TOTAL_EVENTS"):
+    with pytest.raises(tm.SessionDataError, match="reads as TOTAL_EVENTS"):
         tm.read_sessions(spark, path)
     path = str(tmp_path / "y.PQ")
     spark.createDataFrame([(7, "A", 2)], "`Session Id` int, SESSION_PATH string, step_count int") \

@@ -34,7 +34,7 @@ def check_dedupe(mode: str | None) -> str:
     mode = mode or "none"
     if mode not in DEDUPE_MODES:
         raise ValueError(
-            f"Unsupported deduplication mode: {mode}. Use one of {', '.join(DEDUPE_MODES)}."
+            f"Unknown dedupe mode: {mode}. Use one of {', '.join(DEDUPE_MODES)}."
         )
     return mode
 

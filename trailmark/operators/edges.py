@@ -18,6 +18,12 @@ from trailmark.functions.tokens import (
 )
 
 
+def _neighbours(events: Column) -> Column:
+    """Array of (previous, event), from NULL before the first event to NULL after the last."""
+    shifted = F.concat(F.array(F.lit(None).cast("string")), events)
+    return F.arrays_zip(shifted.alias("previous"), events.alias("event"))
+
+
 def neighbour_rows(
     sessions: DataFrame,
     delimiter: str = DEFAULT_DELIMITER,
@@ -35,12 +41,10 @@ def neighbour_rows(
         events = drop_blank_events(events)
     if unique:
         events = dedupe_unique(events)
-    before_first = F.array(F.lit(None).cast("string"))
     # The array is used twice: its own projection keeps the split from being evaluated twice.
     split = sessions.select(events.alias("events"))
-    shifted = F.concat(before_first, F.col("events"))
-    pairs = F.arrays_zip(shifted.alias("previous"), F.col("events").alias("event"))
-    return split.select(F.explode(pairs).alias("pair")).select("pair.previous", "pair.event")
+    pairs = split.select(F.explode(_neighbours(F.col("events"))).alias("pair"))
+    return pairs.select("pair.previous", "pair.event")
 
 
 def edge_counts(
@@ -75,34 +79,23 @@ def neighbour_counts(sessions: DataFrame, delimiter: str = DEFAULT_DELIMITER) ->
     a row holds: ``absent`` for paths without blank events, and for the others ``kept`` or
     ``dropped``, each path being counted both ways. ``deep`` is TOTAL_EVENTS > 0.
     """
-    none_yet = F.array(F.lit(None).cast("string"))
-
-    def hops(events: Column, blanks: str) -> Column:
-        return F.arrays_zip(
-            F.array_repeat(F.lit(blanks), F.size(events) + 1).alias("blanks"),
-            F.concat(none_yet, events).alias("previous"),
-            events.alias("event"),
-        )
-
     split = sessions.select(
         tokenize_path(F.col("EVENT_PATH"), delimiter).alias("events"),
         F.coalesce(F.col("TOTAL_EVENTS") > 0, F.lit(False)).alias("deep"),
-    ).where(F.col("events").isNotNull())
-    has_blank = F.array_contains("events", "")
-    both = split.select(
-        "deep",
-        F.when(
-            has_blank,
-            F.concat(
-                hops(F.col("events"), "kept"), hops(drop_blank_events(F.col("events")), "dropped")
-            ),
-        )
-        .otherwise(hops(F.col("events"), "absent"))
-        .alias("hops"),
     )
+
+    def way(blanks: str, events: Column) -> Column:
+        return F.struct(F.lit(blanks).alias("blanks"), events.alias("events"))
+
+    as_is, events = F.col("events"), F.col("way.events")
+    ways = F.when(
+        F.array_contains(as_is, ""),
+        F.array(way("kept", as_is), way("dropped", drop_blank_events(as_is))),
+    ).otherwise(F.array(way("absent", as_is)))
     return (
-        both.select("deep", F.explode("hops").alias("hop"))
-        .select("hop.blanks", "deep", "hop.previous", "hop.event")
+        split.select("deep", F.explode(ways).alias("way"))
+        .select("way.blanks", "deep", F.explode(_neighbours(events)).alias("pair"))
+        .select("blanks", "deep", "pair.previous", "pair.event")
         .groupBy("blanks", "deep", "previous", "event")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -44,9 +44,9 @@ def clean_steps(steps: Sequence[str]) -> list[str]:
         raise ValueError("Funnel steps must be a list of event names.")
     names = [step.strip() for step in steps]
     if not names:
-        raise ValueError("Funnel requires at least one step.")
+        raise ValueError("A funnel needs at least one step.")
     if not all(names):
-        raise ValueError("Funnel steps cannot be empty.")
+        raise ValueError("A funnel step cannot be empty.")
     return names
 
 

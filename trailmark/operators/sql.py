@@ -26,5 +26,5 @@ def sql_on_data(sessions: DataFrame, query: str, *, max_rows: int | None = None)
         return result
     rows = result.take(max_rows + 1)
     if len(rows) > max_rows:
-        raise RowLimitError(f"Query result exceeds the {max_rows:,}-row limit")
+        raise RowLimitError(f"The result is larger than the {max_rows:,}-row limit")
     return spark.createDataFrame(rows, result.schema)

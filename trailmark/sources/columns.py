@@ -57,12 +57,12 @@ def _header_for(column: str, headers: list[str]) -> str:
         return found[0]
     if found:
         raise SessionDataError(
-            f"Dataset has ambiguous columns for {column}: {', '.join(found)}",
-            f"Keep one of them or rename the intended one to {column}.",
+            f"The dataset has ambiguous columns for {column}: {', '.join(found)}",
+            f"Rename the one that is meant to {column}.",
         )
     raise SessionDataError(
-        f"Dataset has no column that can be mapped to {column}",
-        f"Available columns: {', '.join(headers)}. Rename the matching header.",
+        f"No column of the dataset reads as {column}",
+        f"Found {', '.join(headers)}; rename the header that holds it.",
     )
 
 
@@ -74,7 +74,7 @@ def map_columns(headers: Iterable[str]) -> dict[str, str]:
         others = [c for c, h in mapping.items() if h == header and c != column]
         if others:
             raise SessionDataError(
-                f"Dataset has ambiguous columns for {column}: {header} also reads as {others[0]}",
+                f"The dataset has ambiguous columns for {column}: {header} reads as {others[0]} too",
                 f"Rename the headers to {', '.join(SESSION_COLUMNS)}.",
             )
     return mapping
@@ -106,8 +106,7 @@ def validate_schema(df: DataFrame) -> dict[str, str]:
     for column in SESSION_COLUMNS:
         if column not in types:
             raise SessionDataError(
-                f"Dataset has no column that can be mapped to {column}",
-                f"Available columns: {', '.join(types)}.",
+                f"No column of the dataset reads as {column}", f"Found {', '.join(types)}."
             )
     if not isinstance(types["TOTAL_EVENTS"], T.NumericType):
         raise SessionDataError(

@@ -83,14 +83,17 @@ def stored_once(spark: SparkSession, name: str, build: Callable[[], DataFrame])
     """
     path = f"{scratch_base(spark)}/{spark.sparkContext.applicationId}/{name}.parquet"
     if not path_exists(spark, f"{path}/_SUCCESS"):
-        publish_parquet(build(), path, {"compression": "zstd"})
+        publish_parquet(build(), path, {"compression": "zstd"}, replace=False)
     return spark.read.parquet(path)
 
 
-def publish_parquet(table: DataFrame, path: str, options: dict[str, str | int]) -> None:
+def publish_parquet(
+    table: DataFrame, path: str, options: dict[str, str | int], *, replace: bool = True
+) -> None:
     """Write ``table`` beside ``path`` and move it there once it is complete.
 
-    A failed write leaves what was at ``path`` before, and nothing of its own.
+    A failed write leaves what was at ``path`` before, and nothing of its own. With
+    ``replace=False`` a table that another writer has put there meanwhile stays.
     """
     spark = table.sparkSession
     target, files = _hadoop(spark, path)
@@ -99,6 +102,8 @@ def publish_parquet(table: DataFrame, path: str, options: dict[str, str | int])
     try:
         table.write.options(**options).parquet(beside)
         if files.exists(target):
+            if not replace:
+                return
             files.delete(target, True)
         if not files.rename(partial, target):
             raise OSError(f"Could not publish {path}")

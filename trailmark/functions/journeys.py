@@ -6,6 +6,9 @@ because a preview is its purpose.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,21 +54,23 @@ def match_flags(
         by_event = lambda step: step == F.lit(wanted) if wanted else F.lit(False)
         if not parts:
             return F.transform(v, by_event)
-        k = len(parts)
-        sequence = F.array(*[F.lit(p) for p in parts])
-        starts = F.transform(v, lambda _, i: F.slice(v, i + 1, F.lit(k)) == sequence)
+        starts = F.transform(
+            v,
+            lambda step, i: reduce(
+                and_,
+                [F.get(v, i + j).eqNullSafe(F.lit(part)) for j, part in enumerate(parts[1:], 1)],
+                step == F.lit(parts[0]),
+            ),
+        )
+        # A step is covered when an occurrence starts at it or at one of the steps just before.
         return let(
             starts,
             lambda begun: F.transform(
                 v,
-                lambda step, i: by_event(step)
-                | F.array_contains(
-                    F.slice(
-                        begun,
-                        F.greatest(i - (k - 1), F.lit(0)) + 1,
-                        F.least(i + 1, F.lit(k)),
-                    ),
-                    True,
+                lambda step, i: reduce(
+                    or_,
+                    [F.coalesce(F.get(begun, i - j), F.lit(False)) for j in range(len(parts))],
+                    by_event(step),
                 ),
             ),
         )
@@ -95,7 +100,9 @@ def compress_journey(steps: Column, flags: Column) -> Column:
             return F.struct(
                 F.get(v, at).alias("name"),
                 length.alias("count"),
-                F.array_contains(F.slice(hit, at + 1, length), True).alias("matched"),
+                F.when(length == 1, F.get(hit, at))
+                .otherwise(F.array_contains(F.slice(hit, at + 1, length), True))
+                .alias("matched"),
             )
 
         return F.transform(start, group)
@@ -122,6 +129,10 @@ def preview_groups(groups: Column, shown: int = PREVIEW_GROUPS) -> Column:
         )
 
     def preview(all_groups: Column) -> Column:
+        everything = F.transform(all_groups, lambda g: visible(g, False))
+        return F.when(F.size(all_groups) <= shown, everything).otherwise(shortened(all_groups))
+
+    def shortened(all_groups: Column) -> Column:
         head = F.transform(F.slice(all_groups, 1, shown), lambda g: visible(g, False))
         hidden = F.slice(all_groups, F.lit(shown + 1), F.size(all_groups))
         # 1-based place of the first match among the hidden groups, 0 when there is none

@@ -158,7 +158,9 @@ def convert_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     csv_path = _csv_copy(spark, event_sessions(spark, sf_dir))
     parquet_path = scratch_path(spark, "converted") + ".parquet"
     done = tm.convert_dataset(spark, csv_path, parquet_path)
-    return tm.read_parquet(spark, parquet_path).withColumn("row_count", F.lit(done.row_count))
+    return tm.read_parquet(spark, parquet_path).withColumn(
+        "row_count", F.lit(done.row_count).cast("bigint")
+    )
 
 
 def inspect_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +222,8 @@ def funnel_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DEPTH_SQL = """
-    SELECT TOTAL_EVENTS, count(*) AS sessions, max(length(EVENT_PATH)) AS longest_path
+    SELECT TOTAL_EVENTS, count(*) AS sessions,
+           CAST(max(length(EVENT_PATH)) AS BIGINT) AS longest_path
     FROM data GROUP BY TOTAL_EVENTS
 """
 

@@ -431,6 +431,7 @@ def build() -> dict[str, str]:
         "order_entry_events": ends(ORDERS, "entry"),
         "order_exit_events": ends(ORDERS, "exit"),
         "session_kpis": kpis(EVENTS),
+        "session_kpis_approximate": kpis(EVENTS),
         "session_kpis_untidy": kpis(UNTIDY),
         "conversation_kpis": kpis(TALKS),
         "order_kpis": kpis(ORDERS),

@@ -303,6 +303,7 @@ def build() -> dict[str, Query]:
         "order_entry_events": _on(order_sessions, tm.entry_events),
         "order_exit_events": _on(order_sessions, tm.exit_events),
         "session_kpis": _on(event_sessions, tm.session_kpis),
+        "session_kpis_approximate": _on(event_sessions, tm.session_kpis, approximate=True),
         "session_kpis_untidy": _on(untidy_sessions, tm.session_kpis),
         "conversation_kpis": _on(talk_sessions, tm.session_kpis),
         "order_kpis": _on(order_sessions, tm.session_kpis),

@@ -204,6 +204,11 @@ def test_edge_kpis(edge):
     assert rows(tm.session_kpis(edge)) == [(10, 3, 30.0, 1.56, 2, 2, 3, 3)]
 
 
+def test_sketched_kpis_agree_on_few_depths(edge, base):
+    for table in (edge, base):
+        assert rows(tm.session_kpis(table, approximate=True)) == rows(tm.session_kpis(table))
+
+
 def test_edge_search(edge):
     found = tm.search_sessions(edge, event="A", subpath="A->B")
     assert rows(found, "SESSION") == [("e10",), ("e5",), ("e9",)]

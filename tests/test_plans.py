@@ -42,6 +42,14 @@ ANALYSES = {
     "exit": tm.exit_events,
     "funnel": lambda s: tm.funnel(s, ["Home", "Search", "Checkout"], dedupe="consecutive"),
     "kpis": tm.session_kpis,
+    "kpis_sketched": lambda s: tm.session_kpis(s, approximate=True),
+    "heatmap": lambda s: tm.heatmap_cells(tm.transition_matrix(s, dedupe="consecutive")),
+    "links": lambda s: tm.flow_links(tm.transition_matrix(s, top_n=10)),
+    "nodes": lambda s: tm.flow_nodes(tm.flow_links(tm.transition_matrix(s, top_n=10))),
+    "funnel_report": lambda s: tm.funnel_report(tm.funnel(s, ["Home", "Search"])),
+    "neighbours": tm.neighbour_counts,
+    "search": lambda s: tm.search_sessions(s, event="Home", subpath="Home->Search"),
+    "journeys": lambda s: tm.session_journeys(s, event="Home", subpath="Home->Search"),
 }
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.rates import rate_percent
@@ -182,14 +182,11 @@ def funnel_preset(
 
 def funnel_report(steps: DataFrame) -> DataFrame:
     """Funnel rows with the bar length relative to the first step and a severity."""
-    first = F.col("first_count")
+    # A window over the step rows; another look at the counts would read the sessions again.
+    first = F.first("session_count").over(Window.orderBy("step_number"))
     drop = F.col("step_dropoff_pct")
-    base = steps.where(F.col("step_number") == 1).agg(F.max("session_count")).scalar()
     return (
-        steps.withColumn("first_count", base)
-        .withColumn(
-            "bar_share", F.col("session_count") / F.when(first > 0, first).otherwise(F.lit(1))
-        )
+        steps.withColumn("bar_share", F.col("session_count") / F.greatest(first, F.lit(1)))
         .withColumn(
             "severity",
             F.when(F.col("step_number") == 1, "start")
@@ -197,5 +194,4 @@ def funnel_report(steps: DataFrame) -> DataFrame:
             .when(drop < ALERT_DROPOFF, "warn")
             .otherwise("alert"),
         )
-        .drop("first_count")
     )

@@ -24,6 +24,11 @@ from trailmark.functions.tokens import (
 from trailmark.operators.edges import neighbour_rows
 
 
+# The depth percentiles reported.
+PERCENTILES = {"median_events": 50, "p75_events": 75, "p90_events": 90}
+SKETCH_ACCURACY = 10_000
+
+
 def _event_rows(sessions: DataFrame, delimiter: str, mode: str) -> DataFrame:
     """One row per event of the deduplicated paths: (event_name)."""
     if mode == "consecutive":
@@ -154,48 +159,60 @@ def exit_events(
     return _end_events(sessions, event, "exit", top_n)
 
 
-def session_kpis(sessions: DataFrame) -> DataFrame:
-    """One row of key figures over all sessions, with exact discrete percentiles.
+def session_kpis(sessions: DataFrame, *, approximate: bool = False) -> DataFrame:
+    """One row of key figures over all sessions, NULL paths and NULL depths included.
 
-    Sessions are first counted per depth, so what reaches the final task is one row per
-    distinct depth, however many sessions there are.
+    Percentiles are discrete and exact: sessions are first counted per depth, so what reaches
+    the final task is one row per distinct depth, however many sessions there are.
+    ``approximate`` sketches them instead, in one aggregate whose size does not depend on how
+    many distinct depths there are; use it for depths that are hardly ever equal.
     """
+    figures = _sketched_kpis(sessions) if approximate else _counted_kpis(sessions)
+    return figures.select(
+        "total_sessions",
+        "single_event_bounces",
+        rate_percent(F.col("single_event_bounces"), F.col("total_sessions")).alias(
+            "bounce_rate_pct"
+        ),
+        F.round("avg_events_per_session", 2).alias("avg_events_per_session"),
+        *PERCENTILES,
+        "max_events",
+    )
+
+
+def _counted_kpis(sessions: DataFrame) -> DataFrame:
     depths = sessions.groupBy(F.col("TOTAL_EVENTS").alias("depth")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    known = F.when(F.col("depth").isNotNull(), F.col("n")).otherwise(0)
-    ascending = Window.orderBy(F.col("depth").asc_nulls_first())
-    whole = Window.partitionBy()
-    ranked = depths.withColumn("up_to", F.sum(known).over(ascending)).withColumn(
-        "measured", F.sum(known).over(whole)
-    )
+    depth, n = F.col("depth"), F.col("n")
+    known = F.when(depth.isNotNull(), n).otherwise(0)
+    ranked = depths.withColumn(
+        "up_to", F.sum(known).over(Window.orderBy(depth.asc_nulls_first()))
+    ).withColumn("measured", F.sum(known).over(Window.partitionBy()))
 
     def percentile(percent: int) -> Column:
-        reached = F.col("up_to") * 100 >= F.col("measured") * percent
-        return F.min(F.when(reached, F.col("depth")))
+        return F.min(F.when(F.col("up_to") * 100 >= F.col("measured") * percent, depth))
 
-    total, bounces = F.col("total_sessions"), F.col("single_event_bounces")
     return ranked.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_sessions"),
-        F.coalesce(F.sum(F.when(F.col("depth") == 1, F.col("n"))), F.lit(0)).alias(
-            "single_event_bounces"
+        F.coalesce(F.sum(n), F.lit(0)).alias("total_sessions"),
+        F.coalesce(F.sum(F.when(depth == 1, n)), F.lit(0)).alias("single_event_bounces"),
+        (F.sum(depth.cast("double") * n) / F.sum(F.when(depth.isNotNull(), n))).alias(
+            "avg_events_per_session"
         ),
-        F.round(
-            F.sum(F.col("depth").cast("double") * F.col("n"))
-            / F.sum(F.when(F.col("depth").isNotNull(), F.col("n"))),
-            2,
-        ).alias("avg_events_per_session"),
-        percentile(50).alias("median_events"),
-        percentile(75).alias("p75_events"),
-        percentile(90).alias("p90_events"),
-        F.max("depth").alias("max_events"),
-    ).select(
-        "total_sessions",
-        "single_event_bounces",
-        rate_percent(bounces, total).alias("bounce_rate_pct"),
-        "avg_events_per_session",
-        "median_events",
-        "p75_events",
-        "p90_events",
-        "max_events",
+        *[percentile(percent).alias(name) for name, percent in PERCENTILES.items()],
+        F.max(depth).alias("max_events"),
+    )
+
+
+def _sketched_kpis(sessions: DataFrame) -> DataFrame:
+    depth = F.col("TOTAL_EVENTS")
+    return sessions.agg(
+        F.count(F.lit(1)).alias("total_sessions"),
+        F.count_if(depth == 1).alias("single_event_bounces"),
+        F.avg(depth).alias("avg_events_per_session"),
+        *[
+            F.percentile_approx(depth, percent / 100, SKETCH_ACCURACY).alias(name)
+            for name, percent in PERCENTILES.items()
+        ],
+        F.max(depth).alias("max_events"),
     )

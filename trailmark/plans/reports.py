@@ -56,7 +56,7 @@ class Report:
         """One Parquet table per section under ``output_dir``; {section: path}."""
         paths = {name: f"{output_dir.rstrip('/')}/{name}" for name in self.tables}
         for name, table in self.tables.items():
-            publish_parquet(table.coalesce(1), paths[name], {"compression": "zstd"})
+            publish_parquet(table, paths[name], {"compression": "zstd"})
         return paths
 
 

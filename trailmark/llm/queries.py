@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import decontaminate, langid, packing, pii, token_counts
+from trailmark.llm import decontaminate, langid, packing, pii, simhash, token_counts
 from trailmark.llm.sql import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary)
@@ -49,6 +53,7 @@ def queries() -> dict[str, Query]:
         "op2_language": op2_language,
         "op3_tokens": op3_tokens,
         "op4_decontamination": op4_decontamination,
+        "op6_simhash": op6_simhash,
         "op10_packing": op10_packing,
     }
 

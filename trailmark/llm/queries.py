@@ -13,6 +13,7 @@ from trailmark.llm import (
     decontaminate,
     embeddings,
     langid,
+    licences,
     packing,
     pii,
     simhash,
@@ -49,6 +50,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licences.scan_licences(docs, licences.train(docs))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -100,6 +106,7 @@ def queries() -> dict[str, Query]:
         "op2_language": op2_language,
         "op3_tokens": op3_tokens,
         "op4_decontamination": op4_decontamination,
+        "op5_licences": op5_licences,
         "op6_simhash": op6_simhash,
         "op7_embeddings": op7_embeddings,
         "op8_urls": op8_urls,

@@ -6,7 +6,7 @@ positions, journeys from gaps and islands.
 
 from __future__ import annotations
 
-from registry import DEPTH_SQL, FUNNEL_STEPS, ORDER_STEPS, REPEAT_STEPS
+from registry import DEPTH_SQL, FUNNEL_STEPS, ORDER_STEPS, REPEAT_STEPS, STEP_NAMES
 from trailmark.functions.tokens import DEDUPE_MODES
 from trailmark.operators.funnels import PRESET_STEPS
 from trailmark.sources.synthetic import FOLLOW_UPS, LENGTH_WEIGHTS, SHOP_EVENTS, START_EVENTS
@@ -14,21 +14,23 @@ from trailmark.sources.synthetic import FOLLOW_UPS, LENGTH_WEIGHTS, SHOP_EVENTS,
 # Session tables ------------------------------------------------------------------------------
 
 
-def events_cte(delimiter: str = "->") -> str:
+def events_cte(delimiter: str = "->", source: str = "events") -> str:
+    # Events without a user have nothing in common: each is a group of its own.
+    group = "user_id, CASE WHEN user_id IS NULL THEN event_id END"
     return f"""
     gaps AS (
-        SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)
+        SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY {group} ORDER BY ts, event_id)
                        <= INTERVAL 1 DAY THEN 0 ELSE 1 END AS opens
-        FROM events),
+        FROM {source}),
     numbered AS (
-        SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id
+        SELECT *, sum(opens) OVER (PARTITION BY {group} ORDER BY ts, event_id
                                    ROWS UNBOUNDED PRECEDING) AS sid
         FROM gaps),
     sess AS (
         SELECT user_id::VARCHAR || '_' || sid::BIGINT::VARCHAR AS SESSION,
                string_agg(event_type, '{delimiter}' ORDER BY ts, event_id) AS EVENT_PATH,
                count(*)::BIGINT AS TOTAL_EVENTS
-        FROM numbered GROUP BY user_id, sid)"""
+        FROM numbered GROUP BY {group}, sid)"""
 
 
 EVENTS = events_cte()
@@ -56,6 +58,17 @@ UNTIDY = EVENTS.replace("sess AS (", "tidy AS (") + """,
         FROM tidy)"""
 
 
+def _named_cte() -> str:
+    path = "EVENT_PATH"
+    for event, step in STEP_NAMES.items():
+        path = f"replace({path}, '{event}', '{step}')"
+    return EVENTS.replace("sess AS (", "plain AS (") + f""",
+    sess AS (SELECT SESSION, {path} AS EVENT_PATH, TOTAL_EVENTS FROM plain)"""
+
+
+NAMED = _named_cte()
+
+
 def _walk_cte() -> str:
     def names(values) -> str:
         return "[" + ", ".join(f"'{v}'" for v in values) + "]"
@@ -400,6 +413,13 @@ def build() -> dict[str, str]:
         "detect_delimiter_comma": delimiter(events_cte(",")),
         "generate_sessions": f"WITH {WALKS} SELECT * FROM sess",
         "sessionize_events": session_rows,
+        "sessionize_events_untidy": f"""WITH unsure AS (
+                SELECT event_id, event_type,
+                       CASE WHEN event_id % 7 <> 0 THEN ts END AS ts,
+                       CASE WHEN event_id % 5 <> 0 THEN user_id END AS user_id
+                FROM events),
+            {events_cte(source="unsure")}
+            SELECT * FROM sess""",
         "conversation_paths": f"WITH {TALKS} SELECT * FROM sess",
         "order_paths": f"WITH {ORDERS} SELECT * FROM sess",
         "tokenize_path": event_rows(EVENTS),
@@ -455,6 +475,12 @@ def build() -> dict[str, str]:
         "funnel_preset_search_fallback": funnel(
             EVENTS, preset(PRESET_STEPS["search"], "consecutive", 3), "consecutive"
         ),
+        "funnel_preset_checkout_named": funnel(
+            NAMED, preset(PRESET_STEPS["checkout"], "consecutive", 4), "consecutive"
+        ),
+        "funnel_preset_search_named": funnel(
+            NAMED, preset(PRESET_STEPS["search"], "consecutive", 3), "consecutive"
+        ),
         "funnel_report": f"""{funnel_ctes(EVENTS, step_list(FUNNEL_STEPS), "none")}
             SELECT *, session_count / (SELECT greatest(max(session_count), 1) FROM funnel
                                        WHERE step_number = 1) AS bar_share,
@@ -497,6 +523,16 @@ def build() -> dict[str, str]:
                 funnel_section(funnel(EVENTS, step_list(FUNNEL_STEPS), "consecutive")),
             ]
         ),
+        "session_report": " UNION ALL ".join(
+            [
+                kpi_section(EVENTS),
+                *end_sections(EVENTS, 10),
+                path_section(paths(EVENTS, "none", 10)),
+                section("matrix", matrix(EVENTS, "none", 15), "source_rank, target_rank",
+                        "source_event || ' -> ' || target_event", "transition_count"),
+                funnel_section(funnel(EVENTS, step_list(FUNNEL_STEPS), "consecutive")),
+            ]
+        ),
         "run_all": " UNION ALL ".join(
             [
                 kpi_section(EVENTS),

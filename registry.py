@@ -33,6 +33,19 @@ def sessionize_events(spark: SparkSession, sf_dir: str, delimiter: str = "->") -
     return tm.sessionize_events(table(spark, sf_dir, "events"), delimiter=delimiter)
 
 
+def sessionize_events_untidy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events, some without a timestamp or a user."""
+    events = table(spark, sf_dir, "events")
+    return tm.sessionize_events(
+        events.withColumns(
+            {
+                "ts": F.when(F.col("event_id") % 7 != 0, F.col("ts")),
+                "user_id": F.when(F.col("event_id") % 5 != 0, F.col("user_id")),
+            }
+        )
+    )
+
+
 def conversation_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tm.conversation_paths(table(spark, sf_dir, "conversations"))
 
@@ -80,6 +93,24 @@ def untidy_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Event types of the given events under the names of the presets' steps.
+STEP_NAMES = {
+    "view": "Search",
+    "click": "Product_View",
+    "signup": "Add_To_Cart",
+    "purchase": "Checkout",
+    "error": "Home",
+}
+
+
+def named_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event sessions with their events renamed to steps of the presets."""
+    path = F.col("EVENT_PATH")
+    for event, step in STEP_NAMES.items():
+        path = F.replace(path, F.lit(event), F.lit(step))
+    return event_sessions(spark, sf_dir).withColumn("EVENT_PATH", path)
+
+
 def _on(source: Callable[..., DataFrame], operator: Callable[..., DataFrame], *args, **kw) -> Query:
     return lambda spark, sf_dir: operator(source(spark, sf_dir), *args, **kw)
 
@@ -275,6 +306,7 @@ def build() -> dict[str, Query]:
         "generate_sessions": generate_sessions,
         # input adapters
         "sessionize_events": sessionize_events,
+        "sessionize_events_untidy": sessionize_events_untidy,
         "conversation_paths": conversation_paths,
         "order_paths": order_paths,
         # path arrays
@@ -323,6 +355,8 @@ def build() -> dict[str, Query]:
         "funnel_preset_search_fallback": _on(event_sessions, tm.funnel_preset, "search"),
         "funnel_report": funnel_report,
         "order_funnel": _on(order_sessions, tm.funnel, ORDER_STEPS),
+        "funnel_preset_checkout_named": _on(named_sessions, tm.funnel_preset, "checkout"),
+        "funnel_preset_search_named": _on(named_sessions, tm.funnel_preset, "search"),
         # search and SQL
         "search_event": _on(event_sessions, tm.search_sessions, event="purchase", min_events=3),
         "search_subpath": _on(event_sessions, tm.search_sessions, subpath="view->click"),
@@ -352,6 +386,9 @@ def build() -> dict[str, Query]:
         "analyze_report": lambda spark, sf_dir: tm.analyze_report(
             event_sessions(spark, sf_dir), steps=FUNNEL_STEPS
         ).long(),
+        "session_report": lambda spark, sf_dir: tm.session_report(
+            event_sessions(spark, sf_dir), steps=FUNNEL_STEPS
+        ).long(),
         "run_all": run_all,
         "neighbour_summary_none": _neighbours("none"),
         "neighbour_summary_consecutive": _neighbours("consecutive"),

@@ -10,6 +10,8 @@ from trailmark.functions.tokens import DEDUPE_MODES, DEFAULT_DELIMITER
 from trailmark.sources.convert import CODECS
 from trailmark.sources.readers import DEFAULT_MAX_RECORD
 
+ALL_ROWS = 2**31 - 2
+
 
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="trailmark", description=tm.__doc__)
@@ -19,10 +21,12 @@ def _parser() -> argparse.ArgumentParser:
     def command(name: str, help_text: str, *parents: argparse.ArgumentParser):
         return commands.add_parser(name, help=help_text, parents=parents)
 
-    dataset = argparse.ArgumentParser(add_help=False)
+    csv = argparse.ArgumentParser(add_help=False)
+    csv.add_argument("--max-record", type=int, default=DEFAULT_MAX_RECORD, help="characters of a CSV field")
+    csv.add_argument("--multi-line", action="store_true", help="CSV fields may hold line breaks")
+    dataset = argparse.ArgumentParser(add_help=False, parents=[csv])
     dataset.add_argument("path", help="session table, CSV or Parquet")
     dataset.add_argument("-d", "--delimiter", default=DEFAULT_DELIMITER)
-    dataset.add_argument("--max-record", type=int, default=DEFAULT_MAX_RECORD)
     dedupe = argparse.ArgumentParser(add_help=False)
     dedupe.add_argument("-u", "--dedupe", choices=DEDUPE_MODES, default="consecutive")
     steps = argparse.ArgumentParser(add_help=False)
@@ -34,15 +38,14 @@ def _parser() -> argparse.ArgumentParser:
     sub.add_argument("-r", "--rows", type=int, default=50_000)
     sub.add_argument("--seed", type=int, default=42)
 
-    sub = command("inspect", "columns, row count, size and first rows")
+    sub = command("inspect", "columns, row count, size and first rows", csv)
     sub.add_argument("path")
     sub.add_argument("-l", "--limit", type=int, default=5)
 
-    sub = command("convert", "convert a CSV export to Parquet")
+    sub = command("convert", "convert a CSV export to Parquet", csv)
     sub.add_argument("csv")
     sub.add_argument("output")
     sub.add_argument("-c", "--compression", default="ZSTD", choices=CODECS)
-    sub.add_argument("--max-record", type=int, default=DEFAULT_MAX_RECORD)
 
     sub = command("analyze", "frequencies, transitions, paths, funnel", dataset, dedupe, steps)
     sub.add_argument("-t", "--top", type=int, default=15)
@@ -56,7 +59,7 @@ def _parser() -> argparse.ArgumentParser:
 
     sub = command("query", "Spark SQL over the view data", dataset)
     sub.add_argument("--sql", required=True)
-    sub.add_argument("--max-rows", type=int)
+    sub.add_argument("--max-rows", type=int, default=10_000, help="a larger result is an error")
 
     command("insights", "KPIs, entry and exit events", dataset)
 
@@ -69,11 +72,11 @@ def _parser() -> argparse.ArgumentParser:
     sub.add_argument("--preset", choices=("top", "checkout", "search"))
     sub.add_argument("-t", "--top", type=int, default=15)
 
-    sub = command("run-all", "convert, then write every report table", dedupe, steps)
+    sub = command("run-all", "convert, then write every report table", dedupe, steps, csv)
     sub.add_argument("csv")
     sub.add_argument("-o", "--output", required=True, help="Parquet session table")
     sub.add_argument("-r", "--reports", required=True, help="folder for the report tables")
-    sub.add_argument("-d", "--delimiter", default=DEFAULT_DELIMITER)
+    sub.add_argument("-d", "--delimiter", help="detected if omitted")
     sub.add_argument("-t", "--top", type=int, default=15)
     sub.add_argument("-c", "--compression", default="ZSTD", choices=CODECS)
     sub.add_argument("--force", action="store_true")
@@ -91,15 +94,26 @@ def _print_facts(record) -> None:
         print(f"{name}: {value}")
 
 
+def _csv_options(args: argparse.Namespace) -> dict:
+    return {"max_record": args.max_record, "multi_line": args.multi_line}
+
+
+def _show(table) -> None:
+    """All rows: every table but a query's is bounded by the ranking it comes from, and a query's by
+    its row limit."""
+    table.show(ALL_ROWS, False)
+
+
 def run(spark, args: argparse.Namespace) -> None:
     if args.command == "generate":
         rows = tm.generate_sessions(spark, args.rows, args.seed)
         rows.write.mode("errorifexists").option("header", True).csv(args.output)
         return
     if args.command == "inspect":
-        found = tm.inspect_dataset(spark, args.path, limit=args.limit)
+        options = {} if tm.is_parquet(args.path) else _csv_options(args)
+        found = tm.inspect_dataset(spark, args.path, limit=args.limit, **options)
         _print_facts(found)
-        found.sample.show(args.limit, truncate=False)
+        _show(found.sample)
         return
     if args.command == "convert":
         _print_facts(
@@ -108,7 +122,7 @@ def run(spark, args: argparse.Namespace) -> None:
                 args.csv,
                 args.output,
                 compression=args.compression,
-                max_record=args.max_record,
+                **_csv_options(args),
             )
         )
         return
@@ -124,13 +138,12 @@ def run(spark, args: argparse.Namespace) -> None:
             dedupe=args.dedupe,
             compression=args.compression,
             force=args.force,
+            **_csv_options(args),
         )
         _print_facts(summary)
         return
 
-    options = {"max_record": args.max_record}
-    if tm.is_parquet(args.path):
-        options = {}
+    options = {} if tm.is_parquet(args.path) else _csv_options(args)
     sessions = tm.read_sessions(spark, args.path, **options)
     tables = {
         "analyze": _analyze,
@@ -142,7 +155,7 @@ def run(spark, args: argparse.Namespace) -> None:
     }[args.command](sessions, args)
     for name, table in tables.items():
         print(f"\n{name}")
-        table.show(getattr(args, "top", None) or getattr(args, "limit", None) or 1_000, False)
+        _show(table)
 
 
 def _analyze(sessions, args):
@@ -183,7 +196,6 @@ def _heatmap(sessions, args):
     matrix = tm.transition_matrix(
         sessions, delimiter=args.delimiter, top_n=args.top, dedupe=args.dedupe
     )
-    args.top = args.top**2
     return {"links": tm.flow_links(matrix)} if args.links else {"cells": tm.heatmap_cells(matrix)}
 
 
@@ -204,7 +216,8 @@ def main(argv: list[str] | None = None) -> int:
     try:
         run(spark, args)
     except (tm.SessionDataError, tm.RowLimitError, FileNotFoundError) as error:
-        print(error, file=sys.stderr)
+        hint = getattr(error, "hint", None)
+        print(f"{error}\n{hint}" if hint else error, file=sys.stderr)
         return 2
     return 0
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.tokens import DEFAULT_DELIMITER, check_top_n
 from trailmark.operators.edges import edge_counts
+from trailmark.sources.storage import stored_table
 
 # Upper bounds of the heatmap bands, size and link limit of the flow diagram.
 HEAT_BANDS = ((0.15, "low"), (0.40, "medium"), (0.70, "high"))
@@ -14,7 +15,8 @@ TOP_HEAT_BAND, EMPTY_HEAT_BAND = "peak", "none"
 MIN_CELL_OPACITY = 0.15
 FLOW_EVENTS, FLOW_LINKS = 10, 24
 
-# A matrix of up to this many events has its cells broadcast, about a million small rows.
+# A matrix of up to this many events has its cells broadcast, about a million small rows; larger
+# ones are joined. The bound is on top_n, which bounds the rows; results are the same.
 BROADCAST_EVENTS = 1_000
 
 
@@ -134,20 +136,26 @@ def transition_matrix_wide(
 ) -> DataFrame:
     """The matrix as a square: ``source_event`` and one column per target, both in rank order.
 
-    Column names are data, so this runs one job to learn them: at most ``top_n`` names reach
-    the driver. Without events the result has no rows and no target columns.
+    Column names are data, so the cells, at most ``top_n`` squared, are stored by one job, and
+    their names reach the driver. The key column gets underscores if an event has its name.
+    Without events the result has no rows and no target columns.
     """
     edges = edge_counts(sessions, delimiter, dedupe, drop_blanks=True)
-    names = _top_event_names(edges, top_n).head()["names"]
-    matrix = matrix_from_edges(edges, top_n)
+    matrix = stored_table(matrix_from_edges(edges, top_n), "matrix")
+    ranks = matrix.where("target_rank = 1").select("source_rank", "source_event").collect()
+    names = [row["source_event"] for row in sorted(ranks)]
+    key = "source_event"
+    while key in names:
+        key += "_"
+    rows = matrix.withColumnRenamed("source_event", key)
     if not names:
-        return matrix.select("source_event").limit(0)
+        return rows.select(key).limit(0)
     return (
-        matrix.groupBy("source_rank", "source_event")
+        rows.groupBy("source_rank", key)
         .pivot("target_event", names)
         .agg(F.sum("transition_count"))
         .orderBy("source_rank")
-        .drop("source_rank")
+        .select(key, *[F.col("`" + name.replace("`", "``") + "`") for name in names])
     )
 
 

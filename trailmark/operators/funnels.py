@@ -140,6 +140,11 @@ def frequent_events(
     return [row["event_name"] for row in top.select("event_name").collect()]
 
 
+def _no_steps(sessions: DataFrame) -> DataFrame:
+    """A funnel without rows."""
+    return funnel(sessions.limit(0), ["none"]).limit(0)
+
+
 def funnel_auto(
     sessions: DataFrame,
     *,
@@ -147,9 +152,11 @@ def funnel_auto(
     top_n: int = 15,
     dedupe: str | None = "consecutive",
 ) -> DataFrame:
-    """Reach funnel over the most frequent events, at most eight of them."""
+    """Reach funnel over the most frequent events, at most eight of them; no rows without any."""
     size = min(check_top_n(top_n), MAX_AUTO_STEPS)
     steps = frequent_events(sessions, delimiter, size, dedupe)
+    if not steps:
+        return _no_steps(sessions)
     return funnel(sessions, steps, delimiter=delimiter, sequential=False, dedupe=dedupe)
 
 
@@ -175,8 +182,13 @@ def funnel_preset(
     delimiter: str = DEFAULT_DELIMITER,
     dedupe: str | None = "consecutive",
 ) -> DataFrame:
-    """Ordered funnel over the steps of a preset: ``top``, ``checkout`` or ``search``."""
+    """Ordered funnel over the steps of a preset: ``top``, ``checkout`` or ``search``.
+
+    No rows when the sessions have no events.
+    """
     steps = preset_steps(sessions, preset, delimiter=delimiter, dedupe=dedupe)
+    if not steps:
+        return _no_steps(sessions)
     return funnel(sessions, steps, delimiter=delimiter, dedupe=dedupe)
 
 

@@ -27,6 +27,7 @@ from trailmark.operators.edges import neighbour_rows
 # The depth percentiles reported.
 PERCENTILES = {"median_events": 50, "p75_events": 75, "p90_events": 90}
 SKETCH_ACCURACY = 10_000
+DEPTH_BUCKETS = 256
 
 
 def _event_rows(sessions: DataFrame, delimiter: str, mode: str) -> DataFrame:
@@ -96,18 +97,30 @@ def top_paths(
     Paths are grouped with the depth as recorded, so one deduplicated path can fill several
     rows. The share is of all sessions, also those without a path or below ``min_events``.
     """
-    all_sessions = sessions.agg(F.count(F.lit(1))).scalar()
+    counted = F.col("EVENT_PATH").isNotNull() & (F.col("TOTAL_EVENTS") >= min_events)
+    kept = F.coalesce(counted, F.lit(False))
+    counts = (
+        sessions.select(
+            kept.alias("kept"),
+            F.when(kept, sanitize_path(F.col("EVENT_PATH"), dedupe, delimiter)).alias("full_path"),
+            F.when(kept, F.col("TOTAL_EVENTS")).alias("TOTAL_EVENTS"),
+        )
+        .groupBy("kept", "full_path", "TOTAL_EVENTS")
+        .agg(F.count(F.lit(1)).alias("session_count"))
+    )
+    # The sessions that are not ranked are one group, sorted last and dropped after the limit: the
+    # ranking and the total then read one and the same aggregate.
+    all_sessions = counts.agg(F.sum("session_count")).scalar()
     return (
-        sessions.where(F.col("EVENT_PATH").isNotNull() & (F.col("TOTAL_EVENTS") >= min_events))
+        counts.orderBy(F.desc("kept"), F.desc("session_count"), "full_path", "TOTAL_EVENTS")
+        .limit(check_top_n(top_n))
+        .where("kept")
         .select(
-            sanitize_path(F.col("EVENT_PATH"), dedupe, delimiter).alias("full_path"),
+            "full_path",
             "TOTAL_EVENTS",
+            "session_count",
+            share_percent(F.col("session_count"), all_sessions).alias("share_percent"),
         )
-        .groupBy("full_path", "TOTAL_EVENTS")
-        .agg(F.count(F.lit(1)).alias("session_count"))
-        .orderBy(F.desc("session_count"), "full_path", "TOTAL_EVENTS")
-        .limit(check_top_n(top_n))
-        .withColumn("share_percent", share_percent(F.col("session_count"), all_sessions))
     )
 
 
@@ -130,6 +143,17 @@ def rank_ends(counts: DataFrame, end: str, top_n: int) -> DataFrame:
     )
 
 
+def path_ends(sessions: DataFrame, delimiter: str = DEFAULT_DELIMITER) -> DataFrame:
+    """(entry, exit, n): how many sessions with a positive depth start and end so."""
+    path = F.col("EVENT_PATH")
+    return (
+        sessions.where(path.isNotNull() & (F.col("TOTAL_EVENTS") > 0))
+        .select(first_event(path, delimiter).alias("entry"), last_event(path, delimiter).alias("exit"))
+        .groupBy("entry", "exit")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 def _end_events(sessions: DataFrame, event: Column, end: str, top_n: int) -> DataFrame:
     counts = (
         sessions.where(F.col("EVENT_PATH").isNotNull() & (F.col("TOTAL_EVENTS") > 0))
@@ -162,8 +186,8 @@ def exit_events(
 def session_kpis(sessions: DataFrame, *, approximate: bool = False) -> DataFrame:
     """One row of key figures over all sessions, NULL paths and NULL depths included.
 
-    Percentiles are discrete and exact: sessions are first counted per depth, so what reaches
-    the final task is one row per distinct depth, however many sessions there are.
+    Percentiles are discrete and exact: sessions are first counted per depth, then depths are
+    ranked bucket by bucket.
     ``approximate`` sketches them instead, in one aggregate whose size does not depend on how
     many distinct depths there are; use it for depths that are hardly ever equal.
     """
@@ -186,9 +210,25 @@ def _counted_kpis(sessions: DataFrame) -> DataFrame:
     )
     depth, n = F.col("depth"), F.col("n")
     known = F.when(depth.isNotNull(), n).otherwise(0)
-    ranked = depths.withColumn(
-        "up_to", F.sum(known).over(Window.orderBy(depth.asc_nulls_first()))
-    ).withColumn("measured", F.sum(known).over(Window.partitionBy()))
+    # Depths are cut into buckets of about equally many distinct depths. Only the buckets, at most
+    # DEPTH_BUCKETS + 1 rows, are ranked in one task; depths are ranked within their bucket.
+    cuts = [i / DEPTH_BUCKETS for i in range(1, DEPTH_BUCKETS)]
+    bounds = depths.agg(F.percentile_approx("depth", cuts, SKETCH_ACCURACY)).scalar()
+    bucket = F.when(depth.isNull(), -1).otherwise(
+        F.size(F.filter("bounds", lambda bound: bound < depth))
+    )
+    placed = depths.withColumn("bounds", bounds).withColumn("bucket", bucket).drop("bounds")
+    totals = placed.groupBy("bucket").agg(F.sum(known).alias("in_bucket"))
+    measured = totals.agg(F.sum("in_bucket")).scalar()
+    before = totals.select(
+        "bucket", (F.sum("in_bucket").over(Window.orderBy("bucket")) - F.col("in_bucket")).alias("before")
+    )
+    within = Window.partitionBy("bucket").orderBy("depth")
+    ranked = (
+        placed.join(F.broadcast(before), "bucket")
+        .withColumn("up_to", F.col("before") + F.sum(known).over(within))
+        .withColumn("measured", measured)
+    )
 
     def percentile(percent: int) -> Column:
         return F.min(F.when(F.col("up_to") * 100 >= F.col("measured") * percent, depth))

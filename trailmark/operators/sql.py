@@ -9,22 +9,47 @@ from trailmark.errors import RowLimitError
 VIEW_NAME = "data"
 
 
+def _only_reads(sessions: DataFrame, query: str) -> bool:
+    """Whether ``query`` parses to a plan without a command or an insertion anywhere."""
+    plan = sessions.sparkSession._jsparkSession.sessionState().sqlParser().parsePlan(query)
+    command = plan.getClass().getClassLoader().loadClass(
+        "org.apache.spark.sql.catalyst.plans.logical.Command"
+    )
+    left = [plan]
+    while left:
+        node = left.pop()
+        if command.isInstance(node) or node.getClass().getSimpleName() == "InsertIntoStatement":
+            return False
+        children = node.children()
+        left += [children.apply(i) for i in range(children.size())]
+    return True
+
+
 def sql_on_data(sessions: DataFrame, query: str, *, max_rows: int | None = None) -> DataFrame:
     """The result of ``query`` in Spark SQL, with ``sessions`` registered as ``data``.
 
-    With ``max_rows`` the query runs here: a larger result raises ``RowLimitError``, and what
-    comes back is the fetched rows, of which the driver never holds more than ``max_rows + 1``.
+    Queries only. With ``max_rows`` a larger result raises ``RowLimitError``; that is found by
+    counting at most ``max_rows + 1`` rows on the executors, and no row comes to the driver. A
+    view ``data`` of the caller's is put back.
     """
     if not query or not query.strip():
         raise ValueError("The SQL query is empty.")
     if max_rows is not None and max_rows < 0:
         raise ValueError("max_rows cannot be negative.")
     spark = sessions.sparkSession
+    if not _only_reads(sessions, query):
+        raise ValueError("Only queries are accepted, no statements that change or set anything.")
+    own = None
+    if VIEW_NAME in [t.name for t in spark.catalog.listTables() if t.isTemporary]:
+        own = spark.table(VIEW_NAME)
     sessions.createOrReplaceTempView(VIEW_NAME)
-    result = spark.sql(query)
-    if max_rows is None:
-        return result
-    rows = result.take(max_rows + 1)
-    if len(rows) > max_rows:
+    try:
+        result = spark.sql(query)
+    finally:
+        if own is None:
+            spark.catalog.dropTempView(VIEW_NAME)
+        else:
+            own.createOrReplaceTempView(VIEW_NAME)
+    if max_rows is not None and result.limit(max_rows + 1).count() > max_rows:
         raise RowLimitError(f"The result is larger than the {max_rows:,}-row limit")
-    return spark.createDataFrame(rows, result.schema)
+    return result

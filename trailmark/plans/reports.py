@@ -26,9 +26,8 @@ from trailmark.operators.funnels import (
     funnel_report,
 )
 from trailmark.operators.metrics import (
-    entry_events,
-    exit_events,
     frequencies_from_edges,
+    path_ends,
     rank_ends,
     session_kpis,
     top_paths,
@@ -36,9 +35,10 @@ from trailmark.operators.metrics import (
 from trailmark.sources.convert import Conversion, convert_if_stale, inspect_dataset
 from trailmark.sources.delimiter import detect_delimiter
 from trailmark.sources.readers import read_parquet
-from trailmark.sources.storage import publish_parquet
+from trailmark.sources.storage import publish, recover, stored_table
 
 INSIGHT_ROWS, REPORT_PATHS, REPORT_ENDS = 5, 10, 10
+CURRENT = "current"
 
 
 @dataclass(frozen=True)
@@ -53,11 +53,18 @@ class Report:
         return reduce(DataFrame.unionByName, parts)
 
     def write(self, output_dir: str) -> dict[str, str]:
-        """One Parquet table per section under ``output_dir``; {section: path}."""
-        paths = {name: f"{output_dir.rstrip('/')}/{name}" for name in self.tables}
+        """One Parquet table per section under ``output_dir``/current; {section: path}.
+
+        All of them change at once, when the last one is written.
+        """
+        folder = f"{output_dir.rstrip('/')}/{CURRENT}"
+        spark = next(iter(self.tables.values())).sparkSession
+        publish(spark, folder, self.write_into)
+        return {name: f"{folder}/{name}" for name in self.tables}
+
+    def write_into(self, folder: str) -> None:
         for name, table in self.tables.items():
-            publish_parquet(table, paths[name], {"compression": "zstd"})
-        return paths
+            table.write.option("compression", "zstd").parquet(f"{folder}/{name}")
 
 
 def _long_form(section: str, table: DataFrame) -> DataFrame:
@@ -100,12 +107,21 @@ def _long_form(section: str, table: DataFrame) -> DataFrame:
 def insights_report(
     sessions: DataFrame, *, delimiter: str = DEFAULT_DELIMITER, top_n: int = INSIGHT_ROWS
 ) -> Report:
-    """KPIs with the most frequent entry and exit events."""
+    """KPIs with the most frequent entry and exit events.
+
+    The ends of all paths are counted here, in one pass, and stored for both tables.
+    """
+    ends = stored_table(path_ends(sessions, delimiter), "ends")
+
+    def table(end: str) -> DataFrame:
+        counts = ends.groupBy(F.col(end).alias("event_name")).agg(F.sum("n").alias("n"))
+        return rank_ends(counts, end, top_n)
+
     return Report(
         {
             "kpis": session_kpis(sessions),
-            "entry_points": entry_events(sessions, delimiter=delimiter, top_n=top_n),
-            "exit_points": exit_events(sessions, delimiter=delimiter, top_n=top_n),
+            "entry_points": table("entry"),
+            "exit_points": table("exit"),
         }
     )
 
@@ -120,10 +136,10 @@ def analyze_report(
 ) -> Report:
     """Event frequencies, transitions, top paths and, with ``steps``, an ordered funnel.
 
-    Frequencies and transitions come from the same edge counts, so that one query over both
-    splits the paths once.
+    Frequencies and transitions come from the same edge counts, which are made here and stored,
+    so that the paths are split once however the tables are read.
     """
-    edges = edge_counts(sessions, delimiter, dedupe)
+    edges = stored_table(edge_counts(sessions, delimiter, dedupe), "edges")
     tables = {
         "events": frequencies_from_edges(edges, top_n),
         "transitions": rank_transitions(edges, top_n),
@@ -191,37 +207,46 @@ def run_all(
     parquet_path: str,
     output_dir: str,
     *,
-    delimiter: str = DEFAULT_DELIMITER,
+    delimiter: str | None = None,
     top_n: int = 15,
     steps: Sequence[str] | None = None,
     dedupe: str | None = "consecutive",
     compression: str = "ZSTD",
     force: bool = False,
+    **csv_options,
 ) -> RunSummary:
     """Convert an export unless its Parquet copy is up to date, then write every report table.
 
-    The delimiter is detected unless another than the default is given. The counts of
-    neighbouring events are written first, to ``neighbours`` under ``output_dir``; most tables
-    are made from them.
+    Without a ``delimiter`` it is detected in all paths; a given one is obeyed. ``csv_options`` are
+    those of ``read_csv``. The counts of neighbouring events are written first, as ``neighbours``;
+    most tables are made from them. All tables are published at once, under ``output_dir``/current.
     """
     conversion = convert_if_stale(
-        spark, csv_path, parquet_path, force=force, compression=compression
+        spark, csv_path, parquet_path, force=force, compression=compression, **csv_options
     )
     found = inspect_dataset(spark, parquet_path, limit=3)
     sessions = read_parquet(spark, parquet_path)
-    if delimiter == DEFAULT_DELIMITER:
+    if delimiter is None:
         delimiter = detect_delimiter(sessions)
-    neighbours_path = f"{output_dir.rstrip('/')}/neighbours"
-    publish_parquet(
-        neighbour_counts(sessions, delimiter), neighbours_path, {"compression": "zstd"}
-    )
-    report = session_report(
-        sessions,
-        delimiter=delimiter,
-        top_n=top_n,
-        steps=steps,
-        dedupe=dedupe,
-        neighbours=spark.read.parquet(neighbours_path),
-    )
-    outputs = report.write(output_dir)
+    folder = f"{output_dir.rstrip('/')}/{CURRENT}"
+    names: list[str] = []
+
+    def write(place: str) -> None:
+        neighbours_path = f"{place}/neighbours"
+        counts = neighbour_counts(sessions, delimiter)
+        counts.write.option("compression", "zstd").parquet(neighbours_path)
+        report = session_report(
+            sessions,
+            delimiter=delimiter,
+            top_n=top_n,
+            steps=steps,
+            dedupe=dedupe,
+            neighbours=spark.read.schema(counts.schema).parquet(neighbours_path),
+        )
+        report.write_into(place)
+        names.extend(report.tables)
+
+    recover(spark, folder)
+    publish(spark, folder, write)
+    outputs = {name: f"{folder}/{name}" for name in names}
     return RunSummary(conversion, found.total_rows, found.columns, delimiter, outputs)

@@ -54,36 +54,56 @@ def sessionize_events(
     gap, so sessions can only break between slots: they are numbered on one summary row per
     user and active slot, however many events a slot holds. A user with a third of all events
     is thus spread over slots, and the window over a user is bounded by the calendar.
+
+    An event without a timestamp has no distance to any other: it is a session of its own, numbered
+    after the user's dated ones by ``tie_break``. Events without a user share none: each is a
+    session of its own, without a name.
     """
     check_delimiter(delimiter)
     check_max_record(max_record)
     gap = f"{gap_seconds} seconds"
-    # Plain, never-NULL keys: the join and the first grouping then share one partitioning.
+    alone = F.col(user).isNull() | F.col(timestamp).isNull()
+    moment = F.unix_micros(F.col(timestamp).cast("timestamp"))
+    # Plain, never-NULL keys: the join and the first grouping then share one partitioning. An event
+    # on its own has its tie break in the key, and without a user also in place of one.
+    tie_text = F.coalesce(F.col(tie_break).cast("string"), F.lit(""))
     slotted = events.select(
-        F.coalesce(F.col(user).cast("string"), F.lit("")).alias("who"),
+        F.coalesce(F.col(user).cast("string"), tie_text).alias("who"),
         F.col(user).isNull().alias("nobody"),
-        F.window(F.col(timestamp), gap).getField("start").alias("slot"),
+        F.when(alone, F.concat(F.lit("-"), tie_text)).otherwise("").alias("lone"),
+        F.when(alone, 0)
+        .otherwise(F.floor(moment / F.lit(gap_seconds * 1_000_000)))
+        .cast("bigint")
+        .alias("slot"),
         F.col(timestamp).alias("ts"),
         F.col(tie_break).alias("tie"),
         F.col(event).alias("event"),
     )
-    slots = slotted.groupBy("who", "nobody", "slot").agg(
+    keys = ["who", "nobody", "lone", "slot"]
+    is_alone = F.col("lone") != ""
+    slots = slotted.groupBy(*keys).agg(
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
+        F.min("tie").alias("tie"),
+        F.count(F.lit(1)).alias("n"),
         _path_bytes("event", delimiter).alias("bytes"),
     )
-    by_time = Window.partitionBy("who", "nobody").orderBy("slot")
+    by_time = Window.partitionBy("who", "nobody").orderBy(is_alone, "slot", "tie", "lone")
     previous = F.lag("last_ts").over(by_time)
-    opens = F.when(F.col("first_ts") <= previous + F.expr(f"INTERVAL {gap}"), 0).otherwise(1)
+    opens = (
+        F.when(is_alone, F.col("n"))
+        .when(F.col("first_ts") <= previous + F.expr(f"INTERVAL {gap}"), 0)
+        .otherwise(1)
+    )
     one_session = Window.partitionBy("who", "nobody", "session_no")
     numbered = (
         slots.withColumn("opens", opens)
         .withColumn("session_no", F.sum("opens").over(by_time))
-        .withColumn("path_bytes", F.sum("bytes").over(one_session))
+        .withColumn(
+            "path_bytes", F.sum(F.when(is_alone, F.lit(0)).otherwise(F.col("bytes"))).over(one_session)
+        )
         .select(
-            "who",
-            "nobody",
-            "slot",
+            *keys,
             _within_limit(F.col("session_no"), F.col("path_bytes"), max_record).alias(
                 "session_no"
             ),
@@ -91,24 +111,36 @@ def sessionize_events(
     )
     # Events become one piece of path per slot before sessions are put together, so that the
     # second shuffle and the final rows carry text, not events.
-    pieces = (
-        slotted.join(numbered, ["who", "nobody", "slot"])
-        .groupBy("who", "nobody", "slot", "session_no")
+    collected = (
+        slotted.join(numbered, keys)
+        .groupBy(*keys, "session_no")
         .agg(
             F.collect_list(F.struct("ts", "tie", "event")).alias("steps"),
             F.count("event").alias("named"),
             F.count(F.lit(1)).alias("n"),
         )
-        .select(
-            "who",
-            "nobody",
+    )
+    # Of rows on their own that share a tie break, each opens a session.
+    each = F.transform(
+        F.sort_array("steps"),
+        lambda step, i: F.struct(
+            (F.col("session_no") - F.col("n") + 1 + i).alias("session_no"),
+            F.when(step["event"].isNotNull(), 1).otherwise(0).cast("bigint").alias("named"),
+            F.lit(1).cast("bigint").alias("n"),
+            step["event"].alias("piece"),
+        ),
+    )
+    together = F.array(
+        F.struct(
             "session_no",
             "named",
             "n",
-            "slot",
             _joined(F.col("steps"), "event", F.col("named"), delimiter).alias("piece"),
         )
     )
+    pieces = collected.select(
+        "who", "nobody", "slot", F.explode(F.when(is_alone, each).otherwise(together)).alias("part")
+    ).select("who", "nobody", "slot", "part.*")
     whole = pieces.groupBy("who", "nobody", "session_no").agg(
         F.collect_list(F.struct("slot", "piece")).alias("pieces"),
         F.sum("named").alias("named"),

@@ -58,11 +58,11 @@ def _header_for(column: str, headers: list[str]) -> str:
     if found:
         raise SessionDataError(
             f"The dataset has ambiguous columns for {column}: {', '.join(found)}",
-            f"Rename the one that is meant to {column}.",
+            hint=f"Rename the one that is meant to {column}.",
         )
     raise SessionDataError(
         f"No column of the dataset reads as {column}",
-        f"Found {', '.join(headers)}; rename the header that holds it.",
+        hint=f"Found {', '.join(headers)}; rename the header that holds it.",
     )
 
 
@@ -75,7 +75,7 @@ def map_columns(headers: Iterable[str]) -> dict[str, str]:
         if others:
             raise SessionDataError(
                 f"The dataset has ambiguous columns for {column}: {header} reads as {others[0]} too",
-                f"Rename the headers to {', '.join(SESSION_COLUMNS)}.",
+                hint=f"Rename the headers to {', '.join(SESSION_COLUMNS)}.",
             )
     return mapping
 
@@ -106,12 +106,12 @@ def validate_schema(df: DataFrame) -> dict[str, str]:
     for column in SESSION_COLUMNS:
         if column not in types:
             raise SessionDataError(
-                f"No column of the dataset reads as {column}", f"Found {', '.join(types)}."
+                f"No column of the dataset reads as {column}", hint=f"Found {', '.join(types)}."
             )
     if not isinstance(types["TOTAL_EVENTS"], T.NumericType):
         raise SessionDataError(
             "TOTAL_EVENTS must be numeric",
-            "Remove the non-numeric values from TOTAL_EVENTS or export it again.",
+            hint="Remove the non-numeric values from TOTAL_EVENTS or export it again.",
         )
     return {name: kind.simpleString() for name, kind in types.items()}
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from trailmark.errors import SessionDataError
 from trailmark.sources.readers import DEFAULT_MAX_RECORD, is_parquet, read_csv
-from trailmark.sources.storage import file_facts, publish_parquet
+from trailmark.sources.storage import file_facts, publish_parquet, recover
 
 # Compression codecs offered, rows per row group, text shown for uncounted rows.
 CODECS = ("ZSTD", "SNAPPY", "GZIP", "UNCOMPRESSED")
@@ -93,22 +94,40 @@ def convert_dataset(
     )
 
 
+def _first_condition(error: Exception) -> str:
+    """What Spark said first: the innermost message of the chain of causes that names a condition
+    or a record, with the file it was in."""
+    found, file = [], ""
+    cause = getattr(error, "java_exception", None) or getattr(error, "_origin", None)
+    for _ in range(20):
+        if cause is None:
+            break
+        message = str(cause.getMessage() or "")
+        place = re.search(r"(?:file|while reading)[: ]+((?:[a-z0-9]+:/)?/\S+?)[.,]?(?:\s|$)", message)
+        file = file or (place.group(1) if place else "")
+        found.append(message.strip().split("\n")[0])
+        cause = cause.getCause()
+    named = [message for message in found if re.search(r"\[[A-Z_.]+\]|record|Malformed", message)]
+    text = (named or [m for m in found if m] or [str(error).strip().split("\n")[0]])[-1]
+    return f"{text} (in {file})" if file and file not in text else text
+
+
 def _conversion_error(error: Exception, max_record: int) -> SessionDataError:
-    text = str(error)
-    if "maxCharsPerColumn" in text or "Length of parsed input" in text:
+    said = f"{error} {_first_condition(error)}"
+    if "maxCharsPerColumn" in said or "Length of parsed input" in said:
         return SessionDataError(
-            f"CSV conversion failed: a record exceeds max_record={max_record}",
-            "Raise max_record if the record is genuine; otherwise check line ends and quotes.",
+            f"CSV conversion failed: a field is longer than max_record={max_record} characters",
+            hint="A quote that never closes makes such fields too; else raise max_record.",
         )
-    first_line = text.strip().splitlines()[0] if text.strip() else type(error).__name__
     return SessionDataError(
-        f"CSV conversion failed: {first_line}",
-        "Check quoting, delimiters, encoding and column types near the reported record.",
+        f"CSV conversion failed: {_first_condition(error)}",
+        hint="multi_line=True reads fields that hold line breaks; types={header: type} sets a type.",
     )
 
 
 def is_fresh(spark: SparkSession, source_path: str, output_path: str) -> bool:
     """Whether the output exists and is at least as new as its source."""
+    recover(spark, output_path)
     output = file_facts(spark, output_path)
     if output is None:
         return False
@@ -125,11 +144,14 @@ def convert_if_stale(
     return convert_dataset(spark, csv_path, parquet_path, **options)
 
 
-def inspect_dataset(spark: SparkSession, path: str, *, limit: int = 5) -> Inspection:
+def inspect_dataset(
+    spark: SparkSession, path: str, *, limit: int = 5, **csv_options
+) -> Inspection:
     """Columns, row count, size and first rows of an export.
 
-    Rows are counted from Parquet footers; a CSV is not read through for its count.
+    Rows are counted from Parquet footers; a CSV, read with ``csv_options``, is not counted.
     """
+    recover(spark, path)
     facts = file_facts(spark, path)
     if facts is None:
         raise FileNotFoundError(f"File not found: {path}")
@@ -137,6 +159,6 @@ def inspect_dataset(spark: SparkSession, path: str, *, limit: int = 5) -> Inspec
         table = spark.read.parquet(path)
         total: int | str = table.count()
     else:
-        table = read_csv(spark, path)
+        table = read_csv(spark, path, **csv_options)
         total = ROWS_NOT_COUNTED
     return Inspection(path, total, facts.size_mb, table.dtypes, table.limit(limit))

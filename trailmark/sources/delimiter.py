@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.tokens import DEFAULT_DELIMITER, KNOWN_DELIMITERS, trim_event
 
-SAMPLE_PATHS = 10
-
 
 def _filled_paths(sessions: DataFrame) -> DataFrame:
     path = F.col("EVENT_PATH")
@@ -27,15 +25,6 @@ def delimiter_of(sessions: DataFrame) -> DataFrame:
     return _filled_paths(sessions).agg(found.alias("delimiter"))
 
 
-def detect_delimiter(sessions: DataFrame, *, sample_paths: int | None = SAMPLE_PATHS) -> str:
-    """The delimiter of the first few paths, or of all with ``sample_paths=None``.
-
-    For a sample only four flags per path reach the driver, and Spark stops reading once it
-    has enough paths.
-    """
-    if sample_paths is None:
-        return delimiter_of(sessions).head()["delimiter"]
-    flags = [F.col("EVENT_PATH").contains(delimiter) for delimiter in KNOWN_DELIMITERS]
-    seen = _filled_paths(sessions).select(*flags).take(sample_paths)
-    occurring = (d for i, d in enumerate(KNOWN_DELIMITERS) if any(row[i] for row in seen))
-    return next(occurring, DEFAULT_DELIMITER)
+def detect_delimiter(sessions: DataFrame) -> str:
+    """The first known delimiter that occurs in any path of ``sessions``."""
+    return delimiter_of(sessions).head()["delimiter"]

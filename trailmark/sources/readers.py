@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.errors import SessionDataError
 from trailmark.sources.columns import as_sessions, map_columns
+from trailmark.sources.storage import recover
 
 # Limits of one CSV record, and the file endings read as Parquet.
 DEFAULT_MAX_RECORD = 32 * 1024 * 1024
@@ -17,16 +15,11 @@ MIN_MAX_RECORD = 2_000_000
 MAX_MAX_RECORD = 256 * 1024 * 1024
 PARQUET_ENDINGS = (".parquet", ".pq")
 
-TYPE_SAMPLE_ROWS = 20_480
-
-# Types tried for a CSV column, most specific first, with the text every value must match.
-_TYPE_PATTERNS = (
-    ("bigint", r"^[+-]?[0-9]{1,18}$"),
-    ("double", r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,3})?$"),
-    ("boolean", r"^(?i:true|false)$"),
-    ("date", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"),
-    ("timestamp_ntz", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?$"),
-)
+_WHOLE = r"^[+-]?(0|[1-9][0-9]*)$"
+_LONG_WHOLE = r"^[+-]?(0|[1-9][0-9]{0,37})$"
+_POINT = r"^[+-]?((0|[1-9][0-9]*)\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,3})?$|^[+-]?[1-9][0-9]*[eE][+-]?[0-9]{1,3}$"
+#: Whole numbers up to this size are the same as doubles.
+_DOUBLE_WHOLE = 2**53
 
 
 def is_parquet(path: str) -> bool:
@@ -45,31 +38,52 @@ def _quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def _sampled_types(rows: DataFrame, columns: list[str], sample_rows: int) -> dict[str, str | None]:
-    """Type of each text column as seen in the first rows, None where they hold no value.
+def _kinds(value: Column) -> dict[str, Column]:
+    """For each type of a CSV column, most specific first, whether ``value`` is one without loss.
+
+    A whole number is a bigint, or a decimal(38,0) when it has more digits; it is a double only
+    beside numbers with a point, and only if it is small enough to stay the same. Text with
+    leading zeros is no number.
+    """
+    whole = value.rlike(_WHOLE)
+    bigint = value.try_cast("bigint")
+    return {
+        "bigint": whole & bigint.isNotNull(),
+        "decimal(38,0)": value.rlike(_LONG_WHOLE),
+        "double": value.rlike(_POINT) | (whole & (F.abs(value.try_cast("double")) <= _DOUBLE_WHOLE)),
+        "boolean": value.rlike(r"^(?i:true|false)$"),
+        "date": value.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & value.try_cast("date").isNotNull(),
+        "timestamp_ntz": value.rlike(
+            r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?$"
+        )
+        & value.try_cast("timestamp_ntz").isNotNull(),
+    }
+
 
-    Each value becomes a small number, one bit per type it fits. Only those numbers are taken,
-    and Spark reads partitions one after the other until it has enough.
+def _types(rows: DataFrame, columns: list[str], depth: str) -> dict[str, str | None]:
+    """Type of each text column that holds all its values, None where it holds none.
+
+    One aggregate over all rows: a value becomes a number with one bit per type it fits, and the
+    bits that all values of a column share remain.
     """
     if not columns:
         return {}
 
     def fitting(name: str) -> Column:
-        value, bits = _quoted(name), F.lit(0)
-        for bit, (kind, pattern) in enumerate(_TYPE_PATTERNS):
-            fits = value.rlike(pattern)
-            if kind in ("date", "timestamp_ntz"):
-                fits = fits & value.try_cast(kind).isNotNull()
+        value = _quoted(name)
+        if name == depth:  # a number, however it is written
+            value = F.regexp_replace(value, r"^([+-]?)0+(?=[0-9])", "$1")
+        bits = F.lit(0)
+        for bit, fits in enumerate(_kinds(value).values()):
             bits = bits + F.when(fits, 1 << bit).otherwise(0)
-        return F.when(value.isNotNull(), bits)
+        return F.bit_and(F.when(value.isNotNull(), bits))
 
-    seen = rows.select(*[fitting(name) for name in columns]).take(sample_rows)
+    names = list(_kinds(F.lit("")))
+    shared = rows.agg(*[fitting(name).alias(f"c{i}") for i, name in enumerate(columns)]).head()
     types: dict[str, str | None] = {}
-    for i, name in enumerate(columns):
-        values = [row[i] for row in seen if row[i] is not None]
-        common = reduce(and_, values, -1)
-        fits = [kind for bit, (kind, _) in enumerate(_TYPE_PATTERNS) if common & (1 << bit)]
-        types[name] = (fits or ["string"])[0] if values else None
+    for name, bits in zip(columns, shared):
+        fits = [] if bits is None else [kind for bit, kind in enumerate(names) if bits & (1 << bit)]
+        types[name] = None if bits is None else (fits or ["string"])[0]
     return types
 
 
@@ -80,40 +94,40 @@ def read_csv(
     multi_line: bool = False,
     max_record: int = DEFAULT_MAX_RECORD,
     types: dict[str, str] | None = None,
-    sample_rows: int = TYPE_SAMPLE_ROWS,
 ) -> DataFrame:
     """Session rows of a CSV export with a header line, mapped and validated.
 
-    Types of the depth and of extra columns are judged on the first ``sample_rows`` records and
-    then fixed: the data itself is read once, and a record that does not fit fails the job
-    instead of being dropped. ``types`` overrides them by header. Files are split across tasks
-    unless ``multi_line`` says that quoted fields may hold line breaks.
+    Types of the depth and of extra columns are taken from all their values, in a pass of its own;
+    ``types`` gives them by header instead, and with all given that pass is left out. Every record
+    is parsed in full whatever columns an analysis reads, and one that is malformed (too few or
+    too many fields, a value that does not fit a given type) fails the job instead of being dropped
+    or counted. Files are split across tasks unless ``multi_line`` says that quoted fields may hold
+    line breaks. ``max_record`` bounds the characters of a field.
     """
     reader = (
         spark.read.option("header", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "FAILFAST")
+        .option("columnPruning", False)
         .option("multiLine", multi_line)
         .option("maxCharsPerColumn", check_max_record(max_record))
     )
     as_text = reader.csv(path)
     headers = as_text.columns
     mapping = map_columns(headers)
-    given = types or {}
-    fixed = {mapping["SESSION"]: "string", mapping["EVENT_PATH"]: "string", **given}
-    kinds = {
-        **_sampled_types(as_text, [h for h in headers if h not in fixed], sample_rows),
-        **fixed,
-    }
+    depth = mapping["TOTAL_EVENTS"]
+    fixed = {mapping["SESSION"]: "string", mapping["EVENT_PATH"]: "string", **(types or {})}
+    kinds = {**_types(as_text, [h for h in headers if h not in fixed], depth), **fixed}
     # Without any value seen, a depth is taken for a whole number and anything else for text.
-    blank = {h: "bigint" if h == mapping["TOTAL_EVENTS"] else "string" for h in headers}
+    blank = {h: "bigint" if h == depth else "string" for h in headers}
     schema = ", ".join(f"`{h.replace('`', '``')}` {kinds[h] or blank[h]}" for h in headers)
     return as_sessions(reader.schema(schema).option("enforceSchema", False).csv(path))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     """Session rows of a Parquet file or directory, mapped and validated."""
+    recover(spark, path)
     return as_sessions(spark.read.parquet(path))
 
 
@@ -126,4 +140,4 @@ def read_sessions(
         return read_parquet(spark, path)
     if kind == "csv":
         return read_csv(spark, path, **csv_options)
-    raise SessionDataError(f"Unsupported format: {kind}", "Use csv or parquet.")
+    raise SessionDataError(f"Unsupported format: {kind}", hint="Use csv or parquet.")

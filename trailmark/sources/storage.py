@@ -1,4 +1,4 @@
-"""File facts and scratch space, through Spark's own view of the file system."""
+"""File facts, scratch space and publishing, through Spark's own view of the file system."""
 
 from __future__ import annotations
 
@@ -87,25 +87,77 @@ def stored_once(spark: SparkSession, name: str, build: Callable[[], DataFrame])
     return spark.read.parquet(path)
 
 
-def publish_parquet(
-    table: DataFrame, path: str, options: dict[str, str | int], *, replace: bool = True
+def stored_table(table: DataFrame, name: str) -> DataFrame:
+    """``table`` written once to the scratch folder and read from there."""
+    path = scratch_path(table.sparkSession, name) + ".parquet"
+    table.write.option("compression", "zstd").parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def _aside(target) -> str:
+    """Where a published table waits while the next one takes its place."""
+    return f"{target.getParent().toString()}/.{target.getName()}.previous"
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Put back the table that was at ``path`` if a publication stopped half-way."""
+    if any(mark in path for mark in "*?[{"):
+        return
+    target, files = _hadoop(spark, path)
+    if target.getParent() is None:
+        return
+    previous, _ = _hadoop(spark, _aside(target))
+    if files.exists(previous) and not files.exists(target):
+        files.rename(previous, target)
+
+
+def publish(
+    spark: SparkSession, path: str, write: Callable[[str], None], *, replace: bool = True
 ) -> None:
-    """Write ``table`` beside ``path`` and move it there once it is complete.
+    """Let ``write`` fill a new folder beside ``path``, then swap it in as a whole.
 
-    A failed write leaves what was at ``path`` before, and nothing of its own. With
-    ``replace=False`` a table that another writer has put there meanwhile stays.
+    What was at ``path`` is moved aside first and deleted last, so that one complete version
+    exists at every moment: a failed write or swap leaves the old one at ``path``, and after a stop
+    between the two moves ``recover`` puts it back. With ``replace=False`` what another writer has
+    put there meanwhile stays.
     """
-    spark = table.sparkSession
     target, files = _hadoop(spark, path)
     beside = f"{target.getParent().toString()}/.{target.getName()}.{uuid.uuid4().hex}.partial"
     partial, _ = _hadoop(spark, beside)
+    previous, _ = _hadoop(spark, _aside(target))
+    recover(spark, path)
     try:
-        table.write.options(**options).parquet(beside)
-        if files.exists(target):
-            if not replace:
-                return
-            files.delete(target, True)
-        if not files.rename(partial, target):
-            raise OSError(f"Could not publish {path}")
+        write(beside)
+        replaced = files.exists(target)
+        if replaced and not replace:
+            return
+        if replaced:
+            files.delete(previous, True)
+            _move(files, target, previous)
+        try:
+            _move(files, partial, target)
+        except BaseException:
+            if replaced and not files.exists(target):
+                files.rename(previous, target)
+            raise
+        if replaced:
+            files.delete(previous, True)
     finally:
         files.delete(partial, True)
+
+
+def _move(files, source, target) -> None:
+    if not files.rename(source, target):
+        raise OSError(f"Could not move {source} to {target}")
+
+
+def publish_parquet(
+    table: DataFrame, path: str, options: dict[str, str | int], *, replace: bool = True
+) -> None:
+    """Write ``table`` as Parquet to ``path``, which changes only when all of it is written."""
+    publish(
+        table.sparkSession,
+        path,
+        lambda place: table.write.options(**options).parquet(place),
+        replace=replace,
+    )

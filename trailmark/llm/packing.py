@@ -9,6 +9,7 @@ fullest, so that a partition pads one window at most.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -132,16 +133,34 @@ class Packer:
         return batch
 
 
-def id_bytes(vocabulary: str, texts: list[str | None]) -> list[bytes]:
-    """Little-endian 32-bit ids of each text, without any end mark.
+#: A run of letters at the start of a word, whole, or what remains of a word; for text in lower case.
+LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]++(?![\xaa\xb5\xba])|[^ \t\n\r]+")
+
 
-    The tokenizer drops white space, so the ids of a text are those of its words in order.
+def pieces_of(text: str) -> list[str]:
+    """``text`` cut where the tokenizer cuts in any case.
+
+    White space is dropped, and case with it. In Latin-1 text, which holds no combining mark, a run
+    of letters that starts a word ends where the letters end; what follows starts anew. Elsewhere,
+    and where case could decide on a special string, words stay whole and as they are.
     """
-    words = [token_memo.WORD.findall(text or "") for text in texts]
+    if "<|" not in text:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            pass
+        else:
+            return LETTERS.findall(text.lower())
+    return token_memo.WORD.findall(text)
+
+
+def id_bytes(vocabulary: str, texts: list[str | None]) -> list[bytes]:
+    """Little-endian 32-bit ids of each text, without any end mark."""
+    pieces = [pieces_of(text or "") for text in texts]
     memo = token_memo.remembered(
-        vocabulary, "ids", words, lambda e: np.asarray(e.ids, dtype="<u4").tobytes()
+        vocabulary, "ids", pieces, lambda e: np.asarray(e.ids, dtype="<u4").tobytes()
     )
-    return [b"".join(map(memo.__getitem__, found)) for found in words]
+    return [b"".join(map(memo.__getitem__, found)) for found in pieces]
 
 
 def _packer(vocabulary: str, window: int, end_id: int, max_open: int):

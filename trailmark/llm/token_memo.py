@@ -12,7 +12,7 @@ import os
 import re
 from collections.abc import Callable
 
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 1_200_000
 SEPARATORS = " \t\n\r"
 #: White space other than the separators, by any library's reading of the word.
 OTHER_SPACE = re.compile(

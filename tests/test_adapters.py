@@ -62,11 +62,35 @@ def test_rows_without_a_user_are_kept(spark):
         [(1, START, None, "a"), (2, START, None, "b"), (3, START, 5, "c")],
         "event_id bigint, ts timestamp, user_id bigint, event_type string",
     )
-    assert sorted(rows(tm.sessionize_events(table), "EVENT_PATH")) == [("a->b",), ("c",)]
+    found = rows(tm.sessionize_events(table), "SESSION", "EVENT_PATH", "TOTAL_EVENTS")
+    assert sorted(found, key=str) == [("5_1", "c", 1), (None, "a", 1), (None, "b", 1)]
     keyed = tm.keyed_paths(table, key="user_id", order_by=["event_id"], event="event_type")
     assert sorted(rows(keyed, "EVENT_PATH")) == [("a->b",), ("c",)]
 
 
+def test_events_without_a_time_are_sessions_of_their_own(spark):
+    later = START + timedelta(hours=1)
+    table = spark.createDataFrame(
+        [(4, None, 5, "d"), (3, None, 5, "c"), (1, START, 5, "a"), (2, later, 5, "b"),
+         (4, None, 5, None), (9, None, None, "x"), (9, None, None, "x")],
+        "event_id bigint, ts timestamp, user_id bigint, event_type string",
+    )
+    found = rows(tm.sessionize_events(table), "SESSION", "EVENT_PATH", "TOTAL_EVENTS")
+    assert sorted(found, key=str) == sorted(
+        [("5_1", "a->b", 2), ("5_2", "c", 1), ("5_3", None, 1), ("5_4", "d", 1),
+         (None, "x", 1), (None, "x", 1)], key=str)
+
+
+def test_very_many_events_without_a_user_do_not_end_the_job(spark):
+    table = spark.range(30_000).select(
+        F.col("id").alias("event_id"),
+        F.lit(START).alias("ts"),
+        F.lit(None).cast("bigint").alias("user_id"),
+        F.repeat(F.lit("e"), 100).alias("event_type"),
+    )
+    assert tm.sessionize_events(table, max_record=2_000_000).count() == 30_000
+
+
 def test_unnamed_events_count_but_leave_no_mark(spark):
     hours = [START + timedelta(hours=h) for h in (0, 20, 40, 400)]
     table = spark.createDataFrame(

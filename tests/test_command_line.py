@@ -43,3 +43,27 @@ def test_errors_give_a_message_and_a_status(export, capsys):
                  "--max-rows", "3"]) == 2
     assert "row limit" in capsys.readouterr().err
     assert main(["inspect", str(export / "none.parquet")]) == 2
+
+
+def test_nothing_printed_is_cut(export, capsys):
+    steps = [f"--step={name}" for name in ["Home", "Search"] * 10]
+    assert main(["funnel", str(export / "out.parquet"), *steps]) == 0
+    assert "|20         |" in capsys.readouterr().out
+    assert main(["analyze", str(export / "out.parquet"), "-t", "2", "-f", "Home,Search,Cart"]) == 0
+    shown = capsys.readouterr().out
+    assert "|3          |Cart" in shown
+    paths = shown.split("\npaths\n")[1].split("\nfunnel\n")[0]
+    assert paths.count("|") // 5 >= 11 - 1
+    query = "SELECT * FROM data"
+    assert main(["query", str(export / "out.parquet"), "--sql", query, "--max-rows", "500"]) == 0
+    assert capsys.readouterr().out.count("\n|") == 501
+
+
+def test_csv_options_hold_for_every_command(export, tmp_path, capsys):
+    path = tmp_path / "broken.csv"
+    path.write_text('SESSION,EVENT_PATH,TOTAL_EVENTS,NOTE\ns1,A->B,2,"two\nlines"\n')
+    assert main(["inspect", str(path), "--multi-line"]) == 0
+    assert main(["insights", str(path), "--multi-line", "--max-record", "3000000"]) == 0
+    assert main(["run-all", str(path), "--multi-line", "-o", str(tmp_path / "o.parquet"),
+                 "-r", str(tmp_path / "r")]) == 0
+    assert "entry_points" in capsys.readouterr().out

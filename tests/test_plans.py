@@ -42,6 +42,7 @@ ANALYSES = {
     "exit": tm.exit_events,
     "funnel": lambda s: tm.funnel(s, ["Home", "Search", "Checkout"], dedupe="consecutive"),
     "kpis": tm.session_kpis,
+    "top_paths": lambda s: tm.top_paths(s, dedupe="consecutive", min_events=2),
     "kpis_sketched": lambda s: tm.session_kpis(s, approximate=True),
     "heatmap": lambda s: tm.heatmap_cells(tm.transition_matrix(s, dedupe="consecutive")),
     "links": lambda s: tm.flow_links(tm.transition_matrix(s, top_n=10)),

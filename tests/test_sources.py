@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import trailmark as tm
-from conftest import rows
+from conftest import SESSION_SCHEMA, rows
 from trailmark.sources.columns import plain_name
 from trailmark.sources.storage import scratch_path
 
@@ -69,7 +69,7 @@ def test_header_meanings(headers, expected):
 def test_refused_headers(headers, text):
     with pytest.raises(tm.SessionDataError, match=text) as error:
         tm.map_columns(headers)
-    assert "Hint:" in str(error.value)
+    assert error.value.hint and error.value.hint not in str(error.value)
 
 
 def test_plain_name():
@@ -134,6 +134,95 @@ def test_export_without_rows(spark, tmp_path):
     assert tm.session_kpis(sessions).head().total_sessions == 0
 
 
+BAD_RECORDS = {
+    "line break": 's1,"A->\nB",2\n',
+    "short": "s1,A\n",
+    "long": "s1,A,1,x,y\n",
+}
+
+
+@pytest.mark.parametrize("name", BAD_RECORDS)
+@pytest.mark.parametrize(
+    "analysis",
+    [
+        lambda s: s.count(),
+        lambda s: tm.session_kpis(s).collect(),
+        lambda s: tm.event_frequencies(s).collect(),
+        lambda s: tm.exit_events(s).collect(),
+        lambda s: tm.search_sessions(s, event="A").collect(),
+    ],
+    ids=["count", "kpis", "frequencies", "exits", "search"],
+)
+def test_no_analysis_passes_over_a_malformed_record(spark, tmp_path, name, analysis):
+    path = write(tmp_path / "bad.csv", HEADER + "s0,A,1\n" + BAD_RECORDS[name] + "s2,C,1\n")
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        analysis(tm.read_csv(spark, path, types={"TOTAL_EVENTS": "bigint"}))
+
+
+def test_no_analysis_passes_over_a_value_of_another_type(spark, tmp_path):
+    path = write(tmp_path / "bad.csv", HEADER + "s0,A,1\ns1,B,many\n")
+    with pytest.raises(tm.SessionDataError, match="TOTAL_EVENTS"):
+        tm.read_csv(spark, path, types={"TOTAL_EVENTS": "bigint"})
+    with pytest.raises(tm.SessionDataError, match="TOTAL_EVENTS"):
+        tm.read_csv(spark, path)
+
+
+def test_types_hold_every_value(spark, tmp_path):
+    path = write(
+        tmp_path / "t.csv",
+        "SESSION,EVENT_PATH,TOTAL_EVENTS,id19,id25,zip,mixed,big_mixed,note\n"
+        "a,A,007,9007199254740993123,1234567890123456789012345,01234,1,9007199254740993,5\n"
+        "b,B,12,1,2,5,2.5,0.5,6\n"
+        "c,C,,,,,,,n/a\n",
+    )
+    out = str(tmp_path / "t.parquet")
+    tm.convert_dataset(spark, path, out)
+    found = tm.read_parquet(spark, out).orderBy("SESSION")
+    types = dict(found.dtypes)
+    assert types["TOTAL_EVENTS"] == "bigint" and types["id19"] == "bigint"
+    assert types["id25"] == "decimal(38,0)" and types["mixed"] == "double"
+    assert types["zip"] == types["big_mixed"] == types["note"] == "string"
+    first = found.head()
+    assert first.TOTAL_EVENTS == 7 and int(first.id19) == 9007199254740993123
+    assert int(first.id25) == 1234567890123456789012345
+    assert first.zip == "01234" and first.big_mixed == "9007199254740993"
+
+
+def test_a_late_value_of_another_kind_makes_a_column_text(spark, tmp_path):
+    lines = "".join(f"s{i},A,1,{i}\n" for i in range(30_000)) + "s,A,1,n/a\n"
+    path = write(tmp_path / "late.csv", "SESSION,EVENT_PATH,TOTAL_EVENTS,NOTE\n" + lines)
+    sessions = tm.read_csv(spark, path)
+    assert dict(sessions.dtypes)["NOTE"] == "string"
+    assert tm.session_kpis(sessions).head().total_sessions == 30_001
+
+
+@pytest.mark.parametrize("stop", [False, True])
+def test_a_failed_swap_keeps_the_previous_table(spark, tmp_path, monkeypatch, stop):
+    """With ``stop`` the process ends between the two moves and cannot put anything back."""
+    from trailmark.sources import storage
+
+    out = str(tmp_path / "out.parquet")
+    storage.publish_parquet(spark.createDataFrame([("a", "A", 1)], SESSION_SCHEMA), out, {})
+    real, calls = storage._move, []
+
+    def failing(files, source, target):
+        calls.append(target)
+        if len(calls) == 1:
+            return real(files, source, target)
+        raise OSError("no move")
+
+    monkeypatch.setattr(storage, "_move", failing)
+    with pytest.raises(OSError):
+        storage.publish_parquet(spark.createDataFrame([("b", "B", 1)], SESSION_SCHEMA), out, {})
+    monkeypatch.setattr(storage, "_move", real)
+    if stop:  # what a stop between the moves leaves behind
+        os.rename(out, str(tmp_path / ".out.parquet.previous"))
+    assert rows(tm.read_parquet(spark, out)) == [("a", "A", 1)]
+    storage.publish_parquet(spark.createDataFrame([("b", "B", 1)], SESSION_SCHEMA), out, {})
+    assert rows(tm.read_parquet(spark, out)) == [("b", "B", 1)]
+    assert [n for n in os.listdir(tmp_path) if n.startswith(".")] == []
+
+
 def test_line_breaks_in_fields_on_request(spark, tmp_path):
     path = write(tmp_path / "m.csv", HEADER + 's1,"A->\nB",2\ns2,C,1\n')
     assert tm.read_csv(spark, path, multi_line=True).count() == 2
@@ -194,8 +283,11 @@ def test_bad_record_fails_and_keeps_the_previous_output(spark, tmp_path):
     tm.convert_dataset(spark, good, out)
     lines = "".join(f"s{i},A,{i}\n" for i in range(50)) + "bad,B,many\n"
     bad = write(tmp_path / "bad.csv", HEADER + lines)
-    with pytest.raises(tm.SessionDataError, match="CSV conversion failed"):
-        tm.convert_dataset(spark, bad, out, sample_rows=10)
+    with pytest.raises(tm.SessionDataError, match="TOTAL_EVENTS is to be bigint and holds 'many'"):
+        tm.convert_dataset(spark, bad, out, types={"TOTAL_EVENTS": "bigint"})
+    bad = write(tmp_path / "short.csv", HEADER + "s1,A,1\nshort,B\n")
+    with pytest.raises(tm.SessionDataError, match="(?s)CSV conversion failed.*short"):
+        tm.convert_dataset(spark, bad, out)
     assert tm.read_parquet(spark, out).count() == 1
     assert not [n for n in os.listdir(tmp_path) if "partial" in n]
 
@@ -236,7 +328,6 @@ def test_detect_delimiter(spark, paths, expected):
         [("s", p, 1) for p in paths], "SESSION string, EVENT_PATH string, TOTAL_EVENTS bigint"
     )
     assert tm.detect_delimiter(table) == expected
-    assert tm.detect_delimiter(table, sample_paths=None) == expected
 
 
 def test_run_all(spark, tmp_path):
@@ -258,6 +349,33 @@ def test_run_all(spark, tmp_path):
     assert rows(funnel, "step_name", "session_count") == [("A", 2), ("B", 2)]
 
 
+def test_the_delimiter_is_taken_from_all_paths_or_obeyed(spark, tmp_path):
+    lines = "".join(f"s{i},A,1\n" for i in range(10)) + "".join(f"t{i},A|B,2\n" for i in range(50))
+    csv = write(tmp_path / "in.csv", HEADER + lines)
+    out, reports = str(tmp_path / "out.parquet"), str(tmp_path / "reports")
+    assert tm.run_all(spark, csv, out, reports).delimiter == "|"
+    given = tm.run_all(spark, csv, out, reports, delimiter="->")
+    assert given.delimiter == "->"
+    found = spark.read.parquet(given.outputs["entry_points"]).orderBy("event_name")
+    assert rows(found, "event_name") == [("A",), ("A|B",)]
+
+
+def test_reports_change_together_or_not_at_all(spark, tmp_path, monkeypatch):
+    csv = write(tmp_path / "in.csv", HEADER + "one,A->B,2\n")
+    out, reports = str(tmp_path / "out.parquet"), str(tmp_path / "reports")
+    first = tm.run_all(spark, csv, out, reports)
+    kept = tmp_path / "reports" / "notes.txt"
+    kept.write_text("mine")
+    from trailmark.plans import reports as module
+
+    monkeypatch.setattr(module.Report, "write_into", lambda self, folder: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        tm.run_all(spark, csv, out, reports)
+    for path in first.outputs.values():
+        assert spark.read.parquet(path).count() > 0
+    assert kept.read_text() == "mine"
+
+
 def test_scratch_folder_comes_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     first, second = scratch_path(spark, "x"), scratch_path(spark, "x")

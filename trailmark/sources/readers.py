@@ -60,13 +60,17 @@ def _kinds(value: Column) -> dict[str, Column]:
     }
 
 
-def _types(rows: DataFrame, columns: list[str], depth: str) -> dict[str, str | None]:
+def _types(
+    rows: DataFrame, columns: list[str], depth: str, given: dict[str, str]
+) -> dict[str, str | None]:
     """Type of each text column that holds all its values, None where it holds none.
 
     One aggregate over all rows: a value becomes a number with one bit per type it fits, and the
-    bits that all values of a column share remain.
+    bits that all values of a column share remain. ``given`` types are checked in the same pass: a
+    value that does not fit one raises, as later reads look at the columns they need only.
     """
-    if not columns:
+    checked = {name: kind for name, kind in given.items() if kind != "string"}
+    if not columns and not checked:
         return {}
 
     def fitting(name: str) -> Column:
@@ -78,10 +82,23 @@ def _types(rows: DataFrame, columns: list[str], depth: str) -> dict[str, str | N
             bits = bits + F.when(fits, 1 << bit).otherwise(0)
         return F.bit_and(F.when(value.isNotNull(), bits))
 
+    def misfit(name: str, kind: str) -> Column:
+        value = _quoted(name)
+        return F.min(F.when(value.try_cast(kind).isNull(), value))
+
     names = list(_kinds(F.lit("")))
-    shared = rows.agg(*[fitting(name).alias(f"c{i}") for i, name in enumerate(columns)]).head()
+    found = rows.agg(
+        *[fitting(name).alias(f"c{i}") for i, name in enumerate(columns)],
+        *[misfit(name, kind).alias(f"m{i}") for i, (name, kind) in enumerate(checked.items())],
+    ).head()
+    for (name, kind), value in zip(checked.items(), found[len(columns) :]):
+        if value is not None:
+            raise SessionDataError(
+                f"Column {name} is to be {kind} and holds {value!r}",
+                hint="Give another type, or none to have it taken from the values.",
+            )
     types: dict[str, str | None] = {}
-    for name, bits in zip(columns, shared):
+    for name, bits in zip(columns, found):
         fits = [] if bits is None else [kind for bit, kind in enumerate(names) if bits & (1 << bit)]
         types[name] = None if bits is None else (fits or ["string"])[0]
     return types
@@ -98,10 +115,9 @@ def read_csv(
     """Session rows of a CSV export with a header line, mapped and validated.
 
     Types of the depth and of extra columns are taken from all their values, in a pass of its own;
-    ``types`` gives them by header instead, and with all given that pass is left out. Every record
-    is parsed in full whatever columns an analysis reads, and one that is malformed (too few or
-    too many fields, a value that does not fit a given type) fails the job instead of being dropped
-    or counted. Files are split across tasks unless ``multi_line`` says that quoted fields may hold
+    ``types`` gives them by header instead, and that pass checks them. Every record is parsed in
+    full whatever columns an analysis reads, and one with too few or too many fields fails the job
+    instead of being dropped or counted. Files are split across tasks unless ``multi_line`` says that quoted fields may hold
     line breaks. ``max_record`` bounds the characters of a field.
     """
     reader = (
@@ -118,7 +134,8 @@ def read_csv(
     mapping = map_columns(headers)
     depth = mapping["TOTAL_EVENTS"]
     fixed = {mapping["SESSION"]: "string", mapping["EVENT_PATH"]: "string", **(types or {})}
-    kinds = {**_types(as_text, [h for h in headers if h not in fixed], depth), **fixed}
+    open_columns = [h for h in headers if h not in fixed]
+    kinds = {**_types(as_text, open_columns, depth, types or {}), **fixed}
     # Without any value seen, a depth is taken for a whole number and anything else for text.
     blank = {h: "bigint" if h == depth else "string" for h in headers}
     schema = ", ".join(f"`{h.replace('`', '``')}` {kinds[h] or blank[h]}" for h in headers)

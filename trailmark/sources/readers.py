@@ -18,7 +18,7 @@ PARQUET_ENDINGS = (".parquet", ".pq")
 _WHOLE = r"^[+-]?(0|[1-9][0-9]*)$"
 _LONG_WHOLE = r"^[+-]?(0|[1-9][0-9]{0,37})$"
 _POINT = r"^[+-]?((0|[1-9][0-9]*)\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,3})?$|^[+-]?[1-9][0-9]*[eE][+-]?[0-9]{1,3}$"
-#: Whole numbers up to this size are the same as doubles.
+#: Whole numbers below this are the same as doubles.
 _DOUBLE_WHOLE = 2**53
 
 
@@ -50,7 +50,7 @@ def _kinds(value: Column) -> dict[str, Column]:
     return {
         "bigint": whole & bigint.isNotNull(),
         "decimal(38,0)": value.rlike(_LONG_WHOLE),
-        "double": value.rlike(_POINT) | (whole & (F.abs(value.try_cast("double")) <= _DOUBLE_WHOLE)),
+        "double": value.rlike(_POINT) | (whole & (F.abs(value.try_cast("double")) < _DOUBLE_WHOLE)),
         "boolean": value.rlike(r"^(?i:true|false)$"),
         "date": value.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & value.try_cast("date").isNotNull(),
         "timestamp_ntz": value.rlike(

@@ -205,8 +205,12 @@ def session_kpis(sessions: DataFrame, *, approximate: bool = False) -> DataFrame
 
 
 def _counted_kpis(sessions: DataFrame) -> DataFrame:
-    depths = sessions.groupBy(F.col("TOTAL_EVENTS").alias("depth")).agg(
-        F.count(F.lit(1)).alias("n")
+    # The filter is always true. It makes every reader of the counts need the same columns, so that
+    # all read one exchange and the sessions are scanned once.
+    depths = (
+        sessions.groupBy(F.col("TOTAL_EVENTS").alias("depth"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where("n > 0")
     )
     depth, n = F.col("depth"), F.col("n")
     known = F.when(depth.isNotNull(), n).otherwise(0)
@@ -215,7 +219,7 @@ def _counted_kpis(sessions: DataFrame) -> DataFrame:
     cuts = [i / DEPTH_BUCKETS for i in range(1, DEPTH_BUCKETS)]
     bounds = depths.agg(F.percentile_approx("depth", cuts, SKETCH_ACCURACY)).scalar()
     bucket = F.when(depth.isNull(), -1).otherwise(
-        F.size(F.filter("bounds", lambda bound: bound < depth))
+        F.coalesce(F.size(F.filter("bounds", lambda bound: bound < depth)), F.lit(0))
     )
     placed = depths.withColumn("bounds", bounds).withColumn("bucket", bucket).drop("bounds")
     totals = placed.groupBy("bucket").agg(F.sum(known).alias("in_bucket"))

@@ -450,6 +450,8 @@ def build() -> dict[str, str]:
         "exit_events_untidy": ends(UNTIDY, "exit"),
         "order_entry_events": ends(ORDERS, "entry"),
         "order_exit_events": ends(ORDERS, "exit"),
+        "session_rows_entry_events": ends(EVENTS, "entry"),
+        "session_rows_exit_events": ends(EVENTS, "exit"),
         "session_kpis": kpis(EVENTS),
         "session_kpis_approximate": kpis(EVENTS),
         "session_kpis_untidy": kpis(UNTIDY),
@@ -557,6 +559,8 @@ def build() -> dict[str, str]:
                 *end_sections(UNTIDY, 10),
             ]
         )
+        found[f"session_rows_frequencies_{mode}"] = frequencies(EVENTS, mode)
+        found[f"session_rows_transition_pairs_{mode}"] = pairs(EVENTS, mode)
     for mode in DEDUPE_MODES:
         found |= {
             f"dedupe_{mode}": event_rows(UNTIDY, mode),

@@ -111,6 +111,11 @@ def named_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_sessions(spark, sf_dir).withColumn("EVENT_PATH", path)
 
 
+def _from_rows(build: Callable[[DataFrame], DataFrame]) -> Query:
+    """Analyses of the row form of the sessions, which needs no record limit."""
+    return lambda spark, sf_dir: build(tm.session_rows(table(spark, sf_dir, "events")))
+
+
 def _on(source: Callable[..., DataFrame], operator: Callable[..., DataFrame], *args, **kw) -> Query:
     return lambda spark, sf_dir: operator(source(spark, sf_dir), *args, **kw)
 
@@ -342,6 +347,13 @@ def build() -> dict[str, Query]:
         "transition_matrix_wide": _on(
             event_sessions, tm.transition_matrix_wide, top_n=5, dedupe="consecutive"
         ),
+        # the row form
+        "session_rows_entry_events": _from_rows(
+            lambda rows: metrics.rank_ends(tm.ends_from_rows(rows, "entry"), "entry", 10)
+        ),
+        "session_rows_exit_events": _from_rows(
+            lambda rows: metrics.rank_ends(tm.ends_from_rows(rows, "exit"), "exit", 10)
+        ),
         # funnels
         "funnel_reach": _on(event_sessions, tm.funnel, FUNNEL_STEPS, sequential=False),
         "funnel_reach_untidy": _on(
@@ -430,6 +442,15 @@ def build() -> dict[str, Query]:
                 untidy_sessions, tm.funnel, ["signup", "buy now", "click"], dedupe=mode
             ),
         }
+    for mode in ("none", "consecutive"):
+        found |= {
+            f"session_rows_frequencies_{mode}": _from_rows(
+                lambda rows, m=mode: metrics.frequencies_from_edges(tm.edges_from_rows(rows, m), 20)
+            ),
+            f"session_rows_transition_pairs_{mode}": _from_rows(
+                lambda rows, m=mode: flows.rank_transitions(tm.edges_from_rows(rows, m), 20)
+            ),
+        }
     for name, mark in (("comma", ","), ("pipe", "|"), ("spaced", " / "), ("dashes", "--")):
         found[f"transition_pairs_{name}"] = _on(
             delimited_sessions(name, mark),

@@ -128,3 +128,27 @@ def test_conversations_and_orders(spark):
         "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp, o_orderpriority string",
     )
     assert rows(tm.order_paths(orders)) == [("7", "MID->HIGH->LOW", 3)]
+
+
+@pytest.mark.parametrize("mode", ["none", "consecutive"])
+def test_the_row_form_gives_the_same_answers(spark, mode):
+    events = [(i, t if i % 11 else None, u if i % 7 else None, k if i % 13 else None)
+              for i, t, u, k in random_events(2_000, 30, 86_400 * 40, 6)]
+    table = spark.createDataFrame(events, "event_id bigint, ts timestamp, user_id bigint, event_type string")
+    paths, in_rows = tm.sessionize_events(table), tm.session_rows(table)
+    assert set(rows(tm.edges_from_rows(in_rows, mode))) == set(rows(tm.edge_counts(paths, dedupe=mode)))
+    for end, whole in (("entry", tm.entry_events(paths)), ("exit", tm.exit_events(paths))):
+        assert set(rows(tm.ends_from_rows(in_rows, end))) == set(rows(whole, "event_name", f"{end}_count"))
+
+
+def test_the_row_form_has_no_record_limit(spark):
+    table = spark.range(30_000).select(
+        F.col("id").alias("event_id"), F.lit(START).alias("ts"),
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("user_id"),
+        F.repeat(F.lit("e"), 300).alias("event_type"),
+    )
+    with pytest.raises(Exception, match="exceeds the record limit"):
+        tm.sessionize_events(table, max_record=2_000_000).count()
+    found = tm.session_rows(table)
+    assert found.count() == 30_000
+    assert found.where("SESSION = '1_1'").agg(F.max("position")).head()[0] == 10_001

@@ -1,7 +1,12 @@
 """Session-path and funnel analytics on Spark DataFrames."""
 
 from trailmark.errors import RowLimitError, SessionDataError
-from trailmark.operators.edges import edge_counts, neighbour_counts
+from trailmark.operators.edges import (
+    edge_counts,
+    edges_from_rows,
+    ends_from_rows,
+    neighbour_counts,
+)
 from trailmark.operators.flows import (
     flow_links,
     flow_nodes,
@@ -26,6 +31,7 @@ from trailmark.sources.adapters import (
     conversation_paths,
     keyed_paths,
     order_paths,
+    session_rows,
     sessionize_events,
 )
 from trailmark.sources.columns import as_sessions, map_columns, validate_schema

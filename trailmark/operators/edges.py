@@ -6,7 +6,7 @@ sort over events.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.tokens import (
@@ -15,6 +15,7 @@ from trailmark.functions.tokens import (
     dedupe_unique,
     drop_blank_events,
     tokenize_path,
+    trim_event,
 )
 
 
@@ -123,3 +124,30 @@ def end_counts(counts: DataFrame, end: str) -> DataFrame:
         .groupBy(F.col(here).alias("event_name"))
         .agg(F.sum("n").alias("n"))
     )
+
+
+def edges_from_rows(rows: DataFrame, dedupe: str | None = "none") -> DataFrame:
+    """What ``edge_counts`` gives, out of ``session_rows``; not for the mode ``unique``.
+
+    Neighbours come from a window over a session's rows, which is sorted on disk where it has to be.
+    """
+    mode = check_dedupe(dedupe)
+    if mode == "unique":
+        raise ValueError("Rows do not tell the first occurrences of events.")
+    event = trim_event(F.col("event"))
+    in_session = Window.partitionBy("session_key").orderBy("position")
+    pairs = rows.select("session_key", "position", event.alias("event")).select(
+        F.lag("event").over(in_session).alias("previous"), "event"
+    )
+    if mode == "consecutive":
+        pairs = pairs.where(~F.col("event").eqNullSafe(F.col("previous")))
+    return pairs.groupBy("previous", "event").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ends_from_rows(rows: DataFrame, end: str) -> DataFrame:
+    """(event_name, n) of the first or last events of the sessions in ``session_rows``."""
+    pick = F.min_by if end == "entry" else F.max_by
+    ends = rows.groupBy("session_key").agg(pick("event", "position").alias("event"))
+    return ends.groupBy(trim_event(F.col("event")).alias("event_name")).agg(
+        F.count(F.lit(1)).alias("n")
+    )

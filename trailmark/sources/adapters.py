@@ -37,37 +37,21 @@ def _joined(steps: Column, part: str, named: Column, delimiter: str) -> Column:
     return F.when(named > 0, text)
 
 
-def sessionize_events(
-    events: DataFrame,
-    *,
-    user: str = "user_id",
-    timestamp: str = "ts",
-    tie_break: str = "event_id",
-    event: str = "event_type",
-    gap_seconds: int = DAY_SECONDS,
-    delimiter: str = DEFAULT_DELIMITER,
-    max_record: int = DEFAULT_MAX_RECORD,
-) -> DataFrame:
-    """One session per user and run of events no more than ``gap_seconds`` apart.
+SLOT_KEYS = ("who", "nobody", "lone", "slot")
 
-    Time is cut into slots as long as the gap. Events in one slot are always closer than the
-    gap, so sessions can only break between slots: they are numbered on one summary row per
-    user and active slot, however many events a slot holds. A user with a third of all events
-    is thus spread over slots, and the window over a user is bounded by the calendar.
 
-    An event without a timestamp has no distance to any other: it is a session of its own, numbered
-    after the user's dated ones by ``tie_break``. Events without a user share none: each is a
-    session of its own, without a name.
+def _slotted(
+    events: DataFrame, user: str, timestamp: str, tie_break: str, event: str, gap_seconds: int
+) -> DataFrame:
+    """(who, nobody, lone, slot, ts, tie, event): the events with the key of their time slot.
+
+    Plain, never-NULL keys: a join and a grouping then share one partitioning. An event on its own
+    has its tie break in the key, and without a user also in place of one.
     """
-    check_delimiter(delimiter)
-    check_max_record(max_record)
-    gap = f"{gap_seconds} seconds"
     alone = F.col(user).isNull() | F.col(timestamp).isNull()
     moment = F.unix_micros(F.col(timestamp).cast("timestamp"))
-    # Plain, never-NULL keys: the join and the first grouping then share one partitioning. An event
-    # on its own has its tie break in the key, and without a user also in place of one.
     tie_text = F.coalesce(F.col(tie_break).cast("string"), F.lit(""))
-    slotted = events.select(
+    return events.select(
         F.coalesce(F.col(user).cast("string"), tie_text).alias("who"),
         F.col(user).isNull().alias("nobody"),
         F.when(alone, F.concat(F.lit("-"), tie_text)).otherwise("").alias("lone"),
@@ -79,9 +63,13 @@ def sessionize_events(
         F.col(tie_break).alias("tie"),
         F.col(event).alias("event"),
     )
-    keys = ["who", "nobody", "lone", "slot"]
+
+
+def _numbered_slots(slotted: DataFrame, gap_seconds: int, delimiter: str) -> DataFrame:
+    """The slot keys with ``session_no`` (the last one of events on their own), the rows of the slot
+    ``n`` and the bytes of the whole session's path."""
     is_alone = F.col("lone") != ""
-    slots = slotted.groupBy(*keys).agg(
+    slots = slotted.groupBy(*SLOT_KEYS).agg(
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
         F.min("tie").alias("tie"),
@@ -92,28 +80,60 @@ def sessionize_events(
     previous = F.lag("last_ts").over(by_time)
     opens = (
         F.when(is_alone, F.col("n"))
-        .when(F.col("first_ts") <= previous + F.expr(f"INTERVAL {gap}"), 0)
+        .when(F.col("first_ts") <= previous + F.expr(f"INTERVAL {gap_seconds} seconds"), 0)
         .otherwise(1)
     )
     one_session = Window.partitionBy("who", "nobody", "session_no")
-    numbered = (
+    own_bytes = F.when(is_alone, F.lit(0)).otherwise(F.col("bytes"))
+    return (
         slots.withColumn("opens", opens)
         .withColumn("session_no", F.sum("opens").over(by_time))
-        .withColumn(
-            "path_bytes", F.sum(F.when(is_alone, F.lit(0)).otherwise(F.col("bytes"))).over(one_session)
-        )
-        .select(
-            *keys,
-            _within_limit(F.col("session_no"), F.col("path_bytes"), max_record).alias(
-                "session_no"
-            ),
-        )
+        .withColumn("path_bytes", F.sum(own_bytes).over(one_session))
+        .select(*SLOT_KEYS, "session_no", "n", "path_bytes")
+    )
+
+
+def _session_name() -> Column:
+    return F.concat(
+        F.when(~F.col("nobody"), F.col("who")), F.lit("_"), F.col("session_no").cast("string")
+    )
+
+
+def sessionize_events(
+    events: DataFrame,
+    *,
+    user: str = "user_id",
+    timestamp: str = "ts",
+    tie_break: str = "event_id",
+    event: str = "event_type",
+    gap_seconds: int = DAY_SECONDS,
+    delimiter: str = DEFAULT_DELIMITER,
+    max_record: int = DEFAULT_MAX_RECORD,
+) -> DataFrame:
+    """One session per user and run of events no more than ``gap_seconds`` apart.
+
+    Time is cut into slots as long as the gap. Events in one slot are always closer than the
+    gap, so sessions can only break between slots: they are numbered on one summary row per
+    user and active slot, however many events a slot holds. A user with a third of all events
+    is thus spread over slots, and the window over a user is bounded by the calendar.
+
+    An event without a timestamp has no distance to any other: it is a session of its own, numbered
+    after the user's dated ones by ``tie_break``. Events without a user share none: each is a
+    session of its own, without a name.
+    """
+    check_delimiter(delimiter)
+    check_max_record(max_record)
+    slotted = _slotted(events, user, timestamp, tie_break, event, gap_seconds)
+    is_alone = F.col("lone") != ""
+    numbered = _numbered_slots(slotted, gap_seconds, delimiter).select(
+        *SLOT_KEYS,
+        _within_limit(F.col("session_no"), F.col("path_bytes"), max_record).alias("session_no"),
     )
     # Events become one piece of path per slot before sessions are put together, so that the
     # second shuffle and the final rows carry text, not events.
     collected = (
-        slotted.join(numbered, keys)
-        .groupBy(*keys, "session_no")
+        slotted.join(numbered, [*SLOT_KEYS])
+        .groupBy(*SLOT_KEYS, "session_no")
         .agg(
             F.collect_list(F.struct("ts", "tie", "event")).alias("steps"),
             F.count("event").alias("named"),
@@ -147,14 +167,46 @@ def sessionize_events(
         F.sum("n").alias("TOTAL_EVENTS"),
     )
     return whole.select(
-        F.concat(
-            F.when(~F.col("nobody"), F.col("who")), F.lit("_"), F.col("session_no").cast("string")
-        ).alias("SESSION"),
+        _session_name().alias("SESSION"),
         _joined(F.col("pieces"), "piece", F.col("named"), delimiter).alias("EVENT_PATH"),
         "TOTAL_EVENTS",
     )
 
 
+def session_rows(
+    events: DataFrame,
+    *,
+    user: str = "user_id",
+    timestamp: str = "ts",
+    tie_break: str = "event_id",
+    event: str = "event_type",
+    gap_seconds: int = DAY_SECONDS,
+) -> DataFrame:
+    """The sessions of ``sessionize_events`` as rows: (session_key, SESSION, position, event).
+
+    No session has to fit one row, so there is no record limit. ``session_key`` tells sessions
+    without a name apart. Named events only, counted from 1 in their session; sessions without any
+    named event have no row. ``edges_from_rows`` and ``ends_from_rows`` count them.
+    """
+    slotted = _slotted(events, user, timestamp, tie_break, event, gap_seconds)
+    numbered = _numbered_slots(slotted, gap_seconds, "").select(*SLOT_KEYS, "session_no", "n")
+    slot_order = Window.partitionBy(*SLOT_KEYS).orderBy("tie", "event")
+    # Of rows on their own that share a tie break, each is a session; there are few in a slot.
+    own_no = F.col("session_no") - F.col("n") + F.row_number().over(slot_order)
+    joined = slotted.join(numbered, [*SLOT_KEYS])
+    dated = joined.where("lone = ''").drop("n")
+    lone = joined.where("lone <> ''").withColumn("session_no", own_no).drop("n")
+    named = dated.unionByName(lone).where(F.col("event").isNotNull())
+    key = F.concat_ws("_", F.col("nobody").cast("string"), "who", F.col("session_no").cast("string"))
+    in_session = Window.partitionBy("session_key").orderBy("ts", "tie", "event")
+    return named.withColumn("session_key", key).select(
+        "session_key",
+        _session_name().alias("SESSION"),
+        F.row_number().over(in_session).cast("bigint").alias("position"),
+        "event",
+    )
+
+
 def keyed_paths(
     rows: DataFrame,
     *,

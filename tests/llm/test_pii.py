@@ -51,6 +51,13 @@ def test_added_kinds_need_a_checksum_or_a_word_nearby(text, kinds):
     assert [span.kind for span in pii.find_spans(text)] == kinds
 
 
+def test_very_long_runs_of_digits():
+    long = "1" * 9_000
+    text = f"{long}.1.2.3 {long} +{long} 000000000000.0.00.255 {long}@{long}"
+    start = text.index("0000")
+    assert pii.written(pii.find_spans(text)) == f"ip:{start}:{start + 21}"
+
+
 def test_words_nearby_move_the_score_but_never_drop_base_spans():
     plain = pii.find_spans("x 10.1.2.3")[0].score
     assert pii.find_spans("server 10.1.2.3")[0].score > plain > pii.find_spans("version 10.1.2.3")[0].score

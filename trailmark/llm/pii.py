@@ -80,6 +80,12 @@ def mod97(iban: str) -> bool:
     return 15 <= len(text) <= 34 and int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def is_octet(digits: str) -> bool:
+    """At most 255, however many zeros come first and however long the run is."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or 0) <= 255
+
+
 def digits_of(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -103,7 +109,7 @@ def proposals(text: str):
     if "@" in text:
         yield from (("email", *span) for span in emails(text))
     for found in IP.finditer(text):
-        if all(int(part) <= 255 for part in found.group().split(".")):
+        if all(map(is_octet, found.group().split("."))):
             yield "ip", *found.span()
     for found in CARD.finditer(text):
         digits = digits_of(found.group())

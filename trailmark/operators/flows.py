@@ -87,9 +87,11 @@ def matrix_from_edges(edges: DataFrame, top_n: int) -> DataFrame:
         .groupBy("source_rank", "target_rank")
         .agg(F.sum("n").alias("n"))
     )
+    lines = names.select("names", F.posexplode("names").alias("row", "source_event"))
+    if top_n > BROADCAST_EVENTS:  # else one task would make all cells
+        lines = lines.repartition("row")
     grid = (
-        names.select("names", F.posexplode("names").alias("row", "source_event"))
-        .select("row", "source_event", F.posexplode("names").alias("column", "target_event"))
+        lines.select("row", "source_event", F.posexplode("names").alias("column", "target_event"))
         .select(
             "source_event",
             "target_event",

@@ -1,8 +1,9 @@
 """Session tables out of raw event rows.
 
 A session's path is one cell, so a session has to fit one row. Sizes are added up first, from
-partially aggregated sums; a path above the record limit fails the job before any events are
-collected, as an oversized record does when an export is read. Nothing is cut or dropped.
+partially aggregated sums; a path of more than ``max_record`` bytes fails the job before any events
+are collected. (The ``max_record`` of a CSV scan bounds the characters of a field.) Sessions of
+any size come as rows from ``session_rows``. Nothing is cut or dropped.
 """
 
 from __future__ import annotations

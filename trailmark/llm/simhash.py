@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trailmark.llm import local_links
 from trailmark.llm.components import connected_components
@@ -260,9 +261,10 @@ def near_duplicates(
     members = found.join(nodes, found["node"] == nodes["code"]).select("code", "component", "first_id")
     ids = members.groupBy("component").agg(F.min("first_id").alias("least_id"))
     linked = members.join(ids, "component").select("code", "least_id")
-    labels = nodes.join(linked, "code", "left").select(
-        "code", F.when(F.col("least_id").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("component_id")
-    )
+    component = F.coalesce("least_id", "first_id").alias("component_id")
+    # Stored, so that the join with all documents stands alone and a code with very many of them
+    # can be split by adaptive execution.
+    labels = stored(nodes.join(linked, "code", "left").select("code", component), "labels")
     return prints.join(labels, "code").select(
         "doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -283,22 +285,23 @@ def keep_first(docs: DataFrame, **settings) -> DataFrame:
             first.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
         )
     if not judged.where("component_id IS NULL").isEmpty():
-        names = fingerprint_names(docs)
-        nameless = names.join(judged.where("component_id IS NULL").select("fingerprint").distinct(), "fingerprint", "left_semi")
+        name = "fingerprint"
+        while name in docs.columns:
+            name += "_"
+        alone = judged.where("component_id IS NULL").select(F.col("fingerprint").alias(name)).distinct()
+        nameless = _with_fingerprint(docs.where("doc_id IS NULL"), name).join(alone, name, "left_semi")
         first = first.unionByName(nameless.select(*docs.columns))
     return first
 
 
-def fingerprint_names(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without doc_id, with a column ``fingerprint`` after their own."""
-    rows = docs.where("doc_id IS NULL")
+def _with_fingerprint(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a column ``name`` after their own."""
 
     def run(batches):
         for part in slices(batches):
-            names = [f"{fingerprint(text):016x}" for text in part.column("text").to_pylist()]
+            found = [f"{fingerprint(text):016x}" for text in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(names, pa.string())], [*part.schema.names, "fingerprint"]
+                [*part.columns, pa.array(found, pa.string())], [*part.schema.names, name]
             )
 
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], "fingerprint string"])
-    return map_batches(rows, run, schema)
+    return map_batches(rows, run, T.StructType([*rows.schema, T.StructField(name, T.StringType())]))

@@ -279,7 +279,8 @@ def keep_first(docs: DataFrame, **settings) -> DataFrame:
     judged = stored(near_duplicates(docs, **settings), "near_duplicates")
     kept = judged.where("doc_id = component_id").select("doc_id")
     repeated = stored(kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
-    first = docs.join(kept.distinct(), "doc_id", "left_semi")
+    # The same plan at every size: a list of ids to keep grows with the documents and is no broadcast.
+    first = docs.join(kept.distinct().hint("merge"), "doc_id", "left_semi")
     if not repeated.isEmpty():
         first = first.join(repeated, "doc_id", "left_anti").unionByName(
             first.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])

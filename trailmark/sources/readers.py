@@ -20,6 +20,8 @@ _LONG_WHOLE = r"^[+-]?(0|[1-9][0-9]{0,37})$"
 _POINT = r"^[+-]?((0|[1-9][0-9]*)\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,3})?$|^[+-]?[1-9][0-9]*[eE][+-]?[0-9]{1,3}$"
 #: Whole numbers below this are the same as doubles.
 _DOUBLE_WHOLE = 2**53
+#: The only types a depth may have.
+_NUMBERS = ("bigint", "decimal(38,0)", "double")
 
 
 def is_parquet(path: str) -> bool:
@@ -78,8 +80,9 @@ def _types(
         if name == depth:  # a number, however it is written
             value = F.regexp_replace(value, r"^([+-]?)0+(?=[0-9])", "$1")
         bits = F.lit(0)
-        for bit, fits in enumerate(_kinds(value).values()):
-            bits = bits + F.when(fits, 1 << bit).otherwise(0)
+        for bit, (kind, fits) in enumerate(_kinds(value).items()):
+            if name != depth or kind in _NUMBERS:
+                bits = bits + F.when(fits, 1 << bit).otherwise(0)
         return F.bit_and(F.when(value.isNotNull(), bits))
 
     def misfit(name: str, kind: str) -> Column:

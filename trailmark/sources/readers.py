@@ -75,6 +75,8 @@ def _types(
     if not columns and not checked:
         return {}
 
+    names = list(_kinds(F.lit("")))
+
     def fitting(name: str) -> Column:
         value = _quoted(name)
         if name == depth:  # a number, however it is written
@@ -83,13 +85,16 @@ def _types(
         for bit, (kind, fits) in enumerate(_kinds(value).items()):
             if name != depth or kind in _NUMBERS:
                 bits = bits + F.when(fits, 1 << bit).otherwise(0)
+        # Most values are small whole numbers, which fit every number type: one look decides.
+        usual = r"^[+-]?[0-9]{1,15}$" if name == depth else r"^[+-]?(0|[1-9][0-9]{0,14})$"
+        numbers = sum(1 << bit for bit, kind in enumerate(names) if kind in _NUMBERS)
+        bits = F.when(_quoted(name).rlike(usual), numbers).otherwise(bits)
         return F.bit_and(F.when(value.isNotNull(), bits))
 
     def misfit(name: str, kind: str) -> Column:
         value = _quoted(name)
         return F.min(F.when(value.try_cast(kind).isNull(), value))
 
-    names = list(_kinds(F.lit("")))
     found = rows.agg(
         *[fitting(name).alias(f"c{i}") for i, name in enumerate(columns)],
         *[misfit(name, kind).alias(f"m{i}") for i, (name, kind) in enumerate(checked.items())],

@@ -51,3 +51,19 @@ def test_no_language_learned(spark):
 def test_equal_sizes_are_rejected_and_named_by_order():
     judge = langid.Classifier({"b": b"same words " * 50, "a": b"same words " * 50}, 0.01).judge
     assert judge("same words here") == ("a", 0.0, True)
+
+
+def test_a_language_with_one_short_text_shortens_no_other(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    four = langid.learn_dictionaries(langid.training_rows(docs))
+    rare = spark.createDataFrame([("kort verhaal over ons", "nl")], "text string, lang string")
+    five = langid.learn_dictionaries(langid.training_rows(docs).select("text", "lang").unionByName(rare))
+    assert five == {**four, "nl": b"kort verhaal over ons"}
+    rows = docs.where("lang IS NOT NULL").orderBy("doc_id").limit(160).collect()
+    before, after = langid.Classifier(four, 0.01), langid.Classifier(five, 0.01)
+    same = [before.judge(r.text) == after.judge(r.text) for r in rows]
+    assert sum(same) / len(same) > 0.98
+    alone = langid.Classifier({"en": four["en"], "nl": five["nl"]}, 0.01)
+    english = [alone.judge(r.text) for r in rows if r.lang == "en"]
+    assert sum(lang == "en" and not rejected for lang, _, rejected in english) / len(english) > 0.95
+    assert after.judge("kort verhaal over ons, kort verhaal over ons")[0] == "nl"

@@ -3,6 +3,10 @@
 Each language learned has a zstandard raw-content dictionary made of sampled texts. A text is
 encoded with every dictionary, and the language with the fewest bytes wins. When the runner-up is
 nearly as good, or the text has no letter, the text is rejected.
+
+Sizes are compared only between dictionaries of one length, since a longer one saves more in any
+language. Languages form rungs of similar length, and each rung competes, cut to its shortest, with
+all longer ones cut to the same length. So a language with little text shortens no other.
 """
 
 from __future__ import annotations
@@ -74,46 +78,79 @@ def learn_dictionaries(
     found: dict[str, list[bytes]] = {lang: [] for lang in totals}
     for row in sorted(sample.collect(), key=lambda r: (r["lang"], r["place"], r["piece"])):
         found[row["lang"]].append(row["piece"].lower().encode())
-    # All dictionaries equally long, or the longer one would win for its length.
     joined = {lang: b"\n".join(parts) for lang, parts in found.items()}
-    size = min([dictionary_bytes, *[len(content) for content in joined.values() if content]])
-    return {lang: content[:size] for lang, content in sorted(joined.items()) if content}
+    return {lang: content[:dictionary_bytes] for lang, content in sorted(joined.items()) if content}
 
 
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def rungs(dictionaries: dict[str, bytes]) -> list[tuple[int, list[str]]]:
+    """(bytes, languages), longest first. The longest dictionary of a rung is at most twice as long
+    as its shortest, and ``bytes`` is the length of the shortest."""
+    found: list[tuple[int, list[str]]] = []
+    top = 0
+    for lang in sorted(dictionaries, key=lambda lang: (-len(dictionaries[lang]), lang)):
+        size = len(dictionaries[lang])
+        if found and 2 * size >= top:
+            found[-1] = (size, [*found[-1][1], lang])
+        else:
+            found.append((size, [lang]))
+            top = size
+    return found
+
+
+def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+    encoding = zstandard.ZstdCompressionParameters(**ENCODING)
+    known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    known.precompute_compress(compression_params=encoding)
+    return zstandard.ZstdCompressor(compression_params=encoding, dict_data=known)
+
+
+def _backwards(content: bytes) -> bytes:
+    """As many letters of the same kinds, in no language: what a single longest dictionary meets."""
+    return content.decode(errors="ignore")[::-1].encode()
+
+
 class Classifier:
     """Compressors of all languages, set up once for a task."""
 
     def __init__(self, dictionaries: dict[str, bytes], min_margin: float):
         self.min_margin = min_margin
-        self.compressors = []
-        encoding = zstandard.ZstdCompressionParameters(**ENCODING)
-        for lang in sorted(dictionaries):
-            content = zstandard.ZstdCompressionDict(
-                dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT
-            )
-            content.precompute_compress(compression_params=encoding)
-            compressor = zstandard.ZstdCompressor(compression_params=encoding, dict_data=content)
-            self.compressors.append((lang, compressor))
+        #: For each rung: the languages that belong to it, and (language, compressor) of all that meet.
+        self.rungs = []
+        longer: list[str] = []
+        for size, own in rungs(dictionaries):
+            longer += own
+            meet = [(lang, _compressor(dictionaries[lang][:size])) for lang in sorted(longer)]
+            if len(meet) == 1 and len(dictionaries) > 1:
+                meet.append((None, _compressor(_backwards(dictionaries[own[0]][:size]))))
+            self.rungs.append((set(own), meet))
 
     def judge(self, text: str | None) -> tuple[str, float, bool]:
         """(language, margin, rejected)."""
-        if not text or not self.compressors or not has_letter(text):
+        if not text or not self.rungs or not has_letter(text):
             return UNKNOWN, 0.0, True
         text = text.lower()
         blocks = [
             text[at : at + BLOCK_CHARS].encode() + BLOCK_END
             for at in range(0, len(text), BLOCK_CHARS)
         ]
-        sizes = sorted(
-            (sum(len(compressor.compress(block)) for block in blocks), lang)
-            for lang, compressor in self.compressors
-        )
-        best, lang = sizes[0]
-        margin = 1.0 if len(sizes) == 1 else 1.0 - best / sizes[1][0]
+        judged = []  # bytes of a language against the best other one at its length, and its name
+        for own, meet in self.rungs:
+            sizes = [
+                (sum(len(compressor.compress(block)) for block in blocks), lang)
+                for lang, compressor in meet
+            ]
+            if len(sizes) == 1:
+                return sizes[0][1], 1.0, 1.0 < self.min_margin
+            least, second = sorted(size for size, _ in sizes)[:2]
+            judged += [
+                (size / (second if size == least else least), lang) for size, lang in sizes if lang in own
+            ]
+        best, lang = min(judged)
+        margin = max(0.0, 1.0 - best)
         return lang, margin, margin < self.min_margin
 
 
@@ -125,7 +162,8 @@ def identify(
 ) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of every row of ``docs`` (doc_id, text).
 
-    ``score`` is the share of bytes the best language saves against the runner-up, 0 to 1. A null
+    ``score`` is the share of bytes the best language saves against the runner-up, 0 to 1, with
+    dictionaries of one length. A null
     or empty text, one without a letter, and every text when no language was learned are ``und``
     with score 0, and rejected; so is a text with a margin below ``min_margin``, which keeps its
     best guess. Equal sizes go to the name that sorts first. Whole texts are read, in blocks.

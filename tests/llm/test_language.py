@@ -67,3 +67,11 @@ def test_a_language_with_one_short_text_shortens_no_other(spark):
     english = [alone.judge(r.text) for r in rows if r.lang == "en"]
     assert sum(lang == "en" and not rejected for lang, _, rejected in english) / len(english) > 0.95
     assert after.judge("kort verhaal over ons, kort verhaal over ons")[0] == "nl"
+
+
+def test_copies_of_few_texts_are_learned(spark):
+    copies = spark.range(30_000).selectExpr("concat('goede tekst nummer ', id % 20) AS text", "'nl' AS lang")
+    other = spark.range(2_000).selectExpr("concat('some english text ', id) AS text", "'en' AS lang")
+    learned = langid.learn_dictionaries(copies.unionByName(other))
+    assert len(learned["nl"].split(b"\n")) == 20
+    assert 400 < len(learned["en"].split(b"\n")) < 800

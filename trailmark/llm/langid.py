@@ -56,11 +56,13 @@ def learn_dictionaries(
     """language -> dictionary content, from the rows of ``labelled`` (text, lang).
 
     The sample is bounded: about ``pieces`` pieces of at most ``PIECE_CHARS`` characters for each
-    language, from texts whose hash is small; which ones depends on the texts alone. Rows without
-    text or language teach nothing. An empty table teaches no language.
+    language, from texts whose hash is small; which ones depends on the texts alone. Copies of a text
+    count once, so a language with few texts, however often they are repeated, gives a piece of each.
+    Rows without text or language teach nothing. An empty table teaches no language.
     """
     rows = labelled.select("text", "lang").where("text <> '' AND lang IS NOT NULL")
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    texts = F.approx_count_distinct("text").alias("n")
+    totals = {r["lang"]: max(r["n"], 1) for r in rows.groupBy("lang").agg(texts).collect()}
     if not totals:
         return {}
     place = F.xxhash64("text")

@@ -77,3 +77,31 @@ def test_masking(spark):
     table = spark.createDataFrame(rows, "doc_id bigint, text string, code string, n_chars bigint")
     found = {r.doc_id: tuple(r) for r in pii.mask_pii(table).collect()}
     assert found == {1: (1, "mail [EMAIL] or [IP]", "x", 20), 2: (2, None, "y", None), 3: (3, "clean", "z", 5)}
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", ["DE89 3704 0044 0532 0130 00"]),
+        ("DE89370400440532013000 BIC: COBADEFFXXX", ["DE89370400440532013000"]),
+        ("DE89 3704 0044 0532 0130 00 EUR 500", ["DE89 3704 0044 0532 0130 00"]),
+        ("DE89 3704 0044 0532 0130 00 2024", ["DE89 3704 0044 0532 0130 00"]),
+        ("REF AB12 DE89 3704 0044 0532 0130 00", ["DE89 3704 0044 0532 0130 00"]),
+        ("DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32 X", ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]),
+        ("NO9386011117947 AND MORE", ["NO9386011117947"]),
+        ("MT84 MALT 0110 0001 2345 MTLC AST0 01S BIC X", ["MT84 MALT 0110 0001 2345 MTLC AST0 01S"]),
+        ("DE88 3704 0044 0532 0130 00 BIC COBADEFFXXX", []),
+        ("DE89 3704 0044 0532 0130 00x", []),
+    ],
+)
+def test_ibans_end_where_their_checksum_says(text, found):
+    assert [text[s.start : s.end] for s in pii.find_spans(text) if s.kind == "iban"] == found
+
+
+def test_an_iban_stays_beside_a_card_number_inside_it():
+    codes = (f"5390075{n:05d}" for n in range(1_000))
+    digits = (f"{98 - int(code + '111400') % 97:02d}{code}" for code in codes)
+    text = "BE" + next(d for d in digits if pii.luhn(d))
+    spans = pii.find_spans(f"to {text} EUR 500")
+    assert [(s.kind, s.start, s.end) for s in spans] == [("iban", 3, 19), ("card", 5, 19)]
+    assert pii.masked(f"to {text} EUR 500", spans) == "to [IBAN] EUR 500"

@@ -28,7 +28,21 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+IBAN_RUN = re.compile(r"(?:\x20?[A-Z0-9]){11,30}")
+IBAN_END = re.compile(r"(?<=[A-Z0-9])(?![A-Za-z0-9])")
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+        21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+        27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 33: "LC RU",
+    }.items()
+    for country in countries.split()
+}
 PHONE_LOCAL = re.compile(r"(?<![\w+.-])\(?[0-9]{2,5}\)?(?:[\x20./-][0-9]{2,5}){1,4}(?![\w.-]|-[0-9])")
 ID_NUMBER = re.compile(r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
 
@@ -104,6 +118,30 @@ def emails(text: str):
         at = text.find("@", max(at + 1, free))
 
 
+def ibans(text: str):
+    """From left to right: each start takes the first end that passes, and what ends there is used up.
+
+    Ends are where a group of characters ends. The length its country has is tried first. Without
+    one that passes, a country that is known has the longest end only, any other one every end.
+    """
+    free = 0
+    for found in IBAN_START.finditer(text):
+        start = found.start()
+        run = IBAN_RUN.match(text, found.end()) if start >= free else None
+        if not run:
+            continue
+        ends = [end.start() for end in IBAN_END.finditer(text, run.start(), run.end() + 1)]
+        ends = [end for end in reversed(ends) if end <= run.end()]
+        length = IBAN_LENGTHS.get(text[start : start + 2])
+        if length:
+            usual = [end for end in ends if end - start - text.count(" ", start, end) == length]
+            ends = usual + ends[:1]
+        end = next((end for end in ends if mod97(text[start:end])), None)
+        if end:
+            yield start, end
+            free = end
+
+
 def proposals(text: str):
     """(kind, start, end) of all spans that match and pass their checks."""
     if "@" in text:
@@ -119,9 +157,7 @@ def proposals(text: str):
         for found in PHONE.finditer(text):
             if 10 <= len(digits_of(found.group())) <= 15:
                 yield "phone", *found.span()
-    for found in IBAN.finditer(text):
-        if mod97(found.group()):
-            yield "iban", *found.span()
+    yield from (("iban", *span) for span in ibans(text))
     for found in ID_NUMBER.finditer(text):
         yield "id_number", *found.span()
     for found in PHONE_LOCAL.finditer(text):
@@ -140,17 +176,18 @@ def score(kind: str, text: str, start: int, end: int) -> float:
 
 
 def find_spans(text: str | None) -> list[Span]:
-    """All spans in order: base ones whatever they score, added ones from ``MIN_SCORE`` on and
-    only where no base span is."""
+    """All spans in order: base ones and IBANs whatever overlaps them, base ones whatever they score,
+    the other added ones from ``MIN_SCORE`` on and only where no other span is."""
     text = text or ""
     found = [
         Span(start, KINDS.index(kind), end, score(kind, text, start, end))
         for kind, start, end in proposals(text)
     ]
-    base = [span for span in found if span.kind in BASE_KINDS]
+    sure = (*BASE_KINDS, "iban")
+    base = [span for span in found if span.kind in sure]
     if len(base) < len(found):
         taken = sorted((span.start, span.end) for span in base)
-        for span in sorted(s for s in found if s.kind not in BASE_KINDS and s.score >= MIN_SCORE):
+        for span in sorted(s for s in found if s.kind not in sure and s.score >= MIN_SCORE):
             if not any(start < span.end and span.start < end for start, end in taken):
                 base.append(span)
                 taken.append((span.start, span.end))

@@ -116,6 +116,26 @@ def _from_rows(build: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: build(tm.session_rows(table(spark, sf_dir, "events")))
 
 
+def talk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tm.conversation_rows(table(spark, sf_dir, "conversations"))
+
+
+def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tm.order_rows(table(spark, sf_dir, "orders"))
+
+
+def _row_ends(rows: DataFrame, end: str) -> DataFrame:
+    return metrics.rank_ends(tm.ends_from_rows(rows, end), end, 10)
+
+
+def _row_frequencies(rows: DataFrame, dedupe: str) -> DataFrame:
+    return metrics.frequencies_from_edges(tm.edges_from_rows(rows, dedupe), 20)
+
+
+def _row_matrix(rows: DataFrame, dedupe: str, top_n: int) -> DataFrame:
+    return flows.matrix_from_edges(tm.edges_from_rows(rows, dedupe), top_n)
+
+
 def _on(source: Callable[..., DataFrame], operator: Callable[..., DataFrame], *args, **kw) -> Query:
     return lambda spark, sf_dir: operator(source(spark, sf_dir), *args, **kw)
 
@@ -337,8 +357,8 @@ def build() -> dict[str, Query]:
         "exit_events": _on(event_sessions, tm.exit_events),
         "entry_events_untidy": _on(untidy_sessions, tm.entry_events),
         "exit_events_untidy": _on(untidy_sessions, tm.exit_events),
-        "order_entry_events": _on(order_sessions, tm.entry_events),
-        "order_exit_events": _on(order_sessions, tm.exit_events),
+        "order_entry_events": _on(order_rows, _row_ends, "entry"),
+        "order_exit_events": _on(order_rows, _row_ends, "exit"),
         "session_kpis": _on(event_sessions, tm.session_kpis),
         "session_kpis_approximate": _on(event_sessions, tm.session_kpis, approximate=True),
         "session_kpis_untidy": _on(untidy_sessions, tm.session_kpis),
@@ -444,6 +464,10 @@ def build() -> dict[str, Query]:
         }
     for mode in ("none", "consecutive"):
         found |= {
+            # by rows, which no long conversation or customer can fail
+            f"conversation_frequencies_{mode}": _on(talk_rows, _row_frequencies, mode),
+            f"order_frequencies_{mode}": _on(order_rows, _row_frequencies, mode),
+            f"order_transition_matrix_{mode}": _on(order_rows, _row_matrix, mode, 4),
             f"session_rows_frequencies_{mode}": _from_rows(
                 lambda rows, m=mode: metrics.frequencies_from_edges(tm.edges_from_rows(rows, m), 20)
             ),

@@ -152,3 +152,22 @@ def test_the_row_form_has_no_record_limit(spark):
     found = tm.session_rows(table)
     assert found.count() == 30_000
     assert found.where("SESSION = '1_1'").agg(F.max("position")).head()[0] == 10_001
+
+
+@pytest.mark.parametrize("mode", ["none", "consecutive"])
+def test_keyed_rows_count_as_their_paths(spark, mode):
+    rng = random.Random(8)
+    turns = [(rng.choice([None, 1, 1, 2, 3, 4]), t, rng.choice(["user", "assistant", " tool ", "", None])) for t in range(600)]
+    talk = spark.createDataFrame(turns, "conv_id long, turn int, role string")
+    paths, in_rows = tm.conversation_paths(talk), tm.conversation_rows(talk)
+    assert set(rows(tm.edges_from_rows(in_rows, mode))) == set(rows(tm.edge_counts(paths, dedupe=mode)))
+    for end, whole in (("entry", tm.entry_events(paths)), ("exit", tm.exit_events(paths))):
+        assert set(rows(tm.ends_from_rows(in_rows, end))) >= set(rows(whole, "event_name", f"{end}_count"))
+
+
+def test_keyed_rows_have_no_record_limit(spark):
+    talk = spark.range(30_000).selectExpr("id % 2 AS conv_id", "id AS turn", "repeat('r', 300) AS role")
+    with pytest.raises(Exception, match="exceeds the record limit"):
+        tm.conversation_paths(talk, max_record=2_000_000).count()
+    assert tm.conversation_rows(talk).groupBy("SESSION").agg(F.max("position").alias("n")).where("n = 15000").count() == 2
+    assert sorted(r.n for r in tm.edges_from_rows(tm.conversation_rows(talk)).collect()) == [2, 29_998]

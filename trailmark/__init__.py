@@ -29,8 +29,11 @@ from trailmark.plans.reports import analyze_report, insights_report, run_all, se
 from trailmark.session import build_session
 from trailmark.sources.adapters import (
     conversation_paths,
+    conversation_rows,
     keyed_paths,
+    keyed_rows,
     order_paths,
+    order_rows,
     session_rows,
     sessionize_events,
 )

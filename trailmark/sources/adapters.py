@@ -3,7 +3,7 @@
 A session's path is one cell, so a session has to fit one row. Sizes are added up first, from
 partially aggregated sums; a path of more than ``max_record`` bytes fails the job before any events
 are collected. (The ``max_record`` of a CSV scan bounds the characters of a field.) Sessions of
-any size come as rows from ``session_rows``. Nothing is cut or dropped.
+any size come as rows from ``session_rows`` and ``keyed_rows``. Nothing is cut or dropped.
 """
 
 from __future__ import annotations
@@ -243,19 +243,42 @@ def keyed_paths(
     )
 
 
+def keyed_rows(rows: DataFrame, *, key: str, order_by: Sequence[str], event: str) -> DataFrame:
+    """The sessions of ``keyed_paths`` as rows: (session_key, SESSION, position, event).
+
+    As in ``session_rows``, there is no record limit, and named events only are counted from 1.
+    """
+    in_session = Window.partitionBy("session_key").orderBy(*dict.fromkeys([*order_by, event]))
+    named = rows.where(F.col(event).isNotNull()).select(
+        F.col(key).cast("string").alias("session_key"), *dict.fromkeys([*order_by, event])
+    )
+    return named.select(
+        "session_key",
+        F.col("session_key").alias("SESSION"),
+        F.row_number().over(in_session).cast("bigint").alias("position"),
+        F.col(event).alias("event"),
+    )
+
+
+CONVERSATIONS = {"key": "conv_id", "order_by": ["turn"], "event": "role"}
+ORDERS = {"key": "o_custkey", "order_by": ["o_orderdate", "o_orderkey"], "event": "o_orderpriority"}
+
+
 def conversation_paths(conversations: DataFrame, **options) -> DataFrame:
     """One session per conversation: the roles in turn order."""
-    return keyed_paths(
-        conversations, key="conv_id", order_by=["turn"], event="role", **options
-    )
+    return keyed_paths(conversations, **CONVERSATIONS, **options)
+
+
+def conversation_rows(conversations: DataFrame) -> DataFrame:
+    """The sessions of ``conversation_paths`` as rows."""
+    return keyed_rows(conversations, **CONVERSATIONS)
 
 
 def order_paths(orders: DataFrame, **options) -> DataFrame:
     """One session per customer: order priorities by date."""
-    return keyed_paths(
-        orders,
-        key="o_custkey",
-        order_by=["o_orderdate", "o_orderkey"],
-        event="o_orderpriority",
-        **options,
-    )
+    return keyed_paths(orders, **ORDERS, **options)
+
+
+def order_rows(orders: DataFrame) -> DataFrame:
+    """The sessions of ``order_paths`` as rows."""
+    return keyed_rows(orders, **ORDERS)

@@ -7,7 +7,7 @@ import corpus_pipeline
 import helpers
 import public_tokenizers
 import pytest
-from test_tokens import check_packing
+from test_llm_tokens import check_packing
 from trailmark.llm import langid, packing, pii, queries
 
 

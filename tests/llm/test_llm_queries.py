@@ -21,8 +21,9 @@ def test_query_agrees_with_sql(spark, connection, name):
     assert check_queries.compare(spark, connection, helpers.SF_DIR, name) is None
 
 
-def test_ten_operators():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.queries()) == list(range(1, 11))
+def test_one_query_of_each_operator():
+    numbers = sorted(int(name[2:].split("_")[0]) for name in queries.queries())
+    assert numbers == list(range(1, len(numbers) + 1))
 
 
 def plain_pipeline(spark):

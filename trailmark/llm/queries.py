@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.llm import (
+    alignment,
     chat,
     decontaminate,
     embeddings,
@@ -100,6 +101,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_figures(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
@@ -112,6 +121,7 @@ def queries() -> dict[str, Query]:
         "op8_urls": op8_urls,
         "op9_chat": op9_chat,
         "op10_packing": op10_packing,
+        "op11_alignment": op11_alignment,
     }
 
 

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from trailmark.llm import (
     alignment,
+    bitslices,
     chat,
     decontaminate,
     embeddings,
     langid,
+    lexical,
     licences,
     packing,
     pii,
@@ -109,6 +111,16 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitslices.top_matches(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
@@ -122,6 +134,8 @@ def queries() -> dict[str, Query]:
         "op9_chat": op9_chat,
         "op10_packing": op10_packing,
         "op11_alignment": op11_alignment,
+        "op12_topk": op12_topk,
+        "op13_lexical": op13_lexical,
     }
 
 

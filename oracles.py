@@ -452,6 +452,7 @@ def build() -> dict[str, str]:
         "order_exit_events": ends(ORDERS, "exit"),
         "session_rows_entry_events": ends(EVENTS, "entry"),
         "session_rows_exit_events": ends(EVENTS, "exit"),
+        "session_rows_funnel_reach": funnel(EVENTS, step_list(FUNNEL_STEPS), sequential=False),
         "session_kpis": kpis(EVENTS),
         "session_kpis_approximate": kpis(EVENTS),
         "session_kpis_untidy": kpis(UNTIDY),
@@ -559,8 +560,6 @@ def build() -> dict[str, str]:
                 *end_sections(UNTIDY, 10),
             ]
         )
-        found[f"session_rows_frequencies_{mode}"] = frequencies(EVENTS, mode)
-        found[f"session_rows_transition_pairs_{mode}"] = pairs(EVENTS, mode)
     for mode in DEDUPE_MODES:
         found |= {
             f"dedupe_{mode}": event_rows(UNTIDY, mode),
@@ -583,6 +582,11 @@ def build() -> dict[str, str]:
             f"funnel_untidy_{mode}": funnel(
                 UNTIDY, step_list(["signup", "buy now", "click"]), mode
             ),
+            f"session_rows_frequencies_{mode}": frequencies(EVENTS, mode),
+            f"session_rows_transition_pairs_{mode}": pairs(EVENTS, mode),
+            f"session_rows_funnel_{mode}": funnel(EVENTS, step_list(FUNNEL_STEPS), mode),
+            f"session_rows_funnel_repeat_{mode}": funnel(EVENTS, step_list(REPEAT_STEPS), mode),
+            f"session_rows_top_paths_{mode}": paths(EVENTS, mode),
         }
     for name, mark in (("comma", ","), ("pipe", "|"), ("spaced", " / "), ("dashes", "--")):
         found[f"transition_pairs_{name}"] = pairs(events_cte(mark), "consecutive", delimiter=mark)

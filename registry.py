@@ -111,9 +111,9 @@ def named_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_sessions(spark, sf_dir).withColumn("EVENT_PATH", path)
 
 
-def _from_rows(build: Callable[[DataFrame], DataFrame]) -> Query:
+def _from_rows(build: Callable[[DataFrame], DataFrame], **options) -> Query:
     """Analyses of the row form of the sessions, which needs no record limit."""
-    return lambda spark, sf_dir: build(tm.session_rows(table(spark, sf_dir, "events")))
+    return lambda spark, sf_dir: build(tm.session_rows(table(spark, sf_dir, "events"), **options))
 
 
 def talk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,6 +371,10 @@ def build() -> dict[str, Query]:
         "session_rows_entry_events": _from_rows(
             lambda rows: metrics.rank_ends(tm.ends_from_rows(rows, "entry"), "entry", 10)
         ),
+        "session_rows_funnel_reach": _from_rows(
+            lambda rows: tm.funnel_from_rows(rows, FUNNEL_STEPS, sequential=False),
+            keep_unnamed=True,
+        ),
         "session_rows_exit_events": _from_rows(
             lambda rows: metrics.rank_ends(tm.ends_from_rows(rows, "exit"), "exit", 10)
         ),
@@ -431,10 +435,6 @@ def build() -> dict[str, Query]:
             f"event_frequencies_untidy_{mode}": _on(
                 untidy_sessions, tm.event_frequencies, dedupe=mode
             ),
-            f"conversation_frequencies_{mode}": _on(
-                talk_sessions, tm.event_frequencies, dedupe=mode
-            ),
-            f"order_frequencies_{mode}": _on(order_sessions, tm.event_frequencies, dedupe=mode),
             f"generated_frequencies_{mode}": _on(
                 walk_sessions, tm.event_frequencies, dedupe=mode
             ),
@@ -451,9 +451,6 @@ def build() -> dict[str, Query]:
             f"transition_matrix_untidy_{mode}": _on(
                 untidy_sessions, tm.transition_matrix, top_n=3, dedupe=mode
             ),
-            f"order_transition_matrix_{mode}": _on(
-                order_sessions, tm.transition_matrix, top_n=4, dedupe=mode
-            ),
             f"funnel_sequential_{mode}": _on(
                 event_sessions, tm.funnel, FUNNEL_STEPS, dedupe=mode
             ),
@@ -461,10 +458,7 @@ def build() -> dict[str, Query]:
             f"funnel_untidy_{mode}": _on(
                 untidy_sessions, tm.funnel, ["signup", "buy now", "click"], dedupe=mode
             ),
-        }
-    for mode in ("none", "consecutive"):
-        found |= {
-            # by rows, which no long conversation or customer can fail
+            # by rows, which no long session, conversation or customer can fail
             f"conversation_frequencies_{mode}": _on(talk_rows, _row_frequencies, mode),
             f"order_frequencies_{mode}": _on(order_rows, _row_frequencies, mode),
             f"order_transition_matrix_{mode}": _on(order_rows, _row_matrix, mode, 4),
@@ -474,6 +468,17 @@ def build() -> dict[str, Query]:
             f"session_rows_transition_pairs_{mode}": _from_rows(
                 lambda rows, m=mode: flows.rank_transitions(tm.edges_from_rows(rows, m), 20)
             ),
+            f"session_rows_funnel_{mode}": _from_rows(
+                lambda rows, m=mode: tm.funnel_from_rows(rows, FUNNEL_STEPS, dedupe=m),
+                keep_unnamed=True,
+            ),
+            f"session_rows_funnel_repeat_{mode}": _from_rows(
+                lambda rows, m=mode: tm.funnel_from_rows(rows, REPEAT_STEPS, dedupe=m),
+                keep_unnamed=True,
+            ),
+            f"session_rows_top_paths_{mode}": _from_rows(
+                lambda rows, m=mode: tm.top_paths_from_rows(rows, dedupe=m), keep_unnamed=True
+            ),
         }
     for name, mark in (("comma", ","), ("pipe", "|"), ("spaced", " / "), ("dashes", "--")):
         found[f"transition_pairs_{name}"] = _on(

@@ -196,31 +196,95 @@ def test_a_late_value_of_another_kind_makes_a_column_text(spark, tmp_path):
     assert tm.session_kpis(sessions).head().total_sessions == 30_001
 
 
-@pytest.mark.parametrize("stop", [False, True])
-def test_a_failed_swap_keeps_the_previous_table(spark, tmp_path, monkeypatch, stop):
-    """With ``stop`` the process ends between the two moves and cannot put anything back."""
+def one_row(spark, name):
+    return spark.createDataFrame([(name, name, 1)], SESSION_SCHEMA)
+
+
+def table_names(spark, path):
+    return [r.SESSION for r in tm.read_parquet(spark, path).collect()]
+
+
+def test_a_publication_that_fails_keeps_the_table(spark, tmp_path, monkeypatch):
+    from trailmark.sources import storage
+
+    out = str(tmp_path / "out.parquet")
+    storage.publish_parquet(one_row(spark, "a"), out, {})
+    before = sorted(os.listdir(out))
+    with monkeypatch.context() as broken:
+        broken.setattr(storage, "_mark", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            storage.publish_parquet(one_row(spark, "b"), out, {})
+    assert table_names(spark, out) == ["a"] and sorted(os.listdir(out)) == before
+    storage.publish_parquet(one_row(spark, "b"), out, {})
+    assert table_names(spark, out) == ["b"]
+
+
+def test_readers_between_all_steps_of_a_publication(spark, tmp_path, monkeypatch):
+    """Every reader finds the old version or the new one, and at the end the new one is there."""
+    from trailmark.sources import storage
+
+    out, csv = str(tmp_path / "out.parquet"), write(tmp_path / "in.csv", HEADER + "x,A,1\n")
+    storage.publish_parquet(one_row(spark, "v0"), out, {})
+    real, seen = storage._hadoop, []
+    inside = []
+
+    def reading(session, path):
+        if not inside:  # a step of the publication: all readers come first
+            inside.append(path)
+            seen.append(table_names(spark, out)[0])
+            tm.inspect_dataset(spark, out)
+            tm.is_fresh(spark, csv, out)
+            inside.clear()
+        return real(session, path)
+
+    for number in range(1, 5):
+        with monkeypatch.context() as watched:
+            watched.setattr(storage, "_hadoop", reading)
+            storage.publish_parquet(one_row(spark, f"v{number}"), out, {})
+        assert table_names(spark, out) == [f"v{number}"]
+    assert seen == sorted(seen) and len(set(seen)) == 5 and len(seen) > 20
+    assert len([n for n in os.listdir(out) if n.startswith("version-")]) == 2
+
+
+def test_two_writers_lose_no_version(spark, tmp_path):
+    """The second writer starts and ends while the first one writes."""
+    from trailmark.sources import storage
+
+    out = str(tmp_path / "out.parquet")
+    storage.publish_parquet(one_row(spark, "old"), out, {})
+    found = []
+
+    def first(place):
+        one_row(spark, "first").write.parquet(place)
+        storage.publish_parquet(one_row(spark, "second"), out, {})
+        found.extend(table_names(spark, out))
+
+    storage.publish(spark, out, first)
+    assert found == ["second"] and table_names(spark, out) == ["first"]
+    kept = storage.publish(spark, out, lambda place: one_row(spark, "late").write.parquet(place), replace=False)
+    assert kept == tm.current_path(spark, out) and table_names(spark, out) == ["first"]
+
+
+def test_a_version_that_is_being_read_outlives_its_successor(spark, tmp_path):
+    from trailmark.sources import storage
+
+    out = str(tmp_path / "out.parquet")
+    storage.publish_parquet(one_row(spark, "a"), out, {})
+    reading = tm.read_parquet(spark, out)
+    storage.publish_parquet(one_row(spark, "b"), out, {})
+    assert [r.SESSION for r in reading.collect()] == ["a"]
+
+
+def test_plain_files_give_way_to_a_version(spark, tmp_path):
     from trailmark.sources import storage
 
     out = str(tmp_path / "out.parquet")
-    storage.publish_parquet(spark.createDataFrame([("a", "A", 1)], SESSION_SCHEMA), out, {})
-    real, calls = storage._move, []
-
-    def failing(files, source, target):
-        calls.append(target)
-        if len(calls) == 1:
-            return real(files, source, target)
-        raise OSError("no move")
-
-    monkeypatch.setattr(storage, "_move", failing)
-    with pytest.raises(OSError):
-        storage.publish_parquet(spark.createDataFrame([("b", "B", 1)], SESSION_SCHEMA), out, {})
-    monkeypatch.setattr(storage, "_move", real)
-    if stop:  # what a stop between the moves leaves behind
-        os.rename(out, str(tmp_path / ".out.parquet.previous"))
-    assert rows(tm.read_parquet(spark, out)) == [("a", "A", 1)]
-    storage.publish_parquet(spark.createDataFrame([("b", "B", 1)], SESSION_SCHEMA), out, {})
-    assert rows(tm.read_parquet(spark, out)) == [("b", "B", 1)]
-    assert [n for n in os.listdir(tmp_path) if n.startswith(".")] == []
+    one_row(spark, "plain").write.parquet(out)
+    assert tm.current_path(spark, out) == out and table_names(spark, out) == ["plain"]
+    storage.publish_parquet(one_row(spark, "new"), out, {})
+    assert table_names(spark, out) == ["new"] and not glob.glob(out + "/part-*")
+    with pytest.raises(FileExistsError):
+        storage.publish_parquet(one_row(spark, "new"), write(tmp_path / "file.parquet", "x"), {})
 
 
 def test_line_breaks_in_fields_on_request(spark, tmp_path):
@@ -247,7 +311,7 @@ def test_convert_codec_and_row_groups(spark, tmp_path, codec):
     out = str(tmp_path / "out.parquet")
     tm.convert_dataset(spark, csv, out, compression=codec, row_group_rows=1_000)
     sizes = []
-    for name in glob.glob(out + "/*.parquet"):
+    for name in glob.glob(tm.current_path(spark, out) + "/*.parquet"):
         meta = pq.ParquetFile(name).metadata
         sizes += [meta.row_group(i).num_rows for i in range(meta.num_row_groups)]
         assert meta.row_group(0).column(0).compression == codec

@@ -15,14 +15,21 @@ from trailmark.operators.flows import (
     transition_matrix_wide,
     transition_pairs,
 )
-from trailmark.operators.funnels import funnel, funnel_auto, funnel_preset, funnel_report
+from trailmark.operators.funnels import (
+    funnel,
+    funnel_auto,
+    funnel_from_rows,
+    funnel_preset,
+    funnel_report,
+)
 from trailmark.operators.metrics import (
     entry_events,
     event_frequencies,
     exit_events,
     session_kpis,
-    top_paths,
 )
+from trailmark.operators.paths import top_paths, top_paths_from_rows
+from trailmark.operators.pieces import first_places, session_pieces
 from trailmark.operators.search import match_sessions, search_sessions, session_journeys
 from trailmark.operators.sql import sql_on_data
 from trailmark.plans.reports import analyze_report, insights_report, run_all, session_report
@@ -46,6 +53,7 @@ from trailmark.sources.convert import (
 )
 from trailmark.sources.delimiter import delimiter_of, detect_delimiter
 from trailmark.sources.readers import is_parquet, read_csv, read_parquet, read_sessions
+from trailmark.sources.storage import current_path
 from trailmark.sources.synthetic import generate_sessions, walk_sessions
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -17,6 +17,7 @@ from trailmark.functions.tokens import (
     tokenize_path,
     trim_event,
 )
+from trailmark.operators.pieces import first_places, session_pieces
 
 
 def _neighbours(events: Column) -> Column:
@@ -126,19 +127,29 @@ def end_counts(counts: DataFrame, end: str) -> DataFrame:
     )
 
 
-def edges_from_rows(rows: DataFrame, dedupe: str | None = "none") -> DataFrame:
-    """What ``edge_counts`` gives, out of ``session_rows``; not for the mode ``unique``.
+def edges_from_rows(rows: DataFrame, dedupe: str | None = "none", **sizes: int) -> DataFrame:
+    """What ``edge_counts`` gives, out of ``session_rows``, for sessions of any length.
 
-    Neighbours come from a window over a session's rows, which is sorted on disk where it has to be.
+    Neighbours are found in pieces of a session, each of which also holds the event before it. For
+    the mode ``unique`` the first place of each event is found first; neighbours are those among the
+    first places, of which a session has as many as it has different events. ``sizes`` are those of
+    ``session_pieces``.
     """
     mode = check_dedupe(dedupe)
     if mode == "unique":
-        raise ValueError("Rows do not tell the first occurrences of events.")
-    event = trim_event(F.col("event"))
-    in_session = Window.partitionBy("session_key").orderBy("position")
-    pairs = rows.select("session_key", "position", event.alias("event")).select(
-        F.lag("event").over(in_session).alias("previous"), "event"
-    )
+        in_session = Window.partitionBy("session_key").orderBy("position")
+        pairs = first_places(rows).select(F.lag("event").over(in_session).alias("previous"), "event")
+    else:
+        whole = F.concat("before", "events")
+        # The first event of a session follows nothing; that of a later piece follows what it carries.
+        opened = F.when(F.size("before") == 0, F.array(F.lit(None).cast("string")))
+        before = F.concat(F.coalesce(opened, F.array().cast("array<string>")), whole)
+        pieces = session_pieces(rows, overlap=1, **sizes).select(before.alias("all"))
+        zipped = F.arrays_zip(
+            F.col("all").alias("previous"), F.slice("all", F.lit(2), F.size("all")).alias("event")
+        )
+        pairs = pieces.select(F.explode(zipped).alias("pair")).select("pair.previous", "pair.event")
+        pairs = pairs.where(F.col("event").isNotNull())
     if mode == "consecutive":
         pairs = pairs.where(~F.col("event").eqNullSafe(F.col("previous")))
     return pairs.groupBy("previous", "event").agg(F.count(F.lit(1)).alias("n"))
@@ -147,7 +158,8 @@ def edges_from_rows(rows: DataFrame, dedupe: str | None = "none") -> DataFrame:
 def ends_from_rows(rows: DataFrame, end: str) -> DataFrame:
     """(event_name, n) of the first or last events of the sessions in ``session_rows``."""
     pick = F.min_by if end == "entry" else F.max_by
-    ends = rows.groupBy("session_key").agg(pick("event", "position").alias("event"))
+    named = rows.where(F.col("event").isNotNull())
+    ends = named.groupBy("session_key").agg(pick("event", "position").alias("event"))
     return ends.groupBy(trim_event(F.col("event")).alias("event_name")).agg(
         F.count(F.lit(1)).alias("n")
     )

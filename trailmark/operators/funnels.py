@@ -17,10 +17,13 @@ from trailmark.functions.tokens import (
     DEFAULT_DELIMITER,
     check_dedupe,
     check_top_n,
+    dedupe_consecutive,
     dedupe_events,
     tokenize_path,
+    trim_event,
 )
 from trailmark.operators.metrics import event_frequencies
+from trailmark.operators.pieces import merged, session_pieces
 
 # Named step lists of the presets, how many frequent events they draw on, how many
 # events stand in when none of the named ones occurs, and the largest automatic funnel.
@@ -132,6 +135,108 @@ def funnel(
     return _step_rows(counted, names)
 
 
+def _piece_map(events: Column, names: list[str], alone: Column) -> Column:
+    """How deep a funnel is after ``events``, for each depth it can have before them.
+
+    For the first piece of a session (``alone``) that is depth 0 only.
+    """
+    wanted = F.array(*[F.lit(name) for name in names])
+    # Other events change nothing; most of them go before the fold.
+    steps = F.filter(events, lambda event: F.array_contains(wanted, event))
+    start = F.when(alone, F.array(F.lit(0))).otherwise(
+        F.array(*[F.lit(depth) for depth in range(len(names) + 1)])
+    )
+
+    def taken(depths: Column, event: Column) -> Column:
+        return F.transform(
+            depths, lambda depth: F.when(F.get(wanted, depth) == event, depth + 1).otherwise(depth)
+        )
+
+    return F.aggregate(steps, start, taken)
+
+
+def _after(first: Column, then: Column) -> Column:
+    """The map of two neighbouring pieces."""
+    return F.transform(first, lambda depth: F.get(then, depth))
+
+
+def _row_depths(rows: DataFrame, names: list[str], mode: str, sizes: dict[str, int]) -> DataFrame:
+    """(session_key, depth): how many steps each session completes in order."""
+    if mode == "unique":
+        # Each event counts at its first place only, so the first places of the steps decide.
+        event = trim_event(F.col("event"))
+        distinct = list(dict.fromkeys(names))
+        places = rows.groupBy("session_key").agg(
+            *[F.min(F.when(event == name, F.col("position"))).alias(f"at{i}") for i, name in enumerate(distinct)]
+        )
+        at = [F.col(f"at{distinct.index(name)}") for name in names]
+        reached = at[0].isNotNull()
+        depth = F.when(reached, 1).otherwise(0)
+        for before, here in zip(at, at[1:]):
+            reached = reached & F.coalesce(here > before, F.lit(False))
+            depth = depth + F.when(reached, 1).otherwise(0)
+        return places.select("session_key", depth.alias("depth"))
+    pieces = session_pieces(rows, **sizes)
+    alone, events = F.col("piece") == 0, F.col("events")
+    if mode == "none" or not any(a == b for a, b in zip(names, names[1:])):
+        found = merged(pieces, _piece_map(events, names, alone), _after)
+        return found.select("session_key", F.get("state", F.lit(0)).alias("depth"))
+    # Of a run that goes on from the piece before, the first event is not counted again.
+    runs = dedupe_consecutive(events)
+    rest = F.slice("runs", F.lit(2), F.size("runs"))
+    state = F.struct(
+        F.get("runs", F.lit(0)).alias("first"),
+        F.get("runs", F.size("runs") - 1).alias("last"),
+        _piece_map(F.col("runs"), names, alone).alias("whole"),
+        _piece_map(rest, names, alone).alias("rest"),
+    )
+
+    def merge(left: Column, right: Column) -> Column:
+        goes_on = left["last"].eqNullSafe(right["first"])
+        then = F.when(goes_on, right["rest"]).otherwise(right["whole"])
+        return F.struct(
+            left["first"].alias("first"),
+            right["last"].alias("last"),
+            _after(left["whole"], then).alias("whole"),
+            _after(left["rest"], then).alias("rest"),
+        )
+
+    found = merged(pieces.withColumn("runs", runs), state, merge)
+    return found.select("session_key", F.get("state.whole", F.lit(0)).alias("depth"))
+
+
+def funnel_from_rows(
+    rows: DataFrame,
+    steps: Sequence[str],
+    *,
+    sequential: bool = True,
+    dedupe: str | None = "none",
+    **sizes: int,
+) -> DataFrame:
+    """What ``funnel`` gives, out of ``session_rows``, for sessions of any length.
+
+    An ordered funnel turns each piece of a session into a map from the depth before it to the depth
+    after it; maps of neighbouring pieces make the map of both, so that no task holds a session
+    whole. ``sizes`` are those of ``session_pieces``. Sessions without any named event count in the
+    total if they have a row, as with ``keep_unnamed``.
+    """
+    names = clean_steps(steps)
+    mode = check_dedupe(dedupe)
+    if sequential:
+        depths = _row_depths(rows, names, mode, sizes)
+        reached = [F.col("depth") >= i + 1 for i in range(len(names))]
+    else:
+        event = trim_event(F.col("event"))
+        depths = rows.groupBy("session_key").agg(
+            *[F.max(F.coalesce(event == name, F.lit(False))).alias(f"has{i}") for i, name in enumerate(names)]
+        )
+        reached = [F.col(f"has{i}") for i in range(len(names))]
+    counted = depths.agg(
+        F.count(F.lit(1)).alias("total"), F.array(*[F.count_if(hit) for hit in reached]).alias("counts")
+    )
+    return _step_rows(counted, names)
+
+
 def frequent_events(
     sessions: DataFrame, delimiter: str, top_n: int, dedupe: str | None
 ) -> list[str]:

@@ -1,4 +1,4 @@
-"""Counts over sessions: event frequencies, full paths, entries, exits and KPIs.
+"""Counts over sessions: event frequencies, entries, exits and KPIs.
 
 Each aggregate shuffles partially aggregated rows once. Totals are scalar subqueries over the
 same grouped rows, so Spark reads the input once and reuses the exchange; no window ever runs
@@ -7,7 +7,7 @@ over an unbounded number of groups.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions.rates import rate_percent, share_percent
@@ -18,7 +18,6 @@ from trailmark.functions.tokens import (
     dedupe_unique,
     first_event,
     last_event,
-    sanitize_path,
     tokenize_path,
 )
 from trailmark.operators.edges import neighbour_rows
@@ -27,7 +26,6 @@ from trailmark.operators.edges import neighbour_rows
 # The depth percentiles reported.
 PERCENTILES = {"median_events": 50, "p75_events": 75, "p90_events": 90}
 SKETCH_ACCURACY = 10_000
-DEPTH_BUCKETS = 256
 
 
 def _event_rows(sessions: DataFrame, delimiter: str, mode: str) -> DataFrame:
@@ -84,46 +82,6 @@ def event_frequencies(
     return rank_frequencies(counts, top_n)
 
 
-def top_paths(
-    sessions: DataFrame,
-    *,
-    top_n: int = 15,
-    min_events: int = 1,
-    dedupe: str | None = "none",
-    delimiter: str = DEFAULT_DELIMITER,
-) -> DataFrame:
-    """(full_path, TOTAL_EVENTS, session_count, share_percent) of the most frequent paths.
-
-    Paths are grouped with the depth as recorded, so one deduplicated path can fill several
-    rows. The share is of all sessions, also those without a path or below ``min_events``.
-    """
-    counted = F.col("EVENT_PATH").isNotNull() & (F.col("TOTAL_EVENTS") >= min_events)
-    kept = F.coalesce(counted, F.lit(False))
-    counts = (
-        sessions.select(
-            kept.alias("kept"),
-            F.when(kept, sanitize_path(F.col("EVENT_PATH"), dedupe, delimiter)).alias("full_path"),
-            F.when(kept, F.col("TOTAL_EVENTS")).alias("TOTAL_EVENTS"),
-        )
-        .groupBy("kept", "full_path", "TOTAL_EVENTS")
-        .agg(F.count(F.lit(1)).alias("session_count"))
-    )
-    # The sessions that are not ranked are one group, sorted last and dropped after the limit: the
-    # ranking and the total then read one and the same aggregate.
-    all_sessions = counts.agg(F.sum("session_count")).scalar()
-    return (
-        counts.orderBy(F.desc("kept"), F.desc("session_count"), "full_path", "TOTAL_EVENTS")
-        .limit(check_top_n(top_n))
-        .where("kept")
-        .select(
-            "full_path",
-            "TOTAL_EVENTS",
-            "session_count",
-            share_percent(F.col("session_count"), all_sessions).alias("share_percent"),
-        )
-    )
-
-
 def rank_ends(counts: DataFrame, end: str, top_n: int) -> DataFrame:
     """Top entry or exit events with their share, from (event_name, n).
 
@@ -186,12 +144,25 @@ def exit_events(
 def session_kpis(sessions: DataFrame, *, approximate: bool = False) -> DataFrame:
     """One row of key figures over all sessions, NULL paths and NULL depths included.
 
-    Percentiles are discrete and exact: sessions are first counted per depth, then depths are
-    ranked bucket by bucket.
-    ``approximate`` sketches them instead, in one aggregate whose size does not depend on how
-    many distinct depths there are; use it for depths that are hardly ever equal.
+    Percentiles are discrete and exact. They are taken in the same aggregate as the other figures: each
+    task sends how often each depth occurs, one counter for each different depth.
+    ``approximate`` sketches them instead, in a state whose size does not depend on how many different
+    depths there are; use it for depths that are hardly ever equal.
     """
-    figures = _sketched_kpis(sessions) if approximate else _counted_kpis(sessions)
+    depth = F.col("TOTAL_EVENTS")
+    if approximate:
+        percentiles = F.percentile_approx(depth, [p / 100 for p in PERCENTILES.values()], SKETCH_ACCURACY)
+    else:
+        shares = ", ".join(str(p / 100) for p in PERCENTILES.values())
+        percentiles = F.expr(f"percentile_disc(array({shares})) WITHIN GROUP (ORDER BY TOTAL_EVENTS)")
+    figures = sessions.agg(
+        F.count(F.lit(1)).alias("total_sessions"),
+        F.count_if(depth == 1).alias("single_event_bounces"),
+        F.avg(depth).alias("avg_events_per_session"),
+        percentiles.alias("percentiles"),
+        F.max(depth).alias("max_events"),
+    )
+    kind = sessions.schema["TOTAL_EVENTS"].dataType
     return figures.select(
         "total_sessions",
         "single_event_bounces",
@@ -199,64 +170,6 @@ def session_kpis(sessions: DataFrame, *, approximate: bool = False) -> DataFrame
             "bounce_rate_pct"
         ),
         F.round("avg_events_per_session", 2).alias("avg_events_per_session"),
-        *PERCENTILES,
+        *[F.get("percentiles", F.lit(i)).cast(kind).alias(name) for i, name in enumerate(PERCENTILES)],
         "max_events",
     )
-
-
-def _counted_kpis(sessions: DataFrame) -> DataFrame:
-    # The filter is always true. It makes every reader of the counts need the same columns, so that
-    # all read one exchange and the sessions are scanned once.
-    depths = (
-        sessions.groupBy(F.col("TOTAL_EVENTS").alias("depth"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where("n > 0")
-    )
-    depth, n = F.col("depth"), F.col("n")
-    known = F.when(depth.isNotNull(), n).otherwise(0)
-    # Depths are cut into buckets of about equally many distinct depths. Only the buckets, at most
-    # DEPTH_BUCKETS + 1 rows, are ranked in one task; depths are ranked within their bucket.
-    cuts = [i / DEPTH_BUCKETS for i in range(1, DEPTH_BUCKETS)]
-    bounds = depths.agg(F.percentile_approx("depth", cuts, SKETCH_ACCURACY)).scalar()
-    bucket = F.when(depth.isNull(), -1).otherwise(
-        F.coalesce(F.size(F.filter("bounds", lambda bound: bound < depth)), F.lit(0))
-    )
-    placed = depths.withColumn("bounds", bounds).withColumn("bucket", bucket).drop("bounds")
-    totals = placed.groupBy("bucket").agg(F.sum(known).alias("in_bucket"))
-    measured = totals.agg(F.sum("in_bucket")).scalar()
-    before = totals.select(
-        "bucket", (F.sum("in_bucket").over(Window.orderBy("bucket")) - F.col("in_bucket")).alias("before")
-    )
-    within = Window.partitionBy("bucket").orderBy("depth")
-    ranked = (
-        placed.join(F.broadcast(before), "bucket")
-        .withColumn("up_to", F.col("before") + F.sum(known).over(within))
-        .withColumn("measured", measured)
-    )
-
-    def percentile(percent: int) -> Column:
-        return F.min(F.when(F.col("up_to") * 100 >= F.col("measured") * percent, depth))
-
-    return ranked.agg(
-        F.coalesce(F.sum(n), F.lit(0)).alias("total_sessions"),
-        F.coalesce(F.sum(F.when(depth == 1, n)), F.lit(0)).alias("single_event_bounces"),
-        (F.sum(depth.cast("double") * n) / F.sum(F.when(depth.isNotNull(), n))).alias(
-            "avg_events_per_session"
-        ),
-        *[percentile(percent).alias(name) for name, percent in PERCENTILES.items()],
-        F.max(depth).alias("max_events"),
-    )
-
-
-def _sketched_kpis(sessions: DataFrame) -> DataFrame:
-    depth = F.col("TOTAL_EVENTS")
-    return sessions.agg(
-        F.count(F.lit(1)).alias("total_sessions"),
-        F.count_if(depth == 1).alias("single_event_bounces"),
-        F.avg(depth).alias("avg_events_per_session"),
-        *[
-            F.percentile_approx(depth, percent / 100, SKETCH_ACCURACY).alias(name)
-            for name, percent in PERCENTILES.items()
-        ],
-        F.max(depth).alias("max_events"),
-    )

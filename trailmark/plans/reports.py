@@ -30,15 +30,14 @@ from trailmark.operators.metrics import (
     path_ends,
     rank_ends,
     session_kpis,
-    top_paths,
 )
+from trailmark.operators.paths import top_paths
 from trailmark.sources.convert import Conversion, convert_if_stale, inspect_dataset
 from trailmark.sources.delimiter import detect_delimiter
 from trailmark.sources.readers import read_parquet
-from trailmark.sources.storage import publish, recover, stored_table
+from trailmark.sources.storage import publish, stored_table
 
 INSIGHT_ROWS, REPORT_PATHS, REPORT_ENDS = 5, 10, 10
-CURRENT = "current"
 
 
 @dataclass(frozen=True)
@@ -53,13 +52,12 @@ class Report:
         return reduce(DataFrame.unionByName, parts)
 
     def write(self, output_dir: str) -> dict[str, str]:
-        """One Parquet table per section under ``output_dir``/current; {section: path}.
+        """One Parquet table per section in a new version of ``output_dir``; {section: path}.
 
         All of them change at once, when the last one is written.
         """
-        folder = f"{output_dir.rstrip('/')}/{CURRENT}"
         spark = next(iter(self.tables.values())).sparkSession
-        publish(spark, folder, self.write_into)
+        folder = publish(spark, output_dir, self.write_into)
         return {name: f"{folder}/{name}" for name in self.tables}
 
     def write_into(self, folder: str) -> None:
@@ -219,7 +217,7 @@ def run_all(
 
     Without a ``delimiter`` it is detected in all paths; a given one is obeyed. ``csv_options`` are
     those of ``read_csv``. The counts of neighbouring events are written first, as ``neighbours``;
-    most tables are made from them. All tables are published at once, under ``output_dir``/current.
+    most tables are made from them. All tables are published at once, as a new version of ``output_dir``.
     """
     conversion = convert_if_stale(
         spark, csv_path, parquet_path, force=force, compression=compression, **csv_options
@@ -228,7 +226,6 @@ def run_all(
     sessions = read_parquet(spark, parquet_path)
     if delimiter is None:
         delimiter = detect_delimiter(sessions)
-    folder = f"{output_dir.rstrip('/')}/{CURRENT}"
     names: list[str] = []
 
     def write(place: str) -> None:
@@ -246,7 +243,6 @@ def run_all(
         report.write_into(place)
         names.extend(report.tables)
 
-    recover(spark, folder)
-    publish(spark, folder, write)
+    folder = publish(spark, output_dir, write)
     outputs = {name: f"{folder}/{name}" for name in names}
     return RunSummary(conversion, found.total_rows, found.columns, delimiter, outputs)

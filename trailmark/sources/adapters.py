@@ -1,9 +1,12 @@
 """Session tables out of raw event rows.
 
-A session's path is one cell, so a session has to fit one row. Sizes are added up first, from
-partially aggregated sums; a path of more than ``max_record`` bytes fails the job before any events
-are collected. (The ``max_record`` of a CSV scan bounds the characters of a field.) Sessions of
-any size come as rows from ``session_rows`` and ``keyed_rows``. Nothing is cut or dropped.
+Sessions are found along each user's events in one pass: the rows of a user with very many of them
+are cut into pieces by time, and what a piece has to know of those before it (the time of the last
+event, how many sessions have begun, where the last one did) is added up from one summary row per
+piece. A session's path is one cell, so a session has to fit one row. The texts of its pieces are
+added up first, and a path of more than ``max_record`` bytes fails the job before they are put
+together. (The ``max_record`` of a CSV scan bounds the characters of a field.) Sessions of any size
+come as rows from ``session_rows`` and ``keyed_rows``. Nothing is cut or dropped.
 """
 
 from __future__ import annotations
@@ -14,7 +17,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.tokens import DEFAULT_DELIMITER, check_delimiter
+from trailmark.sources.positions import (
+    PIECE,
+    PIECE_ROWS,
+    given_back,
+    in_pieces,
+    numbered,
+    split_points,
+)
 from trailmark.sources.readers import DEFAULT_MAX_RECORD, check_max_record
+from trailmark.sources.storage import stored_table
 
 DAY_SECONDS = 86_400
 
@@ -25,73 +37,111 @@ def _path_bytes(event: str, delimiter: str) -> Column:
     )
 
 
-def _within_limit(value: Column, size: Column, max_record: int) -> Column:
+def _within_limit(sessions: DataFrame, size: str, max_record: int) -> DataFrame:
+    """``sessions``, whose reading fails where ``size`` is too large, whatever columns are read."""
     message = f"A session path exceeds the record limit of {max_record} bytes"
-    return F.when(F.coalesce(size, F.lit(0)) <= max_record, value).otherwise(
-        F.raise_error(F.lit(message))
-    )
-
-
-def _joined(steps: Column, part: str, named: Column, delimiter: str) -> Column:
-    """The collected parts in order, as text; NULL when none of them is named."""
-    text = F.array_join(F.sort_array(steps).getField(part), delimiter)
-    return F.when(named > 0, text)
+    fits = F.coalesce(F.col(size), F.lit(0)) <= max_record
+    return sessions.where(F.when(fits, True).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
 
 
-SLOT_KEYS = ("who", "nobody", "lone", "slot")
+USER, TIME = ["who", "nobody"], ["undated", "ts", "tie", "event"]
 
 
-def _slotted(
-    events: DataFrame, user: str, timestamp: str, tie_break: str, event: str, gap_seconds: int
-) -> DataFrame:
-    """(who, nobody, lone, slot, ts, tie, event): the events with the key of their time slot.
+def _steps(events: DataFrame, user: str, timestamp: str, tie_break: str, event: str) -> DataFrame:
+    """(who, nobody, undated, ts, tie, event): the events under plain, never-NULL user keys.
 
-    Plain, never-NULL keys: a join and a grouping then share one partitioning. An event on its own
-    has its tie break in the key, and without a user also in place of one.
+    An event without a user has itself in place of one.
     """
-    alone = F.col(user).isNull() | F.col(timestamp).isNull()
-    moment = F.unix_micros(F.col(timestamp).cast("timestamp"))
-    tie_text = F.coalesce(F.col(tie_break).cast("string"), F.lit(""))
+    ts, tie = F.col(timestamp), F.col(tie_break)
+    itself = F.to_json(F.struct(tie.alias("t"), ts.alias("s"), F.col(event).alias("e")))
     return events.select(
-        F.coalesce(F.col(user).cast("string"), tie_text).alias("who"),
+        F.coalesce(F.col(user).cast("string"), itself).alias("who"),
         F.col(user).isNull().alias("nobody"),
-        F.when(alone, F.concat(F.lit("-"), tie_text)).otherwise("").alias("lone"),
-        F.when(alone, 0)
-        .otherwise(F.floor(moment / F.lit(gap_seconds * 1_000_000)))
-        .cast("bigint")
-        .alias("slot"),
-        F.col(timestamp).alias("ts"),
-        F.col(tie_break).alias("tie"),
+        ts.isNull().alias("undated"),
+        ts.alias("ts"),
+        tie.alias("tie"),
         F.col(event).alias("event"),
     )
 
 
-def _numbered_slots(slotted: DataFrame, gap_seconds: int, delimiter: str) -> DataFrame:
-    """The slot keys with ``session_no`` (the last one of events on their own), the rows of the slot
-    ``n`` and the bytes of the whole session's path."""
-    is_alone = F.col("lone") != ""
-    slots = slotted.groupBy(*SLOT_KEYS).agg(
-        F.min("ts").alias("first_ts"),
-        F.max("ts").alias("last_ts"),
-        F.min("tie").alias("tie"),
-        F.count(F.lit(1)).alias("n"),
-        _path_bytes("event", delimiter).alias("bytes"),
+def _opens(previous: Column, gap_seconds: int) -> Column:
+    """1 for an event that begins a session, given the time of the event before it or NULL."""
+    near = F.col("ts") <= previous + F.expr(f"INTERVAL {gap_seconds} seconds")
+    return F.when(~F.col("nobody") & F.coalesce(near, F.lit(False)), 0).otherwise(1)
+
+
+def _piece_summaries(steps: DataFrame, points: DataFrame, gap_seconds: int) -> DataFrame:
+    """For each piece of a user that is cut, what the pieces before it leave behind:
+    ``last_ts``, ``sessions``, ``names`` (named events), ``begun`` (names before the last session)."""
+    pieces = in_pieces(steps, points, USER, TIME, only_cut=True)
+    within = Window.partitionBy(*USER, PIECE).orderBy(*TIME)
+    up_to = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    named = F.when(F.col("event").isNotNull(), 1).otherwise(0)
+    seen = pieces.select(
+        *USER, PIECE, "ts", named.alias("named"), F.row_number().over(within).alias("at"),
+        F.sum(named).over(up_to).alias("names"),
+        _opens(F.lag("ts").over(within), gap_seconds).alias("opens"),
+    )
+    # Whether the first row of a piece begins a session depends on the piece before.
+    first, later = F.col("at") == 1, (F.col("at") > 1) & (F.col("opens") == 1)
+    sums = seen.groupBy(*USER, PIECE).agg(
+        F.min(F.when(first, F.col("ts"))).alias("ts"),
+        F.max_by("ts", "at").alias("end"),
+        F.count_if(later).alias("later"),
+        F.sum("named").alias("own_names"),
+        F.max(F.when(later, F.col("names") - F.col("named"))).alias("own_begun"),
+    )
+    by_piece = Window.partitionBy(*USER).orderBy(PIECE)
+    up_to = by_piece.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = by_piece.rowsBetween(Window.unboundedPreceding, -1)
+    nothing = F.lit(0).cast("bigint")
+    scanned = (
+        sums.withColumn("last_ts", F.lag("end").over(by_piece))
+        .withColumn("opened", _opens(F.col("last_ts"), gap_seconds) + F.col("later"))
+        .withColumn("sessions", F.coalesce(F.sum("opened").over(before), nothing))
+        .withColumn("names", F.coalesce(F.sum("own_names").over(before), nothing))
     )
-    by_time = Window.partitionBy("who", "nobody").orderBy(is_alone, "slot", "tie", "lone")
-    previous = F.lag("last_ts").over(by_time)
-    opens = (
-        F.when(is_alone, F.col("n"))
-        .when(F.col("first_ts") <= previous + F.expr(f"INTERVAL {gap_seconds} seconds"), 0)
-        .otherwise(1)
+    begun = F.coalesce(
+        F.col("own_begun") + F.col("names"), F.when(F.col("opened") > F.col("later"), F.col("names"))
     )
-    one_session = Window.partitionBy("who", "nobody", "session_no")
-    own_bytes = F.when(is_alone, F.lit(0)).otherwise(F.col("bytes"))
-    return (
-        slots.withColumn("opens", opens)
-        .withColumn("session_no", F.sum("opens").over(by_time))
-        .withColumn("path_bytes", F.sum(own_bytes).over(one_session))
-        .select(*SLOT_KEYS, "session_no", "n", "path_bytes")
+    return scanned.withColumn("own_begun", begun).select(
+        *USER, PIECE, "last_ts", "sessions", "names", F.max("own_begun").over(before).alias("begun")
+    )
+
+
+def _sessions(steps: DataFrame, gap_seconds: int, piece_rows: int) -> tuple[DataFrame, bool]:
+    """(steps with ``_piece``, ``session_no`` and ``position``; whether any user is cut).
+
+    ``position`` is that of named events in their session.
+    """
+    points = split_points(steps.where(~F.col("nobody")), USER, TIME, piece_rows)
+    cut = in_pieces(steps, points, USER, TIME)
+    nothing = F.lit(0).cast("bigint")
+    last_ts, sessions, names, begun = F.lit(None), nothing, nothing, nothing
+    if points is not None:
+        carried = stored_table(_piece_summaries(steps, points, gap_seconds), "pieces")
+        renamed = {name: f"_{name}" for name in ("last_ts", "sessions", "names", "begun")}
+        cut = given_back(cut, carried.withColumnsRenamed(renamed), USER)
+        last_ts = F.col("_last_ts")
+        sessions, names, begun = (
+            F.coalesce(f"_{name}", nothing) for name in ("sessions", "names", "begun")
+        )
+    within = Window.partitionBy(*USER, PIECE).orderBy(*TIME)
+    up_to = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    previous = F.lag("ts").over(within)
+    if points is not None:
+        previous = F.when(F.row_number().over(within) == 1, last_ts).otherwise(previous)
+    named = F.when(F.col("event").isNotNull(), 1).otherwise(0)
+    counted = (
+        cut.withColumn("opens", _opens(previous, gap_seconds))
+        .withColumn("session_no", F.sum("opens").over(up_to) + sessions)
+        .withColumn("names_up_to", F.sum(named).over(up_to) + names)
     )
+    # Names are counted along the user; the last session to begin says where its own start.
+    start = F.max(F.when(F.col("opens") == 1, F.col("names_up_to") - named)).over(up_to)
+    position = F.when(named == 1, F.col("names_up_to") - F.coalesce(start, begun))
+    found = counted.withColumn("position", position.cast("bigint"))
+    return found.select(*USER, *TIME, PIECE, "session_no", "position"), points is not None
 
 
 def _session_name() -> Column:
@@ -100,6 +150,41 @@ def _session_name() -> Column:
     )
 
 
+def _paths(
+    steps: DataFrame,
+    session: list[str],
+    order: Sequence[str],
+    event: str,
+    delimiter: str,
+    max_record: int,
+    cut: bool,
+) -> DataFrame:
+    """(session columns, EVENT_PATH, TOTAL_EVENTS) of rows with their ``_piece``.
+
+    The rows of a piece become text first, then the texts of a session's pieces are put together.
+    """
+    named = F.col("named") > 0
+    pieces = steps.groupBy(*session, PIECE).agg(
+        F.collect_list(F.struct(*dict.fromkeys([*order, event]))).alias("steps"),
+        F.count(event).alias("named"),
+        F.count(F.lit(1)).alias("n"),
+        _path_bytes(event, delimiter).alias("bytes"),
+    )
+    text = F.when(named, F.array_join(F.sort_array("steps").getField(event), delimiter))
+    if not cut:
+        fitting = _within_limit(pieces, "bytes", max_record)
+        return fitting.select(*session, text.alias("EVENT_PATH"), F.col("n").alias("TOTAL_EVENTS"))
+    size = F.sum("bytes").over(Window.partitionBy(*session))
+    texts = pieces.select(*session, PIECE, "named", "n", "bytes", text.alias("text"))
+    whole = _within_limit(texts.withColumn("size", size), "size", max_record).groupBy(*session).agg(
+        F.collect_list(F.when(named, F.struct(PIECE, "text"))).alias("pieces"),
+        F.sum("named").alias("named"),
+        F.sum("n").alias("TOTAL_EVENTS"),
+    )
+    joined = F.when(named, F.array_join(F.sort_array("pieces").getField("text"), delimiter))
+    return whole.select(*session, joined.alias("EVENT_PATH"), "TOTAL_EVENTS")
+
+
 def sessionize_events(
     events: DataFrame,
     *,
@@ -110,13 +195,13 @@ def sessionize_events(
     gap_seconds: int = DAY_SECONDS,
     delimiter: str = DEFAULT_DELIMITER,
     max_record: int = DEFAULT_MAX_RECORD,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """One session per user and run of events no more than ``gap_seconds`` apart.
 
-    Time is cut into slots as long as the gap. Events in one slot are always closer than the
-    gap, so sessions can only break between slots: they are numbered on one summary row per
-    user and active slot, however many events a slot holds. A user with a third of all events
-    is thus spread over slots, and the window over a user is bounded by the calendar.
+    The events are read and shuffled once, after a count of the rows of each user. A user with more
+    than ``piece_rows`` events, or in large tables than a piece's share of all, is cut by time and
+    spread over tasks.
 
     An event without a timestamp has no distance to any other: it is a session of its own, numbered
     after the user's dated ones by ``tie_break``. Events without a user share none: each is a
@@ -124,54 +209,9 @@ def sessionize_events(
     """
     check_delimiter(delimiter)
     check_max_record(max_record)
-    slotted = _slotted(events, user, timestamp, tie_break, event, gap_seconds)
-    is_alone = F.col("lone") != ""
-    numbered = _numbered_slots(slotted, gap_seconds, delimiter).select(
-        *SLOT_KEYS,
-        _within_limit(F.col("session_no"), F.col("path_bytes"), max_record).alias("session_no"),
-    )
-    # Events become one piece of path per slot before sessions are put together, so that the
-    # second shuffle and the final rows carry text, not events.
-    collected = (
-        slotted.join(numbered, [*SLOT_KEYS])
-        .groupBy(*SLOT_KEYS, "session_no")
-        .agg(
-            F.collect_list(F.struct("ts", "tie", "event")).alias("steps"),
-            F.count("event").alias("named"),
-            F.count(F.lit(1)).alias("n"),
-        )
-    )
-    # Of rows on their own that share a tie break, each opens a session.
-    each = F.transform(
-        F.sort_array("steps"),
-        lambda step, i: F.struct(
-            (F.col("session_no") - F.col("n") + 1 + i).alias("session_no"),
-            F.when(step["event"].isNotNull(), 1).otherwise(0).cast("bigint").alias("named"),
-            F.lit(1).cast("bigint").alias("n"),
-            step["event"].alias("piece"),
-        ),
-    )
-    together = F.array(
-        F.struct(
-            "session_no",
-            "named",
-            "n",
-            _joined(F.col("steps"), "event", F.col("named"), delimiter).alias("piece"),
-        )
-    )
-    pieces = collected.select(
-        "who", "nobody", "slot", F.explode(F.when(is_alone, each).otherwise(together)).alias("part")
-    ).select("who", "nobody", "slot", "part.*")
-    whole = pieces.groupBy("who", "nobody", "session_no").agg(
-        F.collect_list(F.struct("slot", "piece")).alias("pieces"),
-        F.sum("named").alias("named"),
-        F.sum("n").alias("TOTAL_EVENTS"),
-    )
-    return whole.select(
-        _session_name().alias("SESSION"),
-        _joined(F.col("pieces"), "piece", F.col("named"), delimiter).alias("EVENT_PATH"),
-        "TOTAL_EVENTS",
-    )
+    steps, cut = _sessions(_steps(events, user, timestamp, tie_break, event), gap_seconds, piece_rows)
+    found = _paths(steps, [*USER, "session_no"], TIME, "event", delimiter, max_record, cut)
+    return found.select(_session_name().alias("SESSION"), "EVENT_PATH", "TOTAL_EVENTS")
 
 
 def session_rows(
@@ -182,30 +222,20 @@ def session_rows(
     tie_break: str = "event_id",
     event: str = "event_type",
     gap_seconds: int = DAY_SECONDS,
+    keep_unnamed: bool = False,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """The sessions of ``sessionize_events`` as rows: (session_key, SESSION, position, event).
 
     No session has to fit one row, so there is no record limit. ``session_key`` tells sessions
-    without a name apart. Named events only, counted from 1 in their session; sessions without any
-    named event have no row. ``edges_from_rows`` and ``ends_from_rows`` count them.
+    without a name apart. Named events are counted from 1 in their session. Events without a name
+    are left out, and with them sessions without any named event; with ``keep_unnamed`` they come as
+    rows without position and event.
     """
-    slotted = _slotted(events, user, timestamp, tie_break, event, gap_seconds)
-    numbered = _numbered_slots(slotted, gap_seconds, "").select(*SLOT_KEYS, "session_no", "n")
-    slot_order = Window.partitionBy(*SLOT_KEYS).orderBy("tie", "event")
-    # Of rows on their own that share a tie break, each is a session; there are few in a slot.
-    own_no = F.col("session_no") - F.col("n") + F.row_number().over(slot_order)
-    joined = slotted.join(numbered, [*SLOT_KEYS])
-    dated = joined.where("lone = ''").drop("n")
-    lone = joined.where("lone <> ''").withColumn("session_no", own_no).drop("n")
-    named = dated.unionByName(lone).where(F.col("event").isNotNull())
+    steps, _ = _sessions(_steps(events, user, timestamp, tie_break, event), gap_seconds, piece_rows)
+    kept = steps if keep_unnamed else steps.where(F.col("event").isNotNull())
     key = F.concat_ws("_", F.col("nobody").cast("string"), "who", F.col("session_no").cast("string"))
-    in_session = Window.partitionBy("session_key").orderBy("ts", "tie", "event")
-    return named.withColumn("session_key", key).select(
-        "session_key",
-        _session_name().alias("SESSION"),
-        F.row_number().over(in_session).cast("bigint").alias("position"),
-        "event",
-    )
+    return kept.select(key.alias("session_key"), _session_name().alias("SESSION"), "position", "event")
 
 
 def keyed_paths(
@@ -216,47 +246,41 @@ def keyed_paths(
     event: str,
     delimiter: str = DEFAULT_DELIMITER,
     max_record: int = DEFAULT_MAX_RECORD,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
-    """One session per ``key``: its rows in order, as a path of ``event``."""
+    """One session per ``key``: its rows in order, as a path of ``event``.
+
+    The rows are read and shuffled once, after a count of the rows of each key; a key with more than
+    ``piece_rows`` of them is cut by its order and spread over tasks.
+    """
     check_delimiter(delimiter)
     check_max_record(max_record)
     steps = rows.select(*dict.fromkeys([key, *order_by, event]))
-    longest = (
-        steps.groupBy(key)
-        .agg(_path_bytes(event, delimiter).alias("bytes"))
-        .agg(F.max("bytes"))
-        .scalar()
-    )
-    collected = (
-        steps.withColumn(key, _within_limit(F.col(key), longest, max_record))
-        .groupBy(key)
-        .agg(
-            F.collect_list(F.struct(*dict.fromkeys([*order_by, event]))).alias("steps"),
-            F.count(event).alias("named"),
-            F.count(F.lit(1)).alias("TOTAL_EVENTS"),
-        )
-    )
-    return collected.select(
-        F.col(key).cast("string").alias("SESSION"),
-        _joined(F.col("steps"), event, F.col("named"), delimiter).alias("EVENT_PATH"),
-        "TOTAL_EVENTS",
-    )
+    order = list(dict.fromkeys([*order_by, event]))
+    points = split_points(steps, [key], order, piece_rows)
+    pieces = in_pieces(steps, points, [key], order)
+    found = _paths(pieces, [key], order, event, delimiter, max_record, points is not None)
+    return found.select(F.col(key).cast("string").alias("SESSION"), "EVENT_PATH", "TOTAL_EVENTS")
 
 
-def keyed_rows(rows: DataFrame, *, key: str, order_by: Sequence[str], event: str) -> DataFrame:
+def keyed_rows(
+    rows: DataFrame,
+    *,
+    key: str,
+    order_by: Sequence[str],
+    event: str,
+    piece_rows: int = PIECE_ROWS,
+) -> DataFrame:
     """The sessions of ``keyed_paths`` as rows: (session_key, SESSION, position, event).
 
     As in ``session_rows``, there is no record limit, and named events only are counted from 1.
     """
-    in_session = Window.partitionBy("session_key").orderBy(*dict.fromkeys([*order_by, event]))
+    order = list(dict.fromkeys([*order_by, event]))
     named = rows.where(F.col(event).isNotNull()).select(
-        F.col(key).cast("string").alias("session_key"), *dict.fromkeys([*order_by, event])
+        F.col(key).cast("string").alias("session_key"), *order
     )
-    return named.select(
-        "session_key",
-        F.col("session_key").alias("SESSION"),
-        F.row_number().over(in_session).cast("bigint").alias("position"),
-        F.col(event).alias("event"),
+    return numbered(named, ["session_key"], order, piece_rows=piece_rows).select(
+        "session_key", F.col("session_key").alias("SESSION"), "position", F.col(event).alias("event")
     )
 
 
@@ -269,9 +293,9 @@ def conversation_paths(conversations: DataFrame, **options) -> DataFrame:
     return keyed_paths(conversations, **CONVERSATIONS, **options)
 
 
-def conversation_rows(conversations: DataFrame) -> DataFrame:
+def conversation_rows(conversations: DataFrame, **options) -> DataFrame:
     """The sessions of ``conversation_paths`` as rows."""
-    return keyed_rows(conversations, **CONVERSATIONS)
+    return keyed_rows(conversations, **CONVERSATIONS, **options)
 
 
 def order_paths(orders: DataFrame, **options) -> DataFrame:
@@ -279,6 +303,6 @@ def order_paths(orders: DataFrame, **options) -> DataFrame:
     return keyed_paths(orders, **ORDERS, **options)
 
 
-def order_rows(orders: DataFrame) -> DataFrame:
+def order_rows(orders: DataFrame, **options) -> DataFrame:
     """The sessions of ``order_paths`` as rows."""
-    return keyed_rows(orders, **ORDERS)
+    return keyed_rows(orders, **ORDERS, **options)

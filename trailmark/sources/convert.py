@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from trailmark.errors import SessionDataError
 from trailmark.sources.readers import DEFAULT_MAX_RECORD, is_parquet, read_csv
-from trailmark.sources.storage import file_facts, publish_parquet, recover
+from trailmark.sources.storage import current_path, file_facts, publish_parquet
 
 # Compression codecs offered, rows per row group, text shown for uncounted rows.
 CODECS = ("ZSTD", "SNAPPY", "GZIP", "UNCOMPRESSED")
@@ -56,7 +56,8 @@ def convert_dataset(
     """Write a CSV export as a validated Parquet session table.
 
     One pass reads, counts and writes. Output appears at ``parquet_path`` only when all of it
-    is written; a bad record fails the conversion and publishes nothing.
+    is written; a bad record fails the conversion and publishes nothing. The Parquet files are in a
+    folder of their own for each version; ``read_parquet`` and ``current_path`` find the current one.
     """
     codec = compression.upper()
     if codec not in CODECS:
@@ -79,7 +80,7 @@ def convert_dataset(
         raise _conversion_error(error, csv_options.get("max_record", DEFAULT_MAX_RECORD)) from error
     elapsed = time.perf_counter() - started
     count = rows.get["rows"]
-    written = file_facts(spark, parquet_path)
+    written = file_facts(spark, current_path(spark, parquet_path))
     size = written.size_bytes if written else 0
     saved = (1 - size / source.size_bytes) * 100 if source.size_bytes else 0.0
     return Conversion(
@@ -127,8 +128,7 @@ def _conversion_error(error: Exception, max_record: int) -> SessionDataError:
 
 def is_fresh(spark: SparkSession, source_path: str, output_path: str) -> bool:
     """Whether the output exists and is at least as new as its source."""
-    recover(spark, output_path)
-    output = file_facts(spark, output_path)
+    output = file_facts(spark, current_path(spark, output_path))
     if output is None:
         return False
     source = file_facts(spark, source_path)
@@ -151,12 +151,12 @@ def inspect_dataset(
 
     Rows are counted from Parquet footers; a CSV, read with ``csv_options``, is not counted.
     """
-    recover(spark, path)
-    facts = file_facts(spark, path)
+    place = current_path(spark, path)
+    facts = file_facts(spark, place)
     if facts is None:
         raise FileNotFoundError(f"File not found: {path}")
     if is_parquet(path):
-        table = spark.read.parquet(path)
+        table = spark.read.parquet(place)
         total: int | str = table.count()
     else:
         table = read_csv(spark, path, **csv_options)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trailmark.errors import SessionDataError
 from trailmark.sources.columns import as_sessions, map_columns
-from trailmark.sources.storage import recover
+from trailmark.sources.storage import current_path
 
 # Limits of one CSV record, and the file endings read as Parquet.
 DEFAULT_MAX_RECORD = 32 * 1024 * 1024
@@ -151,9 +151,9 @@ def read_csv(
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Session rows of a Parquet file or directory, mapped and validated."""
-    recover(spark, path)
-    return as_sessions(spark.read.parquet(path))
+    """Session rows of a Parquet file or directory, or of the current version of a published one,
+    mapped and validated."""
+    return as_sessions(spark.read.parquet(current_path(spark, path)))
 
 
 def read_sessions(

@@ -82,9 +82,9 @@ def stored_once(spark: SparkSession, name: str, build: Callable[[], DataFrame])
     that did it.
     """
     path = f"{scratch_base(spark)}/{spark.sparkContext.applicationId}/{name}.parquet"
-    if not path_exists(spark, f"{path}/_SUCCESS"):
+    if current_path(spark, path) == path:
         publish_parquet(build(), path, {"compression": "zstd"}, replace=False)
-    return spark.read.parquet(path)
+    return spark.read.parquet(current_path(spark, path))
 
 
 def stored_table(table: DataFrame, name: str) -> DataFrame:
@@ -94,70 +94,84 @@ def stored_table(table: DataFrame, name: str) -> DataFrame:
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
-def _aside(target) -> str:
-    """Where a published table waits while the next one takes its place."""
-    return f"{target.getParent().toString()}/.{target.getName()}.previous"
+# Publishing ---------------------------------------------------------------------------------
+#
+# A published folder holds versions, each in a folder of its own that never moves, and one empty mark
+# for each: its name has a rising number and the name of the version. The highest mark is current.
+# Making a mark is one step of the file system, so that a reader finds the old version or the new one
+# and changes nothing itself; of two writers with the same number one comes first, and no version is lost.
 
+MARK, VERSION = "_current-", "version-"
+#: Versions that stay: the current one, and the one before for those who still read it.
+KEPT_VERSIONS = 2
 
-def recover(spark: SparkSession, path: str) -> None:
-    """Put back the table that was at ``path`` if a publication stopped half-way."""
+
+def _marks(spark: SparkSession, path: str) -> list[str]:
+    """The names of the marks of a published folder, oldest first."""
     if any(mark in path for mark in "*?[{"):
-        return
-    target, files = _hadoop(spark, path)
-    if target.getParent() is None:
-        return
-    previous, _ = _hadoop(spark, _aside(target))
-    if files.exists(previous) and not files.exists(target):
-        files.rename(previous, target)
+        return []
+    pattern, files = _hadoop(spark, f"{path.rstrip('/')}/{MARK}*")
+    return sorted(status.getPath().getName() for status in files.globStatus(pattern) or [])
+
+
+def _version(path: str, mark: str) -> str:
+    return f"{path.rstrip('/')}/{VERSION}{mark.rsplit('-', 1)[1]}"
+
+
+def current_path(spark: SparkSession, path: str) -> str:
+    """Where the data of a published folder are; ``path`` itself for anything else."""
+    marks = _marks(spark, path)
+    return _version(path, marks[-1]) if marks else path
 
 
 def publish(
     spark: SparkSession, path: str, write: Callable[[str], None], *, replace: bool = True
-) -> None:
-    """Let ``write`` fill a new folder beside ``path``, then swap it in as a whole.
+) -> str:
+    """Let ``write`` fill a new version of the folder ``path`` and make it current; its place.
 
-    What was at ``path`` is moved aside first and deleted last, so that one complete version
-    exists at every moment: a failed write or swap leaves the old one at ``path``, and after a stop
-    between the two moves ``recover`` puts it back. With ``replace=False`` what another writer has
-    put there meanwhile stays.
+    A failed write leaves what was there. With ``replace=False`` what another writer has published
+    meanwhile stays current.
     """
     target, files = _hadoop(spark, path)
-    beside = f"{target.getParent().toString()}/.{target.getName()}.{uuid.uuid4().hex}.partial"
-    partial, _ = _hadoop(spark, beside)
-    previous, _ = _hadoop(spark, _aside(target))
-    recover(spark, path)
+    if files.exists(target) and files.getFileStatus(target).isFile():
+        raise FileExistsError(f"A file is in the way of a published folder: {path}")
+    name = uuid.uuid4().hex
+    place = f"{path.rstrip('/')}/{VERSION}{name}"
     try:
-        write(beside)
-        replaced = files.exists(target)
-        if replaced and not replace:
-            return
-        if replaced:
-            files.delete(previous, True)
-            _move(files, target, previous)
-        try:
-            _move(files, partial, target)
-        except BaseException:
-            if replaced and not files.exists(target):
-                files.rename(previous, target)
-            raise
-        if replaced:
-            files.delete(previous, True)
-    finally:
-        files.delete(partial, True)
-
-
-def _move(files, source, target) -> None:
-    if not files.rename(source, target):
-        raise OSError(f"Could not move {source} to {target}")
+        write(place)
+        marks = _marks(spark, path)
+        if marks and not replace:
+            files.delete(_hadoop(spark, place)[0], True)
+            return _version(path, marks[-1])
+        number = int(marks[-1].split("-")[1]) + 1 if marks else 1
+        _mark(spark, path, f"{MARK}{number:012d}-{name}")
+    except BaseException:
+        files.delete(_hadoop(spark, place)[0], True)
+        if files.exists(target) and not files.listStatus(target):
+            files.delete(target, False)
+        raise
+    for old in _marks(spark, path)[:-KEPT_VERSIONS]:
+        files.delete(_hadoop(spark, f"{path.rstrip('/')}/{old}")[0], False)
+        files.delete(_hadoop(spark, _version(path, old))[0], True)
+    return place
+
+
+def _mark(spark: SparkSession, path: str, name: str) -> None:
+    mark, files = _hadoop(spark, f"{path.rstrip('/')}/{name}")
+    files.create(mark, False).close()
 
 
 def publish_parquet(
     table: DataFrame, path: str, options: dict[str, str | int], *, replace: bool = True
 ) -> None:
-    """Write ``table`` as Parquet to ``path``, which changes only when all of it is written."""
+    """Write ``table`` as Parquet to ``path``, which changes only when all of it is written.
+
+    Plain Parquet files that were at ``path`` before are no longer read, and are removed.
+    """
+    spark = table.sparkSession
     publish(
-        table.sparkSession,
-        path,
-        lambda place: table.write.options(**options).parquet(place),
-        replace=replace,
+        spark, path, lambda place: table.write.options(**options).parquet(place), replace=replace
     )
+    pattern, files = _hadoop(spark, f"{path.rstrip('/')}/part-*")
+    for status in files.globStatus(pattern) or []:
+        files.delete(status.getPath(), False)

@@ -34,6 +34,16 @@ def fingerprint(text: str | None) -> int:
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def shingles(text: str | None, size: int = 5) -> set[str]:
+    words = re.findall(r"[^\x20\x09-\x0D]+", lowered(text or ""))
+    return {" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def jaccard(a: set, b: set) -> float:
+    """That of two empty sets is 1."""
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
 def components(n: int, linked) -> list[int]:
     """Smallest member of each one's component, by trying all pairs."""
     label = list(range(n))

@@ -32,8 +32,8 @@ def plain_pipeline(spark):
     rows = sorted(docs.collect(), key=lambda r: r.doc_id)
     classifier = langid.Classifier(langid.learn_dictionaries(langid.training_rows(docs)), langid.MIN_MARGIN)
     rows = [r for r in rows if not classifier.judge(r.text)[2]]
-    codes = [helpers.fingerprint(r.text) for r in rows]
-    roots = helpers.components(len(rows), lambda i, j: (codes[i] ^ codes[j]).bit_count() <= 4)
+    sets = [helpers.shingles(r.text) for r in rows]
+    roots = helpers.components(len(rows), lambda i, j: helpers.jaccard(sets[i], sets[j]) >= 0.8)
     rows = [r for i, r in enumerate(rows) if roots[i] == i]
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{helpers.SF_DIR}/benchmark.parquet").collect()]
     rows = [r for r in rows if not helpers.contamination(r.text, items)[1]]

@@ -77,6 +77,18 @@ def test_odd_documents(spark):
     assert simhash.keep_first(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shingle", [4, 5])
+def test_keep_first_loses_no_text(spark, shingle):
+    """Texts under a shared doc_id, and copies without one."""
+    a, b, c = ("ab cd ef gh ij kl", "mn op qr st uv wx", "aa bb cc dd ee ff gg")
+    rows = [(1, a, "x"), (1, b, "x"), (2, b, "x"), (None, c, "x"), (None, c, "x"), (3, c + " hh", "x"), (4, a, "y"), (1, a, "w")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    kept = simhash.keep_first(helpers.with_clashes(table), shingle=shingle, max_bits=0).collect()
+    assert sorted((tuple(r)[:3] for r in kept), key=str) == sorted(
+        [(1, a, "w"), (1, b, "x"), (None, c, "x"), (None, c, "x"), (3, c + " hh", "x")], key=str
+    )
+
+
 def test_connected_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(150), rng.randrange(150)) for _ in range(110)]

@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -270,37 +270,54 @@ def near_duplicates(
     )
 
 
-def keep_first(docs: DataFrame, **settings) -> DataFrame:
-    """One row of each group of near-duplicates in ``docs``: the one with the smallest doc_id.
+def keep_first(
+    docs: DataFrame,
+    *,
+    shingle: int = SHINGLE,
+    max_bits: int = MAX_BITS,
+    cell_limit: int = CELL_LIMIT,
+) -> DataFrame:
+    """The rows of ``docs`` with the smallest doc_id of their group of near-duplicates, columns as they are.
 
-    Of rows that repeat a doc_id one stays. Rows without doc_id stay only where no row of their
-    group has one. All columns stay as they are.
+    Of rows that repeat a doc_id with one fingerprint the first by all columns stays; different
+    fingerprints under one doc_id all stay. Rows without doc_id stay only where no row of their group
+    has one.
     """
-    judged = stored(near_duplicates(docs, **settings), "near_duplicates")
-    kept = judged.where("doc_id = component_id").select("doc_id")
-    repeated = stored(kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
-    # The same plan at every size: a list of ids to keep grows with the documents and is no broadcast.
-    first = docs.join(kept.distinct().hint("merge"), "doc_id", "left_semi")
-    if not repeated.isEmpty():
-        first = first.join(repeated, "doc_id", "left_anti").unionByName(
-            first.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        )
-    if not judged.where("component_id IS NULL").isEmpty():
-        name = "fingerprint"
-        while name in docs.columns:
-            name += "_"
-        alone = judged.where("component_id IS NULL").select(F.col("fingerprint").alias(name)).distinct()
-        nameless = _with_fingerprint(docs.where("doc_id IS NULL"), name).join(alone, name, "left_semi")
-        first = first.unionByName(nameless.select(*docs.columns))
-    return first
+    judged = near_duplicates(docs, shingle=shingle, max_bits=max_bits, cell_limit=cell_limit)
+    judged = stored(judged, "near_duplicates")
+    name, place = "fingerprint", "place"
+    while name in docs.columns:
+        name += "_"
+    while place in [*docs.columns, name]:
+        place += "_"
+    own = _with_fingerprint(docs, name, shingle)
+
+    def matching(other: DataFrame) -> Column:
+        return own["doc_id"].eqNullSafe(other["first_id"]) & (own[name] == other["code"])
+
+    rows = judged.selectExpr("doc_id AS first_id", "fingerprint AS code", "component_id")
+    kept = rows.where("first_id <=> component_id").select("first_id", "code").distinct()
+    # The same plan at every size: a list of rows to keep grows with the documents and is no broadcast.
+    first = own.join(kept.hint("merge"), matching(kept), "left_semi")
+    counts = rows.where("first_id IS NOT NULL").groupBy("first_id", "code").agg(F.count("*").alias("n"))
+    repeated = stored(counts.where("n > 1").select("first_id", "code"), "repeated")
+    if repeated.isEmpty():
+        return first.select(*docs.columns)
+    sortable = [f"`{f.name}`" for f in docs.schema if not isinstance(f.dataType, T.MapType)]
+    in_order = Window.partitionBy(name, "doc_id").orderBy(*sortable)
+    again = first.join(repeated, matching(repeated), "left_semi").withColumn(
+        place, F.row_number().over(in_order)
+    )
+    once = first.join(repeated, matching(repeated), "left_anti").select(*docs.columns)
+    return once.unionByName(again.where(F.col(place) == 1).select(*docs.columns))
 
 
-def _with_fingerprint(rows: DataFrame, name: str) -> DataFrame:
+def _with_fingerprint(rows: DataFrame, name: str, shingle: int) -> DataFrame:
     """``rows`` with a column ``name`` after their own."""
 
     def run(batches):
         for part in slices(batches):
-            found = [f"{fingerprint(text):016x}" for text in part.column("text").to_pylist()]
+            found = [f"{fingerprint(text, shingle):016x}" for text in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, pa.array(found, pa.string())], [*part.schema.names, name]
             )

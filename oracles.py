@@ -6,7 +6,14 @@ positions, journeys from gaps and islands.
 
 from __future__ import annotations
 
-from registry import DEPTH_SQL, FUNNEL_STEPS, ORDER_STEPS, REPEAT_STEPS, STEP_NAMES
+from registry import (
+    DEPTH_SQL,
+    FUNNEL_STEPS,
+    MANY_SUBPATHS,
+    ORDER_STEPS,
+    REPEAT_STEPS,
+    STEP_NAMES,
+)
 from trailmark.functions.tokens import DEDUPE_MODES
 from trailmark.operators.funnels import PRESET_STEPS
 from trailmark.sources.synthetic import FOLLOW_UPS, LENGTH_WEIGHTS, SHOP_EVENTS, START_EVENTS
@@ -547,6 +554,14 @@ def build() -> dict[str, str]:
             ]
         ),
     }
+    for name in ("match_positions", "compress_journey", "preview_journey"):
+        found[f"session_rows_{name}"] = found[name]
+    both = search(EVENTS, "purchase", "view->click")
+    found["session_rows_search_combined"] = f"SELECT SESSION, TOTAL_EVENTS FROM ({both})"
+    found["session_rows_search_many"] = f"""WITH {EVENTS},
+        wanted AS (SELECT unnest({MANY_SUBPATHS}) AS subpath)
+        SELECT SESSION, subpath FROM sess, wanted
+        WHERE TOTAL_EVENTS >= 3 AND strpos('->' || EVENT_PATH || '->', '->' || subpath || '->') > 0"""
     for mode in ("none", "consecutive"):
         found[f"neighbour_summary_{mode}"] = " UNION ALL ".join(
             [

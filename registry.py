@@ -22,6 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 FUNNEL_STEPS = ["view", "click", "purchase"]
 REPEAT_STEPS = ["click", "click", "view"]
+_JOURNEY = {"event": "view", "subpath": "click->purchase"}
 ORDER_STEPS = ["1-URGENT", "3-MEDIUM", "5-LOW"]
 
 
@@ -124,6 +125,68 @@ def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tm.order_rows(table(spark, sf_dir, "orders"))
 
 
+def event_journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tm.journey_rows(tm.session_rows(table(spark, sf_dir, "events")))
+
+
+def row_match_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = event_journeys(spark, sf_dir)
+    names = steps.groupBy("session_key").agg(F.any_value("SESSION").alias("SESSION"))
+    found = tm.match_positions_from_rows(steps, **_JOURNEY).join(names, "session_key")
+    return found.select("SESSION", F.col("position").cast("int").alias("position"))
+
+
+def _row_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    steps = event_journeys(spark, sf_dir)
+    names = steps.groupBy("session_key").agg(F.any_value("SESSION").alias("SESSION"))
+    return tm.journey_groups_from_rows(steps, **_JOURNEY), names
+
+
+def row_journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups, names = _row_groups(spark, sf_dir)
+    return groups.join(names, "session_key").select(
+        "SESSION",
+        F.col("position").cast("int").alias("position"),
+        "name",
+        F.col("count").cast("int").alias("count"),
+        "matched",
+    )
+
+
+def row_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups, names = _row_groups(spark, sf_dir)
+    previews = tm.journey_previews_from_rows(groups).join(names, "session_key")
+    items = previews.select("SESSION", F.posexplode("preview").alias("position", "item"))
+    return items.select(
+        "SESSION", "position", "item.name", F.col("item.count").cast("int").alias("count"),
+        "item.matched", "item.overflow",
+    )
+
+
+#: All pairs of different events: twenty subpaths in one search.
+MANY_SUBPATHS = [
+    f"{a}->{b}"
+    for a in ("view", "click", "signup", "purchase", "error")
+    for b in ("view", "click", "signup", "purchase", "error")
+    if a != b
+]
+
+
+def row_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tm.session_rows(table(spark, sf_dir, "events"), keep_unnamed=True)
+    found = tm.search_rows(rows, events=["purchase"], subpaths=["view->click"])
+    both = (F.size("found_events") == 1) & (F.size("found_subpaths") == 1)
+    return found.where(both).select("SESSION", "TOTAL_EVENTS")
+
+
+def row_search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tm.session_rows(table(spark, sf_dir, "events"), keep_unnamed=True)
+    found = tm.search_rows(rows, subpaths=MANY_SUBPATHS, min_events=3)
+    names = F.array(*[F.lit(subpath) for subpath in MANY_SUBPATHS])
+    number = F.explode("found_subpaths").alias("number")
+    return found.select("SESSION", number).select("SESSION", F.get(names, F.col("number")).alias("subpath"))
+
+
 def _row_ends(rows: DataFrame, end: str) -> DataFrame:
     return metrics.rank_ends(tm.ends_from_rows(rows, end), end, 10)
 
@@ -227,9 +290,6 @@ def inspect_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Journeys -----------------------------------------------------------------------------------
 
-_JOURNEY = {"event": "view", "subpath": "click->purchase"}
-
-
 def _journeys(column: str, *fields: str, source=event_sessions) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = tm.session_journeys(source(spark, sf_dir), **_JOURNEY).select(
@@ -378,6 +438,11 @@ def build() -> dict[str, Query]:
         "session_rows_exit_events": _from_rows(
             lambda rows: metrics.rank_ends(tm.ends_from_rows(rows, "exit"), "exit", 10)
         ),
+        "session_rows_match_positions": row_match_positions,
+        "session_rows_compress_journey": row_journeys,
+        "session_rows_preview_journey": row_previews,
+        "session_rows_search_combined": row_search,
+        "session_rows_search_many": row_search_many,
         # funnels
         "funnel_reach": _on(event_sessions, tm.funnel, FUNNEL_STEPS, sequential=False),
         "funnel_reach_untidy": _on(

@@ -68,3 +68,16 @@ def test_reports_split_the_paths_once(spark, make, tmp_path):
     for name in ("events", "transitions"):
         plan = analysis.tables[name]._jdf.queryExecution().optimizedPlan().toString()
         assert "EVENT_PATH" not in plan
+
+
+def test_a_bound_query_runs_once_and_keeps_its_columns(spark, base):
+    """Equal names and columns that are NULL by type are kept; what is returned does not run it again."""
+    query = "SELECT SESSION, TOTAL_EVENTS AS x, 2 * TOTAL_EVENTS AS x, NULL AS nothing FROM data ORDER BY SESSION DESC"
+    found = tm.sql_on_data(base, query, max_rows=10)
+    assert found.columns == ["SESSION", "x", "x", "nothing"]
+    assert found.schema["nothing"].dataType.simpleString() == "void"
+    assert [tuple(r) for r in found.collect()][0] == ("two", 3, 6, None)
+    drawn = tm.sql_on_data(base, "SELECT uuid() AS u FROM data", max_rows=10)
+    assert rows(drawn) == rows(drawn)
+    assert "LocalTableScan" not in found._jdf.queryExecution().executedPlan().toString()
+    assert tm.sql_on_data(base, "SELECT 1 AS x WHERE false", max_rows=0).count() == 0

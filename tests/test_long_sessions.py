@@ -98,6 +98,24 @@ def test_keyed_paths_and_rows_of_a_hot_key(spark, key):
     assert by_key(tm.conversation_rows(talk, **hot())) == by_key(tm.conversation_rows(talk))
 
 
+@pytest.mark.parametrize("options", [{}, {"piece_rows": 1_000}])
+def test_only_the_too_long_key_is_missing(spark, options):
+    """One conversation does not fit a record; all others come, and it comes as rows."""
+    table = spark.range(24_000).selectExpr(
+        "if(id % 3 = 0, 1, id % 50 + 2) AS conv_id", "id AS turn", "repeat('r', 300) AS role"
+    )
+    spec = {"key": "conv_id", "order_by": ["turn"], "event": "role", "max_record": 2_000_000, **options}
+    with pytest.raises(Exception, match="exceeds the record limit"):
+        tm.keyed_paths(table, **spec).count()
+    paths, in_rows = tm.keyed_sessions(table, **spec)
+    assert paths.count() == 50 and paths.where("SESSION = '1'").count() == 0
+    assert paths.agg(F.sum("TOTAL_EVENTS")).head()[0] == 16_000
+    found = in_rows.groupBy("SESSION").agg(F.max("position").alias("n"), F.count("*").alias("rows"))
+    assert rows(found) == [("1", 8_000, 8_000)]
+    with pytest.raises(ValueError, match="long sessions"):
+        tm.keyed_paths(table, too_long="cut", **spec)
+
+
 @pytest.fixture(scope="module")
 def stored_events(spark, events, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("events") / "events.parquet")

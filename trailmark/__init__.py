@@ -30,6 +30,13 @@ from trailmark.operators.metrics import (
 )
 from trailmark.operators.paths import top_paths, top_paths_from_rows
 from trailmark.operators.pieces import first_places, session_pieces
+from trailmark.operators.row_journeys import (
+    journey_groups_from_rows,
+    journey_previews_from_rows,
+    journey_rows,
+    match_positions_from_rows,
+    search_rows,
+)
 from trailmark.operators.search import match_sessions, search_sessions, session_journeys
 from trailmark.operators.sql import sql_on_data
 from trailmark.plans.reports import analyze_report, insights_report, run_all, session_report
@@ -39,6 +46,7 @@ from trailmark.sources.adapters import (
     conversation_rows,
     keyed_paths,
     keyed_rows,
+    keyed_sessions,
     order_paths,
     order_rows,
     session_rows,

@@ -32,7 +32,7 @@ def journey_steps(path: Column, delimiter: str = DEFAULT_DELIMITER) -> Column:
     return F.coalesce(steps, F.array().cast("array<string>"))
 
 
-def _subpath_steps(subpath: str | None, delimiter: str) -> list[str]:
+def subpath_steps(subpath: str | None, delimiter: str) -> list[str]:
     tokens = (subpath or "").strip(JOURNEY_BLANKS).split(delimiter)
     return [step for step in (t.strip(JOURNEY_BLANKS) for t in tokens) if step]
 
@@ -48,7 +48,7 @@ def match_flags(
     Occurrences are contiguous, compared step by step, and may overlap.
     """
     wanted = (event or "").strip(JOURNEY_BLANKS)
-    parts = _subpath_steps(subpath, delimiter)
+    parts = subpath_steps(subpath, delimiter)
 
     def flags(v: Column) -> Column:
         by_event = lambda step: step == F.lit(wanted) if wanted else F.lit(False)

@@ -26,44 +26,50 @@ def session_pieces(
     piece_events: int = PIECE_EVENTS,
     part_pieces: int = PART_PIECES,
     overlap: int = 0,
+    ahead: int = 0,
     trimmed: bool = True,
 ) -> DataFrame:
-    """(session_key, part, piece, before, events, n_rows): the events of each session in pieces.
+    """(session_key, part, piece, before, events, after, n_rows): the events of each session in pieces.
 
-    ``events`` are in order, and trimmed unless that is not wanted. ``before`` holds up to ``overlap`` events that precede them.
+    ``events`` are in order, and trimmed unless that is not wanted. ``before`` holds up to ``overlap``
+    events that precede them, ``after`` up to ``ahead`` events that follow.
     ``n_rows`` also counts the rows without an event or position, which belong to the first piece, so
     that a session without any named event has one piece without events.
     """
-    if not 0 <= overlap <= piece_events:
-        raise ValueError("The overlap cannot exceed a piece.")
+    if not 0 <= min(overlap, ahead) <= max(overlap, ahead) <= piece_events:
+        raise ValueError("What a piece shares with its neighbours cannot exceed a piece.")
     at = F.coalesce(F.col("position"), F.lit(1)) - 1
     own = F.floor(at / piece_events).cast("bigint")
     event = trim_event(F.col("event")) if trimmed else F.col("event")
     laid = rows.select(
-        "session_key", "position", event.alias("event"), own.alias("piece")
-    ).withColumn("carried", F.lit(False))
-    if overlap:
-        # The last events of a piece are given to the next one as well.
-        last = F.col("position") > (F.col("piece") + 1) * piece_events - overlap
-        again = F.struct((F.col("piece") + 1).alias("piece"), F.lit(True).alias("carried"))
-        once = F.struct("piece", "carried")
-        both = F.when(F.coalesce(last, F.lit(False)), F.array(once, again)).otherwise(F.array(once))
-        laid = laid.select("session_key", "position", "event", F.explode(both).alias("p")).select(
-            "session_key", "position", "event", "p.piece", "p.carried"
-        )
+        "session_key", "position", event.alias("event"), own.alias("piece"), F.lit(0).alias("side")
+    )
+    if overlap or ahead:
+        # The last events of a piece are given to the next one as well, the first to the one before.
+        into = F.col("position") - F.col("piece") * piece_events
+        copies = [(F.lit(True), 0), (into > piece_events - overlap, 1), (into <= ahead, -1)]
+        places = [
+            F.when(F.coalesce(wanted, F.lit(False)) & (F.col("piece") + side >= 0), F.lit(side))
+            for wanted, side in copies
+        ]
+        laid = laid.withColumn("side", F.explode(F.array_compact(F.array(*places))))
+        laid = laid.withColumn("piece", F.col("piece") + F.col("side"))
     part = F.floor(F.col("piece") / part_pieces).cast("bigint").alias("part")
     placed = laid.select("*", part).repartition("session_key", "part")
 
-    def in_order(wanted: Column) -> Column:
-        kept = F.when(F.col("event").isNotNull() & wanted, F.struct("position", "event"))
+    def in_order(side: int) -> Column:
+        if not {1: overlap, 0: 1, -1: ahead}[side]:
+            return F.array().cast("array<string>")
+        kept = F.when(F.col("event").isNotNull() & (F.col("side") == side), F.struct("position", "event"))
         return F.sort_array(F.collect_list(kept)).getField("event")
 
     pieces = placed.groupBy("session_key", "part", "piece").agg(
-        (in_order(F.col("carried")) if overlap else F.array().cast("array<string>")).alias("before"),
-        in_order(~F.col("carried")).alias("events"),
-        F.count_if(~F.col("carried")).alias("n_rows"),
+        in_order(1).alias("before"),
+        in_order(0).alias("events"),
+        in_order(-1).alias("after"),
+        F.count_if(F.col("side") == 0).alias("n_rows"),
     )
-    return pieces.where("n_rows > 0") if overlap else pieces
+    return pieces.where("n_rows > 0") if overlap or ahead else pieces
 
 
 def first_places(rows: DataFrame) -> DataFrame:

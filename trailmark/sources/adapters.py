@@ -29,6 +29,8 @@ from trailmark.sources.readers import DEFAULT_MAX_RECORD, check_max_record
 from trailmark.sources.storage import stored_table
 
 DAY_SECONDS = 86_400
+#: What happens to a session whose path does not fit a record.
+TOO_LONG = ("fail", "leave_out")
 
 
 def _path_bytes(event: str, delimiter: str) -> Column:
@@ -37,10 +39,19 @@ def _path_bytes(event: str, delimiter: str) -> Column:
     )
 
 
-def _within_limit(sessions: DataFrame, size: str, max_record: int) -> DataFrame:
-    """``sessions``, whose reading fails where ``size`` is too large, whatever columns are read."""
+def _check_too_long(too_long: str) -> str:
+    if too_long not in TOO_LONG:
+        raise ValueError(f"Unknown treatment of long sessions: {too_long}. Use {', '.join(TOO_LONG)}.")
+    return too_long
+
+
+def _within_limit(sessions: DataFrame, size: str, max_record: int, too_long: str) -> DataFrame:
+    """``sessions``, whose reading fails where ``size`` is too large, whatever columns are read; or
+    those that are not too large."""
     message = f"A session path exceeds the record limit of {max_record} bytes"
     fits = F.coalesce(F.col(size), F.lit(0)) <= max_record
+    if too_long == "leave_out":
+        return sessions.where(fits)
     return sessions.where(F.when(fits, True).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
 
 
@@ -158,6 +169,7 @@ def _paths(
     delimiter: str,
     max_record: int,
     cut: bool,
+    too_long: str,
 ) -> DataFrame:
     """(session columns, EVENT_PATH, TOTAL_EVENTS) of rows with their ``_piece``.
 
@@ -172,11 +184,12 @@ def _paths(
     )
     text = F.when(named, F.array_join(F.sort_array("steps").getField(event), delimiter))
     if not cut:
-        fitting = _within_limit(pieces, "bytes", max_record)
+        fitting = _within_limit(pieces, "bytes", max_record, too_long)
         return fitting.select(*session, text.alias("EVENT_PATH"), F.col("n").alias("TOTAL_EVENTS"))
     size = F.sum("bytes").over(Window.partitionBy(*session))
     texts = pieces.select(*session, PIECE, "named", "n", "bytes", text.alias("text"))
-    whole = _within_limit(texts.withColumn("size", size), "size", max_record).groupBy(*session).agg(
+    fitting = _within_limit(texts.withColumn("size", size), "size", max_record, too_long)
+    whole = fitting.groupBy(*session).agg(
         F.collect_list(F.when(named, F.struct(PIECE, "text"))).alias("pieces"),
         F.sum("named").alias("named"),
         F.sum("n").alias("TOTAL_EVENTS"),
@@ -196,6 +209,7 @@ def sessionize_events(
     delimiter: str = DEFAULT_DELIMITER,
     max_record: int = DEFAULT_MAX_RECORD,
     piece_rows: int = PIECE_ROWS,
+    too_long: str = "fail",
 ) -> DataFrame:
     """One session per user and run of events no more than ``gap_seconds`` apart.
 
@@ -206,11 +220,15 @@ def sessionize_events(
     An event without a timestamp has no distance to any other: it is a session of its own, numbered
     after the user's dated ones by ``tie_break``. Events without a user share none: each is a
     session of its own, without a name.
+
+    A session whose path is longer than ``max_record`` fails the job, or with ``too_long="leave_out"``
+    is left out, while all others come; ``session_rows`` has it.
     """
     check_delimiter(delimiter)
     check_max_record(max_record)
+    _check_too_long(too_long)
     steps, cut = _sessions(_steps(events, user, timestamp, tie_break, event), gap_seconds, piece_rows)
-    found = _paths(steps, [*USER, "session_no"], TIME, "event", delimiter, max_record, cut)
+    found = _paths(steps, [*USER, "session_no"], TIME, "event", delimiter, max_record, cut, too_long)
     return found.select(_session_name().alias("SESSION"), "EVENT_PATH", "TOTAL_EVENTS")
 
 
@@ -247,19 +265,24 @@ def keyed_paths(
     delimiter: str = DEFAULT_DELIMITER,
     max_record: int = DEFAULT_MAX_RECORD,
     piece_rows: int = PIECE_ROWS,
+    too_long: str = "fail",
 ) -> DataFrame:
     """One session per ``key``: its rows in order, as a path of ``event``.
 
     The rows are read and shuffled once, after a count of the rows of each key; a key with more than
     ``piece_rows`` of them is cut by its order and spread over tasks.
+
+    A key whose path is longer than ``max_record`` fails the job, or with ``too_long="leave_out"`` is
+    left out, while all others come; ``keyed_sessions`` gives its rows beside them.
     """
     check_delimiter(delimiter)
     check_max_record(max_record)
+    _check_too_long(too_long)
     steps = rows.select(*dict.fromkeys([key, *order_by, event]))
     order = list(dict.fromkeys([*order_by, event]))
     points = split_points(steps, [key], order, piece_rows)
     pieces = in_pieces(steps, points, [key], order)
-    found = _paths(pieces, [key], order, event, delimiter, max_record, points is not None)
+    found = _paths(pieces, [key], order, event, delimiter, max_record, points is not None, too_long)
     return found.select(F.col(key).cast("string").alias("SESSION"), "EVENT_PATH", "TOTAL_EVENTS")
 
 
@@ -284,6 +307,30 @@ def keyed_rows(
     )
 
 
+def keyed_sessions(
+    rows: DataFrame,
+    *,
+    key: str,
+    order_by: Sequence[str],
+    event: str,
+    delimiter: str = DEFAULT_DELIMITER,
+    max_record: int = DEFAULT_MAX_RECORD,
+    piece_rows: int = PIECE_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """(``keyed_paths`` of all keys whose path fits a record, ``keyed_rows`` of the others).
+
+    Of the others there are at most as many as records of ``max_record`` bytes in the input.
+    """
+    spec = {"key": key, "order_by": order_by, "event": event, "piece_rows": piece_rows}
+    paths = keyed_paths(
+        rows, delimiter=delimiter, max_record=max_record, too_long="leave_out", **spec
+    )
+    sizes = rows.groupBy(F.col(key).alias("_key")).agg(_path_bytes(event, delimiter).alias("_bytes"))
+    long_keys = sizes.where(F.col("_bytes") > max_record).select("_key")
+    long_rows = rows.join(long_keys, rows[key].eqNullSafe(long_keys["_key"]), "left_semi")
+    return paths, keyed_rows(long_rows, **spec)
+
+
 CONVERSATIONS = {"key": "conv_id", "order_by": ["turn"], "event": "role"}
 ORDERS = {"key": "o_custkey", "order_by": ["o_orderdate", "o_orderkey"], "event": "o_orderpriority"}
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import helpers
 import pytest
@@ -105,3 +106,18 @@ def test_an_iban_stays_beside_a_card_number_inside_it():
     spans = pii.find_spans(f"to {text} EUR 500")
     assert [(s.kind, s.start, s.end) for s in spans] == [("iban", 3, 19), ("card", 5, 19)]
     assert pii.masked(f"to {text} EUR 500", spans) == "to [IBAN] EUR 500"
+
+
+@pytest.mark.parametrize("text", ["7" * 1_000_000, "12." * 300_000, "1 " * 500_000, "+1(" * 300_000, "9-" * 400_000 + "x"])
+def test_long_runs_take_time_in_proportion(text):
+    started = time.perf_counter()
+    pii.find_spans(text)
+    assert time.perf_counter() - started < 20
+
+
+def test_addresses_in_long_runs_of_numbers_and_points():
+    rng = random.Random(12)
+    for _ in range(3_000):
+        text = "".join(rng.choice(["1", "25", "256", "0", ".", ".", "..", " ", "a"]) for _ in range(rng.randint(1, 40)))
+        want = [(start, end) for start, _, kind, end in helpers.base_spans(text) if kind == "ip"]
+        assert [(s.start, s.end) for s in pii.find_spans(text) if s.kind == "ip"] == want, text

@@ -31,7 +31,7 @@ def untidy_events(count, seed):
 
 @pytest.fixture(scope="module")
 def events(spark):
-    return spark.createDataFrame(untidy_events(3_000, 6), EVENTS)
+    return spark.createDataFrame(untidy_events(1_500, 6), EVENTS).coalesce(2)
 
 
 def hot(options=None):
@@ -186,11 +186,11 @@ def test_funnel_steps_of_rows_are_checked(spark, events):
 
 def test_no_group_holds_a_long_session(spark):
     """The largest array is a piece; parts spread a session over groups."""
-    table = spark.range(300_000).selectExpr("0 AS conv_id", "id AS turn", "if(id % 2 = 0, 'a', 'b') AS role")
-    pieces = tm.session_pieces(tm.conversation_rows(table), part_pieces=16)
+    table = spark.range(100_000).selectExpr("0 AS conv_id", "id AS turn", "if(id % 2 = 0, 'a', 'b') AS role")
+    pieces = tm.session_pieces(tm.conversation_rows(table), part_pieces=8)
     sizes = pieces.agg(F.max(F.size("events")), F.count("*"), F.count_distinct("part")).head()
-    assert tuple(sizes) == (4_096, 74, 5)
-    found = tm.funnel_from_rows(tm.conversation_rows(table), ["a", "b"] * 20, part_pieces=16)
+    assert tuple(sizes) == (4_096, 25, 4)
+    found = tm.funnel_from_rows(tm.conversation_rows(table), ["a", "b"] * 20, part_pieces=8)
     assert {r.session_count for r in found.collect()} == {1}
 
 

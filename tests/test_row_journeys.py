@@ -56,12 +56,12 @@ def test_journeys_over_rows(forms, wanted):
 
 
 def test_very_many_runs_are_previewed_without_being_collected(spark):
-    table = spark.range(300_000).selectExpr("0 AS conv_id", "id AS turn", "if(id % 2 = 0, 'a', 'b') AS role")
-    steps = tm.journey_rows(tm.conversation_rows(table.unionAll(table.limit(3).selectExpr("0", "turn + 300000", "'z'"))))
+    table = spark.range(60_000).selectExpr("0 AS conv_id", "id AS turn", "if(id % 2 = 0, 'a', 'b') AS role")
+    steps = tm.journey_rows(tm.conversation_rows(table.unionAll(table.limit(3).selectExpr("0", "turn + 60000", "'z'"))))
     groups = tm.journey_groups_from_rows(steps, event="z")
     found = tm.journey_previews_from_rows(groups).head()
-    assert found.groups == 300_001 and found.hidden_groups == 300_001 - 9
-    assert tuple(found.preview[-1]) == ("z", 3, True, False) and found.preview[-2]["count"] == 300_000 - 8
+    assert found.groups == 60_001 and found.hidden_groups == 60_001 - 9
+    assert tuple(found.preview[-1]) == ("z", 3, True, False) and found.preview[-2]["count"] == 60_000 - 8
 
 
 def test_many_subpaths_in_one_search(forms):

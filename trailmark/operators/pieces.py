@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from trailmark.functions.tokens import trim_event
 
 #: Events of a piece, and pieces of a part.
-PIECE_EVENTS, PART_PIECES = 4_096, 256
+PIECE_EVENTS, PART_PIECES = 4_096, 32
 
 
 def session_pieces(

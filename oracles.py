@@ -457,6 +457,11 @@ def build() -> dict[str, str]:
         "exit_events_untidy": ends(UNTIDY, "exit"),
         "order_entry_events": ends(ORDERS, "entry"),
         "order_exit_events": ends(ORDERS, "exit"),
+        "kept_entry_events": ends(EVENTS, "entry"),
+        "kept_exit_events": ends(EVENTS, "exit"),
+        "kept_kpis": kpis(EVENTS),
+        "kept_conversation_kpis": kpis(TALKS),
+        "kept_search": search(EVENTS, "purchase", "view->click"),
         "session_rows_entry_events": ends(EVENTS, "entry"),
         "session_rows_exit_events": ends(EVENTS, "exit"),
         "session_rows_funnel_reach": funnel(EVENTS, step_list(FUNNEL_STEPS), sequential=False),
@@ -599,6 +604,9 @@ def build() -> dict[str, str]:
             ),
             f"session_rows_frequencies_{mode}": frequencies(EVENTS, mode),
             f"session_rows_transition_pairs_{mode}": pairs(EVENTS, mode),
+            f"kept_frequencies_{mode}": frequencies(EVENTS, mode),
+            f"kept_transition_pairs_{mode}": pairs(EVENTS, mode),
+            f"kept_matrix_{mode}": matrix(EVENTS, mode),
             f"session_rows_funnel_{mode}": funnel(EVENTS, step_list(FUNNEL_STEPS), mode),
             f"session_rows_funnel_repeat_{mode}": funnel(EVENTS, step_list(REPEAT_STEPS), mode),
             f"session_rows_top_paths_{mode}": paths(EVENTS, mode),

@@ -16,7 +16,7 @@ import trailmark as tm
 from trailmark.functions import tokens
 from trailmark.operators import edges, flows, metrics
 from trailmark.plans.reports import Report
-from trailmark.sources.storage import scratch_path, stored_once
+from trailmark.sources.storage import scratch_path, stored_once, stored_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,12 +59,15 @@ def generate_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tm.walk_sessions(table(spark, sf_dir, "events"), "event_id")
 
 
+def _place(name: str, sf_dir: str) -> str:
+    return f"{name}-{hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]}"
+
+
 def _stored(name: str, build: Query) -> Query:
     """Session tables are prepared once and then analysed, like a converted export."""
 
     def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-        place = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
-        return stored_once(spark, f"{name}-{place}", lambda: build(spark, sf_dir))
+        return stored_once(spark, _place(name, sf_dir), lambda: build(spark, sf_dir))
 
     return sessions
 
@@ -112,6 +115,30 @@ def named_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_sessions(spark, sf_dir).withColumn("EVENT_PATH", path)
 
 
+def _kept(build: Callable[..., DataFrame], source: Query = event_sessions, name: str = "events") -> Query:
+    """Analyses of the counts kept per file, brought up to date with the stored sessions first."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        source(spark, sf_dir)
+        sessions = stored_path(spark, _place(name, sf_dir))
+        state = stored_path(spark, _place(f"{name}_counts", sf_dir))
+        tm.update_counts(spark, sessions, state)
+        return build(spark, sessions, state)
+
+    return query
+
+
+def _kept_edges(build: Callable[..., DataFrame], mode: str, top_n: int) -> Query:
+    return _kept(lambda spark, _, state: build(tm.kept_edges(spark, state, mode), top_n))
+
+
+def _kept_ends(end: str) -> Query:
+    def build(spark: SparkSession, _: str, state: str) -> DataFrame:
+        return metrics.rank_ends(edges.end_counts(tm.kept_neighbours(spark, state), end), end, 10)
+
+    return _kept(build)
+
+
 def _from_rows(build: Callable[[DataFrame], DataFrame], **options) -> Query:
     """Analyses of the row form of the sessions, which needs no record limit."""
     return lambda spark, sf_dir: build(tm.session_rows(table(spark, sf_dir, "events"), **options))
@@ -494,6 +521,19 @@ def build() -> dict[str, Query]:
         "neighbour_summary_none": _neighbours("none"),
         "neighbour_summary_consecutive": _neighbours("consecutive"),
     }
+    found |= {
+        "kept_kpis": _kept(lambda spark, _, state: tm.kept_kpis(spark, state)),
+        "kept_conversation_kpis": _kept(
+            lambda spark, _, state: tm.kept_kpis(spark, state), talk_sessions, "conversations"
+        ),
+        "kept_entry_events": _kept_ends("entry"),
+        "kept_exit_events": _kept_ends("exit"),
+        "kept_search": _kept(
+            lambda spark, sessions, state: tm.kept_search(
+                spark, sessions, state, event="purchase", subpath="view->click"
+            )
+        ),
+    }
     for mode in tokens.DEDUPE_MODES:
         found |= {
             f"event_frequencies_{mode}": _on(event_sessions, tm.event_frequencies, dedupe=mode),
@@ -541,6 +581,14 @@ def build() -> dict[str, Query]:
                 lambda rows, m=mode: tm.funnel_from_rows(rows, REPEAT_STEPS, dedupe=m),
                 keep_unnamed=True,
             ),
+            # from counts kept per file, without reading a session again
+            f"kept_frequencies_{mode}": _kept_edges(metrics.frequencies_from_edges, mode, 20),
+            f"kept_transition_pairs_{mode}": _kept_edges(flows.rank_transitions, mode, 20),
+            f"kept_matrix_{mode}": _kept(
+                lambda spark, _, state, m=mode: flows.matrix_from_edges(
+                    tm.kept_edges(spark, state, m, drop_blanks=True), 8
+                )
+            ),
             f"session_rows_top_paths_{mode}": _from_rows(
                 lambda rows, m=mode: tm.top_paths_from_rows(rows, dedupe=m), keep_unnamed=True
             ),

@@ -39,6 +39,15 @@ from trailmark.operators.row_journeys import (
 )
 from trailmark.operators.search import match_sessions, search_sessions, session_journeys
 from trailmark.operators.sql import sql_on_data
+from trailmark.plans.kept import (
+    files_to_search,
+    kept_edges,
+    kept_kpis,
+    kept_neighbours,
+    kept_report,
+    kept_search,
+    update_counts,
+)
 from trailmark.plans.reports import analyze_report, insights_report, run_all, session_report
 from trailmark.session import build_session
 from trailmark.sources.adapters import (

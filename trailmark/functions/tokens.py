@@ -66,7 +66,7 @@ def literal_pattern(text: str) -> str:
     )
 
 
-def _splits_cleanly(delimiter: str, blanks: str) -> bool:
+def splits_cleanly(delimiter: str, blanks: str) -> bool:
     """Whether removing blanks around the delimiter can never move a token boundary.
 
     True when the delimiter holds no blank and no proper prefix of it is also a suffix
@@ -95,7 +95,7 @@ def tokenize_path(
     a lambda over the tokens would leave.
     """
     check_delimiter(delimiter)
-    if not _splits_cleanly(delimiter, blanks):
+    if not splits_cleanly(delimiter, blanks):
         return F.transform(split_path(path, delimiter), lambda t: trim_event(t, blanks))
     may_hold_blank = F.length(path) != F.octet_length(path)
     for ch in filter(str.isascii, blanks):
@@ -114,7 +114,7 @@ def first_event(path: Column, delimiter: str = DEFAULT_DELIMITER) -> Column:
 
 
 def last_event(path: Column, delimiter: str = DEFAULT_DELIMITER) -> Column:
-    if _splits_cleanly(check_delimiter(delimiter), ""):
+    if splits_cleanly(check_delimiter(delimiter), ""):
         return trim_event(F.substring_index(path, delimiter, -1))
     return trim_event(F.element_at(split_path(path, delimiter), -1))
 

@@ -6,6 +6,8 @@ sort over events.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,21 +75,31 @@ def edge_counts(
     return rows.groupBy("previous", "event").agg(F.count(F.lit(1)).alias("n"))
 
 
-def neighbour_counts(sessions: DataFrame, delimiter: str = DEFAULT_DELIMITER) -> DataFrame:
+def neighbour_counts(
+    sessions: DataFrame,
+    delimiter: str = DEFAULT_DELIMITER,
+    *,
+    unique: bool = False,
+    by: Sequence[str] = (),
+) -> DataFrame:
     """(blanks, deep, previous, event, n): all neighbours of all paths, counted in one pass.
 
     A small table that answers frequencies, transitions, matrices, entries and exits without
     another look at the paths, for the modes ``none`` and ``consecutive``. ``blanks`` says what
     a row holds: ``absent`` for paths without blank events, and for the others ``kept`` or
-    ``dropped``, each path being counted both ways. ``deep`` is TOTAL_EVENTS > 0.
+    ``dropped``, each path being counted both ways. ``deep`` is TOTAL_EVENTS > 0. With ``unique``
+    only the first place of each event counts, which answers the mode ``unique``. Columns named
+    in ``by`` come first, with counts of their own for each value.
     """
     split = sessions.select(
+        *by,
         tokenize_path(F.col("EVENT_PATH"), delimiter).alias("events"),
         F.coalesce(F.col("TOTAL_EVENTS") > 0, F.lit(False)).alias("deep"),
     )
 
     def way(blanks: str, events: Column) -> Column:
-        return F.struct(F.lit(blanks).alias("blanks"), events.alias("events"))
+        taken = dedupe_unique(events) if unique else events
+        return F.struct(F.lit(blanks).alias("blanks"), taken.alias("events"))
 
     as_is, events = F.col("events"), F.col("way.events")
     ways = F.when(
@@ -95,10 +107,10 @@ def neighbour_counts(sessions: DataFrame, delimiter: str = DEFAULT_DELIMITER) ->
         F.array(way("kept", as_is), way("dropped", drop_blank_events(as_is))),
     ).otherwise(F.array(way("absent", as_is)))
     return (
-        split.select("deep", F.explode(ways).alias("way"))
-        .select("way.blanks", "deep", F.explode(_neighbours(events)).alias("pair"))
-        .select("blanks", "deep", "pair.previous", "pair.event")
-        .groupBy("blanks", "deep", "previous", "event")
+        split.select(*by, "deep", F.explode(ways).alias("way"))
+        .select(*by, "way.blanks", "deep", F.explode(_neighbours(events)).alias("pair"))
+        .select(*by, "blanks", "deep", "pair.previous", "pair.event")
+        .groupBy(*by, "blanks", "deep", "previous", "event")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 

@@ -75,13 +75,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored_path(spark: SparkSession, name: str) -> str:
+    """Where ``stored_once`` publishes the table ``name``."""
+    return f"{scratch_base(spark)}/{spark.sparkContext.applicationId}/{name}.parquet"
+
+
 def stored_once(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table ``build`` gives, written once per application and read from there after.
 
     Cuts the lineage: what reads the table neither repeats the work nor depends on executors
     that did it.
     """
-    path = f"{scratch_base(spark)}/{spark.sparkContext.applicationId}/{name}.parquet"
+    path = stored_path(spark, name)
     if current_path(spark, path) == path:
         publish_parquet(build(), path, {"compression": "zstd"}, replace=False)
     return spark.read.parquet(current_path(spark, path))

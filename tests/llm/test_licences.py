@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import textwrap
+
 import helpers
 import pytest
 from trailmark.llm import licences
@@ -60,3 +62,78 @@ def test_training_on_no_documents(spark):
     model = licences.train(empty)
     table = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id bigint, text string")
     assert licences.scan_licences(table, model).head().licences == "mit"
+
+
+GPL = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+    "General Public License as published by the Free Software Foundation, either version 3 of the License, "
+    "or (at your option) any later version."
+)
+LGPL = (
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+    "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the "
+    "License, or (at your option) any later version."
+)
+BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+    "that the following conditions are met: 1. Redistributions of source code must retain the above notice."
+)
+MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+    "associated documentation files (the Software), to deal in the Software without restriction."
+)
+APACHE = (
+    "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in "
+    "compliance with the License. You may obtain a copy of the License at the usual place."
+)
+HEADERS = {"gpl": GPL, "lgpl": LGPL, "bsd": BSD, "mit": MIT, "apache-2.0": APACHE}
+STYLES = [("", "", ""), ("/*\n", " * ", "\n */"), ("", "# ", ""), ("", "// ", ""), ("<!--\n", "  -- ", "\n-->")]
+
+
+def in_style(text, style, width=70):
+    before, mark, after = style
+    return before + "\n".join(mark + line for line in textwrap.wrap(text, width)) + after
+
+
+def test_wrapped_headers(spark, model):
+    rows, want = [], {}
+    for family, header in HEADERS.items():
+        for style in STYLES:
+            for width in (40, 70):
+                text = f"Some words before it.\n\n{in_style(header, style, width)}\n\nimport something\nand go on"
+                want[len(rows)] = family
+                rows.append((len(rows), text))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r.licences for r in licences.scan_licences(table, model).collect()}
+    assert found == want
+
+
+def test_several_notices_in_one_line_or_block(spark, model):
+    two = "Released under the MIT License. Licensed under the Apache License, Version 2.0."
+    filler = "plain words of a long text that goes on " * 300
+    texts = {
+        two: "apache-2.0,mit",
+        two.replace(". L", ".\nL"): "apache-2.0,mit",
+        "\n".join([in_style(GPL, STYLES[1]), "", in_style(BSD, STYLES[1])]): "bsd,gpl",
+        in_style(f"{LGPL} {APACHE}", STYLES[2]): "apache-2.0,lgpl",
+        f"{filler}{two} {filler}{MIT}": "apache-2.0,mit",
+    }
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r.licences for r in licences.scan_licences(table, model).collect()}
+    assert found == dict(enumerate(texts.values()))
+
+
+@pytest.mark.parametrize("shift", range(0, 60, 7))
+def test_a_notice_anywhere_in_a_long_line(spark, model, shift):
+    text = "word " * (100 + shift) + LGPL + " and more" * 100
+    table = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    row = licences.scan_licences(table, model).head()
+    assert row.licences == "lgpl"
+    assert sum(n.confirmed for n in row.notices) == 1
+
+
+def test_many_blank_lines(spark, model):
+    text = "Released under\n" + "\n" * 200_000 + "the MIT License.\n" + " * \n" * 50_000 + "Released under the\nMIT License."
+    table = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    row = licences.scan_licences(table, model).head()
+    assert [n.paragraph for n in row.notices if n.confirmed] == [row.n_paragraphs - 1]

@@ -1,11 +1,14 @@
 """Licence scans (operator 5) in DataFrame functions only: a trained paragraph classifier.
 
-A paragraph is a line. Its features are the words and pairs of words that occur in notices of a
-licence family and are rare in other paragraphs. A sparse multinomial logistic regression is
+A paragraph is a block of lines between lines without any letter or digit, so that comment marks neither hide
+nor join anything. Its lines are judged, and then all of them together, so that a notice may be wrapped.
+What is long is looked at in windows of words that overlap by more than a notice. The features of a window are the words and pairs of words that occur
+in notices of a licence family and are rare in other paragraphs. A sparse multinomial logistic regression is
 trained on pieces of the notices below, as positives, and a bounded sample of paragraphs of the
 corpus, as the class ``none``. A threshold calibrated on paragraphs that were held out turns
 doubtful predictions to ``unknown``. Comparison with the notices of the predicted family confirms
-a prediction.
+a prediction; what a confirmed notice explains is taken out of the window, and the rest is judged again, so
+that each of several notices in one window is found.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailmark.functions.tokens import let
 from trailmark.llm.workers import stored
 
 #: Usual wordings of licence notices by family.
@@ -77,6 +81,8 @@ FAMILIES = (NONE, *NOTICES)
 #: Paragraphs of the corpus to train and calibrate on, about.
 SAMPLED_PARAGRAPHS = 8_000
 PIECE_WORDS = 8  # of a notice that is cut into training pieces
+#: Words of a window, and between the starts of two: any notice of up to 25 words lies in one window whole.
+WINDOW_WORDS, WINDOW_STEP = 48, 24
 RARE = 0.02  # a word in more of the sampled paragraphs than this is no feature
 MIN_PROBABILITY = 0.5
 CONFIRMED_SHARE = 0.6  # of the word pairs of a notice
@@ -120,19 +126,28 @@ def notices(spark: SparkSession) -> DataFrame:
 
 
 def paragraphs(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), r"\r?\n")
+    """Blocks of lines between lines without a letter or digit."""
+    return F.split(F.coalesce(text, F.lit("")), r"\n[^\p{L}\p{N}]*\n")
+
+
+def windows(words: Column) -> Column:
+    """The words of a paragraph in overlapping windows: one, unless there are more than WINDOW_WORDS."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - WINDOW_STEP, F.lit(1)), F.lit(WINDOW_STEP))
+    return F.transform(starts, lambda at: F.slice(words, at, F.lit(WINDOW_WORDS)))
 
 
 def sample_paragraphs(docs: DataFrame, wanted: int = SAMPLED_PARAGRAPHS) -> DataFrame:
-    """(words) of about ``wanted`` different paragraphs, chosen by hash, from documents chosen so."""
+    """(place, words) of about ``wanted`` different windows of paragraphs, chosen by hash, from documents
+    chosen so."""
     facts = docs.agg(
-        F.count("text").alias("docs"), F.sum(F.size(paragraphs(F.col("text")))).alias("lines")
+        F.count("text").alias("docs"), F.sum(F.size(paragraphs(F.col("text")))).alias("blocks")
     ).head()
-    share = min(1.0, 2 * wanted / max(facts["lines"] or 0, 1))
-    lines = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < max(share, 64 / max(facts["docs"], 1)) * (1 << 30))
-    lines = lines.select(F.explode(paragraphs(F.col("text"))).alias("line")).distinct()
-    words = lines.select(F.xxhash64("line").alias("place"), F.slice(words_of(F.col("line")), 1, 400).alias("words"))
-    return words.where(F.size("words") > 0).orderBy("place", "words").limit(wanted)
+    share = min(1.0, 2 * wanted / max(facts["blocks"] or 0, 1))
+    chosen = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < max(share, 64 / max(facts["docs"], 1)) * (1 << 30))
+    blocks = chosen.select(F.explode(paragraphs(F.col("text"))).alias("block")).distinct()
+    split = blocks.select(words_of(F.col("block")).alias("all"))
+    pieces = split.select(F.explode(windows(F.col("all"))).alias("words")).where(F.size("words") > 0).distinct()
+    return pieces.select(F.xxhash64("words").alias("place"), "words").orderBy("place", "words").limit(wanted)
 
 
 def train(docs: DataFrame, *, sampled: int = SAMPLED_PARAGRAPHS) -> Model:
@@ -226,72 +241,159 @@ def _strings(values: list[str]) -> Column:
 def scan_licences(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_paragraphs, n_notices, licences, notices of every row of ``docs`` (doc_id, text).
 
-    ``notices`` has, for each paragraph that holds a feature and is not ``none``: paragraph (from
-    0), family, probability, confirmed. A family below the threshold of the model is ``unknown``.
-    ``licences`` are the confirmed families, sorted and joined by commas. A null or empty text is
-    one empty paragraph without notice. Repeated rows give repeated rows; other columns are not
-    read. Narrow: no shuffle.
+    ``notices`` has, in order of paragraphs, for each window that holds a feature and is not ``none``: paragraph
+    (from 0), line (from 0 in the paragraph), word (where the window starts in the line, from 0), family, probability,
+    confirmed. A window has one such entry for each family that is confirmed in it, or one that is not. A
+    family in windows that follow each other is one notice, and one that is not confirmed goes where a window that
+    overlaps has a confirmed one. Families that no line confirms alone but the lines
+    of the paragraph together do come after them, with a null line; they replace what the lines left open. A family below the threshold of the model is ``unknown``. ``licences`` are the confirmed
+    families, sorted and joined by commas. A null or empty text is one empty paragraph without
+    notice. Repeated rows give repeated rows; an empty table gives none; other columns are not read. Narrow: no shuffle.
     """
     spark = docs.sparkSession
     rows_of_weights = [F.array(*map(F.lit, row)) for row in model.weights]
     weights = F.map_from_arrays(
         _strings(model.features), F.array(*rows_of_weights).cast("array<array<double>>")
     )
-    templates = _template_pairs(spark)
-
-    def share(pairs: Column, family: Column) -> Column:
-        """The largest share of a notice's word pairs that the paragraph has."""
-        found = F.lit(0.0)
-        for name, notice_pairs in templates.items():
-            best = F.greatest(
-                *[F.size(F.array_intersect(pairs, p)) / F.size(p) for p in notice_pairs], F.lit(0.0)
-            )
-            found = F.when(family == name, best).otherwise(found)
-        return found
-
-    candidates = F.filter(
-        F.transform(
-            paragraphs(F.col("text")),
-            lambda line, at: F.struct(at.cast("bigint").alias("paragraph"), words_of(line).alias("words")),
-        ),
-        lambda p: F.exists(p["words"], lambda word: word.isin(model.needed)),
-    )
+    pairs_by_family, all_pairs_by_family = _templates(spark)
     start = F.array(*[F.lit(float(x)) for x in model.intercepts])
+    nothing = F.array().cast("array<struct<family:string,probability:double,confirmed:boolean>>")
 
-    def scored(p: Column) -> Column:
-        known = F.filter(grams_of(p["words"]), lambda gram: gram.isin(model.features))
+    def share(grams: Column, family: Column) -> Column:
+        """The largest share of a notice's word pairs that the window has."""
+        shares = F.transform(
+            F.element_at(pairs_by_family, family),
+            lambda notice: F.size(F.array_intersect(grams, notice)) / F.size(notice),
+        )
+        return F.coalesce(F.array_max(shares), F.lit(0.0))
+
+    def judged(grams: Column) -> Column:
+        """family, probability of the likeliest class."""
+        known = F.filter(grams, lambda gram: gram.isin(model.features))
         scores = F.aggregate(
             known, start, lambda s, gram: F.zip_with(s, F.element_at(weights, gram), lambda a, b: a + b)
         )
-        return F.struct(p["paragraph"].alias("paragraph"), p["words"].alias("words"), scores.alias("scores"))
 
-    def judged(p: Column) -> Column:
-        top = F.array_max(p["scores"])
-        total = F.aggregate(p["scores"], F.lit(0.0), lambda s, x: s + F.exp(x - top))
-        best = F.array_position(p["scores"], top)
+        def best(s: Column) -> Column:
+            top = F.array_max(s)
+            total = F.aggregate(s, F.lit(0.0), lambda sum_, x: sum_ + F.exp(x - top))
+            family = F.element_at(_strings(list(FAMILIES)), F.array_position(s, top).cast("int"))
+            return F.struct(family.alias("family"), (F.lit(1.0) / total).alias("probability"))
+
+        return let(scores, best)
+
+    def unexplained(grams: Column, family: Column) -> Column:
+        """The word pairs that no notice of the family has, and the words that are still part of any."""
+        pairs = F.filter(grams, lambda gram: F.contains(gram, F.lit(" ")))
+        rest = F.array_except(pairs, F.element_at(all_pairs_by_family, family))
+        return let(rest, lambda left: F.concat(left, F.array_distinct(F.split(F.array_join(left, " "), " "))))
+
+    def step(state: Column, _: Column) -> Column:
+        """Judge what is left of a window; a confirmed notice is taken out, anything else ends it."""
+
+        def decided(guess: Column) -> Column:
+            family = guess["family"]
+            sure = guess["probability"] >= model.threshold
+            confirmed = sure & (family != NONE) & (share(state["grams"], family) >= CONFIRMED_SHARE)
+            entry = F.struct(
+                F.when(sure, family).otherwise(UNKNOWN).alias("family"),
+                F.round(guess["probability"], 6).alias("probability"),
+                confirmed.alias("confirmed"),
+            )
+            told = confirmed | ((family != NONE) & (F.size(state["found"]) == 0))
+            return F.struct(
+                F.when(confirmed, unexplained(state["grams"], family))
+                .otherwise(F.array().cast("array<string>"))
+                .alias("grams"),
+                F.when(told, F.concat(state["found"], F.array(entry))).otherwise(state["found"]).alias("found"),
+            )
+
+        return F.when(F.size(state["grams"]) == 0, state).otherwise(let(judged(state["grams"]), decided))
+
+    def found_in(words: Column) -> Column:
+        first = F.struct(grams_of(words).alias("grams"), nothing.alias("found"))
+        rounds = F.sequence(F.lit(1), F.lit(len(NOTICES)))
+        return F.aggregate(rounds, first, step, lambda state: state["found"])
+
+    def window_of(words: Column, at: Column) -> Column:
+        wanted = F.exists(words, lambda word: word.isin(model.needed))
         return F.struct(
-            p["paragraph"].alias("paragraph"),
-            p["words"].alias("words"),
-            F.element_at(_strings(list(FAMILIES)), best.cast("int")).alias("family"),
-            (F.lit(1.0) / total).alias("probability"),
+            (at * WINDOW_STEP).cast("bigint").alias("word"),
+            F.when(wanted, found_in(words)).otherwise(nothing).alias("found"),
         )
 
-    def confirmed(p: Column) -> Column:
-        sure = p["probability"] >= model.threshold
-        return F.struct(
-            p["paragraph"].alias("paragraph"),
-            F.when(sure, p["family"]).otherwise(UNKNOWN).alias("family"),
-            F.round(p["probability"], 6).alias("probability"),
-            (sure & (share(pairs_of(p["words"]), p["family"]) >= CONFIRMED_SHARE)).alias("confirmed"),
+    def new_ones(all_windows: Column) -> Column:
+        """Entries that the windows which overlap do not tell as well."""
+
+        def families(window: Column, confirmed: bool) -> Column:
+            kept = F.filter(window["found"], lambda e: e["confirmed"] if confirmed else ~e["confirmed"])
+            return F.coalesce(F.transform(kept, lambda e: e["family"]), F.array().cast("array<string>"))
+
+        def of_window(window: Column, i: Column) -> Column:
+            before, after = F.get(all_windows, i - 1), F.get(all_windows, i + 1)
+
+            def is_new(entry: Column) -> Column:
+                sure = ~F.array_contains(families(before, True), entry["family"])
+                explained = F.size(F.concat(families(before, True), families(after, True))) > 0
+                told = F.array_contains(families(before, False), entry["family"])
+                return F.when(entry["confirmed"], sure).otherwise(~explained & ~told)
+
+            return F.transform(
+                F.filter(window["found"], is_new),
+                lambda entry: F.struct(window["word"].alias("word"), entry.alias("entry")),
+            )
+
+        return F.flatten(F.transform(all_windows, of_window))
+
+    def notices_in(words: Column) -> Column:
+        return let(F.transform(windows(words), window_of), new_ones)
+
+    def placed(entries: Column, paragraph: Column, line: Column) -> Column:
+        return F.transform(
+            entries,
+            lambda one: F.struct(
+                paragraph.cast("bigint").alias("paragraph"),
+                line.cast("bigint").alias("line"),
+                one["word"].alias("word"),
+                one["entry"]["family"].alias("family"),
+                one["entry"]["probability"].alias("probability"),
+                one["entry"]["confirmed"].alias("confirmed"),
+            ),
         )
 
-    found = F.transform(
-        F.filter(F.transform(F.transform(candidates, scored), judged), lambda p: p["family"] != NONE), confirmed
+    def sure_families(entries: Column) -> Column:
+        return F.transform(F.filter(entries, lambda e: e["confirmed"]), lambda e: e["family"])
+
+    def of_paragraph(block: Column, paragraph: Column) -> Column:
+        def of_lines(lines: Column) -> Column:
+            """Notices of single lines, and then those that only the lines together confirm."""
+            single = F.flatten(
+                F.transform(lines, lambda words, i: placed(notices_in(words), paragraph, i))
+            )
+            together = F.when(
+                F.size(lines) > 1, placed(notices_in(F.flatten(lines)), paragraph, F.lit(None))
+            ).otherwise(F.filter(single, lambda _: F.lit(False)))
+
+            def both(pair: Column) -> Column:
+                known = sure_families(pair["single"])
+                wrapped = F.filter(
+                    pair["together"], lambda e: e["confirmed"] & ~F.array_contains(known, e["family"])
+                )
+                explained = F.size(F.array_except(sure_families(pair["together"]), known)) > 0
+                kept = F.filter(pair["single"], lambda e: e["confirmed"] | ~explained)
+                return F.concat(kept, wrapped)
+
+            return let(F.struct(single.alias("single"), together.alias("together")), both)
+
+        return let(F.transform(F.split(block, r"\r?\n"), words_of), of_lines)
+
+    blocks = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), paragraphs(F.col("text")).alias("blocks")
     )
-    rows = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.size(paragraphs(F.col("text"))).cast("bigint").alias("n_paragraphs"),
-        found.alias("notices"),
+    rows = blocks.select(
+        "doc_id",
+        F.size("blocks").cast("bigint").alias("n_paragraphs"),
+        F.flatten(F.transform("blocks", of_paragraph)).alias("notices"),
     )
     families = F.transform(F.filter("notices", lambda p: p["confirmed"]), lambda p: p["family"])
     return rows.select(
@@ -303,9 +405,16 @@ def scan_licences(docs: DataFrame, model: Model) -> DataFrame:
     )
 
 
-def _template_pairs(spark: SparkSession) -> dict[str, list[Column]]:
-    """family -> the different word pairs of each of its notices."""
-    found: dict[str, list[Column]] = {}
-    for row in notices(spark).select("family", pairs_of(F.col("words")).alias("pairs")).collect():
-        found.setdefault(row["family"], []).append(_strings(sorted(set(row["pairs"]))))
-    return found
+def _templates(spark: SparkSession) -> tuple[Column, Column]:
+    """Maps from a family to the different word pairs of each of its notices, and of all of them."""
+    pairs: dict[str, list[Column]] = {}
+    together: dict[str, set[str]] = {}
+    found = notices(spark).select("family", pairs_of(F.col("words")).alias("pairs"))
+    for row in found.collect():
+        pairs.setdefault(row["family"], []).append(_strings(sorted(set(row["pairs"]))))
+        together.setdefault(row["family"], set()).update(row["pairs"])
+    names = _strings(list(pairs))
+    return (
+        F.map_from_arrays(names, F.array(*[F.array(*notice) for notice in pairs.values()])),
+        F.map_from_arrays(names, F.array(*[_strings(sorted(of)) for of in together.values()])),
+    )

@@ -146,5 +146,10 @@ def test_odd_vector_rows(spark):
         [(None, 0, None, False), (4, 2, 2, False), (4, 2, 2, False), (2, 2, 2, True), (9, 0, 9, True)], key=str
     )
     assert embeddings.near_vectors(table.limit(0)).count() == 0
+    # one vec_id, different vectors: links are those of each vector
+    rows = [(4, [1.0, 0.0]), (5, [1.0, 0.01]), (4, [0.0, 1.0]), (5, [-1.0, 0.0]), (3, [-1.0, 0.02])]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = sorted(tuple(r) for r in embeddings.near_vectors(table).collect())
+    assert found == [(3, 1, 3, True), (4, 0, 4, True), (4, 1, 4, True), (5, 1, 3, False), (5, 1, 4, False)]
     with pytest.raises(ValueError):
         embeddings.near_vectors(table, threshold=0.0)

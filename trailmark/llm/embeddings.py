@@ -278,7 +278,8 @@ def near_vectors(
     Two vectors link when their cosine is ``threshold`` or more (above zero). Vectors that are
     null, empty, zero, or hold null or non-finite numbers, and rows without vec_id, link with
     nothing; vectors of different length never link. Equal vectors are compared once and count as
-    often as they occur, so repeated rows link with each other and give repeated rows. ``kept``
+    often as they occur, so repeated rows link with each other and give repeated rows. Rows that share a
+    vec_id and differ in their vector are judged each by its own. ``kept``
     is false where vec_id is null. An empty table gives no rows; other columns are not read.
     """
     if not 0 < threshold <= 1:
@@ -288,28 +289,35 @@ def near_vectors(
         F.col("embedding").cast("array<double>").alias("vector"),
     )
     fit = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
+    # Different vectors may share a vec_id, so each has a number of its own, fixed once it is stored.
     distinct = stored(
-        fit.groupBy("vector").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")),
+        fit.groupBy("vector")
+        .agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
+        .withColumn("number", F.monotonically_increasing_id()),
         "vectors",
     )
     sizes = sorted(r[0] for r in distinct.select(F.size("vector")).distinct().collect())
+    numbered = distinct.select(F.col("number").alias("vec_id"), "copies", "vector")
     hits = None
     for size in sizes:
-        found = _hits(distinct.where(F.size("vector") == size), size, threshold, unit_values, leaf_rows)
+        found = _hits(numbered.where(F.size("vector") == size), size, threshold, unit_values, leaf_rows)
         hits = found if hits is None else hits.unionAll(found)
     if hits is None:
         hits = vectors.sparkSession.createDataFrame([], HITS)
     hits = stored(hits, "vector_links")
-    links = hits.groupBy("vec_id").agg(F.sum("links").alias("links"))
+    links = hits.groupBy(F.col("vec_id").alias("number")).agg(F.sum("links").alias("links"))
     groups = connected_components(hits.select("vec_id", "root"))
+    members = groups.select(F.col("node").alias("number"), F.col("component").alias("group"))
+    members = stored(members.join(distinct.select("number", "first_id"), "number"), "vector_groups")
+    least = members.groupBy("group").agg(F.min("first_id").alias("least"))
+    named = members.join(least, "group").select("number", "least")
     judged = (
-        distinct.select(F.col("vec_id").alias("first_id"), "vector", "copies")
-        .join(links.withColumnRenamed("vec_id", "first_id"), "first_id", "left")
-        .join(groups.withColumnRenamed("node", "first_id"), "first_id", "left")
+        distinct.join(links, "number", "left")
+        .join(named, "number", "left")
         .select(
             F.col("vector").alias("same"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.coalesce("component", "first_id").alias("component"),
+            F.coalesce("least", "first_id").alias("component"),
         )
     )
     own = F.when(F.col("vec_id").isNotNull(), F.col("vector"))

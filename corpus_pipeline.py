@@ -26,7 +26,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id.
 
-    Long SimHash fingerprints propose, the sets of five-word shingles decide: similarity 0.8 or more.
+    Long SimHash fingerprints propose, by the Gray-order index of ``simhash``; the sets of five-word
+    shingles decide: similarity 0.8 or more.
     """
     return near_copies.keep_one(docs)
 

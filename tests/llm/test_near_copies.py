@@ -7,8 +7,9 @@ import random
 
 import helpers
 import numpy as np
+import pyarrow as pa
 import pytest
-from trailmark.llm import near_copies
+from trailmark.llm import local_links, near_copies, simhash
 
 
 def words(rng, n):
@@ -110,6 +111,34 @@ def test_bits_are_counted_and_set_by_majority():
     assert near_copies.wide_fingerprint(hashes[:0], 4).tolist() == [0] * 4
 
 
+@pytest.mark.parametrize("rows", [1, 7, 1_000])
+def test_near_sketches_are_found_by_the_index(monkeypatch, rows):
+    """In every cell and deal, whatever batches it lies in."""
+    rng = np.random.default_rng(7)
+    keys = sorted((int(c), int(d), int(s)) for c, d, s in zip(*(rng.integers(0, n, 300) for n in (40, 3, 3))))
+    centres = rng.integers(-(2**63), 2**63, (4, 2))
+    sketches = centres[rng.integers(0, 4, 300)]
+    for bit in rng.integers(0, 64, (8, 300, 2)):
+        sketches ^= np.left_shift(np.int64(1), bit)
+    calls, plain = [], simhash.close_pairs
+    monkeypatch.setattr(simhash, "close_pairs", lambda *of: calls.append(of) or plain(*of))
+    columns = [*(pa.array(k) for k in zip(*keys)), pa.array(range(300)), *(pa.array(x) for x in sketches.T)]
+    table = pa.Table.from_arrays(columns, ["cell", "deal", "side", "node", "s0", "s1"])
+    links = [
+        (a, b)
+        for part in near_copies._sketch_links(table.to_batches(max_chunksize=rows))
+        for a, b in zip(*(c.to_pylist() for c in part.columns))
+    ]
+
+    def linked(i, j):
+        meets = keys[i][:2] == keys[j][:2] and (keys[i][2] == 0 or keys[i][2] != keys[j][2])
+        return meets and np.bitwise_count((sketches[i] ^ sketches[j]).view(np.uint64)).sum() <= near_copies.SKETCH_BITS
+
+    labels = local_links.merge(np.arange(300), *(np.array(side) for side in zip(*links)))
+    assert calls and labels.tolist() == helpers.components(300, linked)
+    assert len(links) == 300 - len(set(labels.tolist())) > 20
+
+
 def test_sets_meet_in_pairs():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 30, rng.integers(0, 25))).astype(np.uint64) for _ in range(60)]

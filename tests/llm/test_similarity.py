@@ -63,6 +63,61 @@ def test_close_pairs_are_all_close_pairs():
     assert found == want
 
 
+def long_codes():
+    """Codes of 128 bits in groups of one to a thousand, with clusters and loners, and their groups."""
+    rng = np.random.default_rng(5)
+    codes, group = [], []
+    for number, size in enumerate([1, 2, 3, 31, 33, 1, 400, 1_000, 2, 1]):
+        centres = rng.integers(0, 2**64, (2, max(1, size // 70)), dtype=np.uint64)
+        for _ in range(size):
+            code = centres[:, rng.integers(centres.shape[1])].copy()
+            for bit in rng.choice(128, size=rng.integers(0, 25), replace=False):
+                code[bit // 64] ^= np.uint64(1 << int(bit % 64))
+            codes.append(code)
+            group.append(number)
+    return np.array(codes).T.copy(), np.array(group)
+
+
+def gray_rank(code: np.ndarray) -> int:
+    """From the top bit down, each the sum of all code bits so far."""
+    number, rank = int(code[0]) << 64 | int(code[1]), 0
+    for bit in reversed(range(128)):
+        rank = rank << 1 | ((number >> bit).bit_count() & 1)
+    return rank
+
+
+def test_close_pairs_of_long_codes_in_many_groups(monkeypatch):
+    codes, group = long_codes()
+    order = sorted(range(len(group)), key=lambda i: (group[i], gray_rank(codes[:, i])))
+    codes, group = codes[:, order].copy(), group[order]
+    differing = np.bitwise_count(codes[:, :, None] ^ codes[:, None, :]).sum(axis=0, dtype=int)
+    together = group[:, None] == group[None, :]
+    for max_bits in (0, 8, 32, 128):
+        want = np.argwhere(np.triu(together & (differing <= max_bits), 1))
+        found = [(int(a), int(b)) for i, j in simhash.close_pairs(codes, max_bits, group) for a, b in zip(i, j)]
+        assert sorted(found) == [tuple(pair) for pair in want.tolist()]
+    # The index leaves pairs of groups out: of separate tight clusters only those of one are compared.
+    rng = np.random.default_rng(6)
+    tight = np.repeat(rng.integers(0, 2**64, (2, 16), dtype=np.uint64), 64, axis=1)
+    tight[1] ^= np.uint64(1) << rng.integers(0, 64, 1_024, dtype=np.uint64)
+    ranks = [gray_rank(tight[:, i]) for i in range(1_024)]
+    tight = tight[:, np.argsort(np.array(ranks, dtype=object), kind="stable")].copy()
+    compared, plain = [], simhash._expand
+    monkeypatch.setattr(simhash, "_expand", lambda *of: (compared.append(len(x[0])) or x for x in plain(*of)))
+    linked = sum(len(i) for i, _ in simhash.close_pairs(tight, 32))
+    assert linked == 16 * 64 * 63 // 2 and sum(compared) < 1_024 * 1_023 // 2 // 4
+
+
+def test_gray_ranks_of_long_codes(spark):
+    codes, _ = long_codes()
+    signed = codes.view(np.int64)
+    table = spark.createDataFrame([(int(a), int(b)) for a, b in signed.T], "a bigint, b bigint")
+    found = table.select("a", "b", *simhash.gray_ranks(table["a"], table["b"])).collect()
+    for a, b, first, second in found:
+        code = np.array([a, b], dtype=np.int64).view(np.uint64)
+        assert (first % 2**64) << 64 | second % 2**64 == gray_rank(code)
+
+
 def test_odd_documents(spark):
     rows = [(5, None), (3, ""), (9, " \t "), (7, "one"), (8, "ONE"), (None, "one"), (7, "one"), (None, "alone here"),
             (None, "alone here"), (2, "a b c d " * 30_000)]

@@ -2,10 +2,12 @@
 
 Two texts are near copies if their sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 Texts with the same words are one class from the start. A class gets a long SimHash fingerprint of
-``tables`` bands and a sketch; classes that agree in any band meet, and those whose sketches are near
-are linked. That is a loose net: at similarity 0.8 a bit agrees with probability 0.85, so that one of 64
-bands of 20 bits agrees with probability 0.91, and more often above. Inside each connected blob of the
-net the shingle sets themselves are compared, and only pairs at or above the similarity link.
+``tables`` bands and a sketch. Each band in turn is put in front, as the root of an index: a cell. Inside
+a cell the sketches are sorted by Gray rank, and the hierarchical index of ``simhash`` finds those that
+are near: groups whose shared bits differ in too many places are left out whole. That is a loose net: at
+similarity 0.8 a bit agrees with probability 0.85, so that one of 64 bands of 20 bits agrees with
+probability 0.91, and more often above. Inside each connected blob of the net the shingle sets
+themselves are compared, and only pairs at or above the similarity link.
 
 Each task gives a spanning forest of the links it finds, so that no group is listed in pairs. A cell
 or a blob that is too large for one task is dealt into parts that meet two at a time.
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.llm import local_links
+from trailmark.llm import local_links, simhash
 from trailmark.llm.components import connected_components
 from trailmark.llm.workers import map_batches, slices, stored
 
@@ -145,7 +147,10 @@ def _dealt(rows: DataFrame, key: str, parts: Column, spread: Column) -> DataFram
 
 
 def _sketch_links(batches):
-    """node pairs: a spanning forest of near sketches in each cell. Rows come sorted by cell and deal."""
+    """node pairs: a spanning forest of near sketches in each cell.
+
+    Rows come sorted by cell, deal and the Gray rank of the sketch.
+    """
     held: list[pa.RecordBatch] = []
 
     def linked(table: pa.Table) -> pa.RecordBatch:
@@ -153,17 +158,13 @@ def _sketch_links(batches):
             table.column(name).to_numpy() for name in ("cell", "deal", "node", "side", "s0", "s1")
         )
         group = np.cumsum(np.concatenate([[True], (cell[1:] != cell[:-1]) | (deal[1:] != deal[:-1])]))
-        labels, at, step = np.arange(len(cell)), np.arange(len(cell)), 0
-        while len(at):  # each row with the one ``step`` rows on, as long as that is in its cell
-            step += 1
-            at = at[at + step < len(cell)]
-            at = at[group[at] == group[at + step]]
-            on = at + step
-            differing = np.bitwise_count((s0[at] ^ s0[on]).view(np.uint64)).astype(np.int64)
-            differing += np.bitwise_count((s1[at] ^ s1[on]).view(np.uint64))
-            near = (differing <= SKETCH_BITS) & ((side[at] == 0) | (side[at] != side[on]))
-            if near.any():
-                labels = local_links.merge(labels, at[near], on[near])
+        labels = np.arange(len(cell))
+        met = np.flatnonzero(np.bincount(group)[group] > 1)  # most cells have one row
+        sketches = np.stack([s0[met], s1[met]]).view(np.uint64)
+        for i, j in simhash.close_pairs(sketches, SKETCH_BITS, group[met]):
+            i, j = met[i], met[j]
+            meets = (side[i] == 0) | (side[i] != side[j])
+            labels = local_links.merge(labels, i[meets], j[meets])
         moved = np.flatnonzero(labels != np.arange(len(cell)))
         ends = [pa.array(node[x]) for x in (moved, labels[moved])]
         return pa.RecordBatch.from_arrays(ends, ["a", "b"])
@@ -200,7 +201,13 @@ def loose_links(classes: DataFrame, band_bits: int, tables: int, cell_limit: int
         parts = F.ceil(F.col("n") / (cell_limit // 2))
         dealt = _dealt(cells.join(large, "cell"), "cell", parts, F.col("node"))
         entries = entries.unionByName(dealt.drop("n"))
-    in_cells = entries.repartition("cell", "deal").sortWithinPartitions("cell", "deal", "node")
+    first, second = simhash.gray_ranks(F.col("s0"), F.col("s1"))
+    in_cells = (
+        entries.repartition("cell", "deal")
+        .withColumns({"r0": first, "r1": second})
+        .sortWithinPartitions("cell", "deal", "r0", "r1")
+        .drop("r0", "r1")
+    )
     return map_batches(in_cells, _sketch_links, "a bigint, b bigint")
 
 

@@ -31,7 +31,7 @@ BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # (first bit from the
 INNER_WIDTH = 10  # of the bands inside a cell; the last takes what remains
 CELL_LIMIT = 2048
 LEAF, FANOUT = 32, 16
-LEAF_PAIRS = 512  # compared at a time
+PAIRS = 1 << 19  # compared at a time
 
 #: For each byte value, which of its eight bits are set.
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -82,11 +82,16 @@ def _rotated(code: Column, first: int) -> Column:
     return F.shiftleft(code, first).bitwiseOR(F.shiftrightunsigned(code, BITS - first))
 
 
-def _gray_rank(code: Column) -> Column:
-    """Where ``code`` comes when all codes are listed so that neighbours differ in one bit."""
-    for step in (1, 2, 4, 8, 16, 32):
-        code = code.bitwiseXOR(F.shiftrightunsigned(code, step))
-    return code
+def gray_ranks(*words: Column) -> list[Column]:
+    """Where a code (its words from the top) comes when all are listed so that neighbours differ in one bit."""
+    ranks: list[Column] = []
+    for rank in words:
+        for step in (1, 2, 4, 8, 16, 32):
+            rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, step))
+        if ranks:  # an odd number of bits above turns the order round
+            rank = rank.bitwiseXOR(F.negate(ranks[-1].bitwiseAND(F.lit(1).cast("bigint"))))
+        ranks.append(rank)
+    return ranks
 
 
 def _top_bits(code: Column, first: int, width: int) -> Column:
@@ -123,49 +128,80 @@ def _inner_cells(cells: DataFrame) -> DataFrame:
 
 
 class Nodes:
-    """Leaves or upper nodes over sorted codes: the bits all codes of a node share."""
+    """Leaves or upper nodes over sorted codes (words, codes): the bits all codes of a node share.
 
-    def __init__(self, all_set: np.ndarray, any_set: np.ndarray, size: int):
-        starts = np.arange(0, len(all_set), size)
-        self.all_set = np.bitwise_and.reduceat(all_set, starts)
-        self.any_set = np.bitwise_or.reduceat(any_set, starts)
+    A node has up to ``size`` neighbours of one group below it.
+    """
+
+    def __init__(self, all_set: np.ndarray, any_set: np.ndarray, group: np.ndarray, size: int):
+        opens = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        place = np.arange(len(group)) - np.repeat(opens, np.diff(np.append(opens, len(group))))
+        self.starts = np.flatnonzero(place % size == 0)
+        self.counts = np.diff(np.append(self.starts, len(group)))
+        self.group = group[self.starts]
+        self.all_set = np.bitwise_and.reduceat(all_set, self.starts, axis=1)
+        self.any_set = np.bitwise_or.reduceat(any_set, self.starts, axis=1)
         self.mask = ~(self.all_set ^ self.any_set)
 
 
-def _expand(pairs_a: np.ndarray, pairs_b: np.ndarray, size: int, total: int):
-    """All pairs of children (first <= second) of pairs of nodes with ``size`` children each."""
-    step = np.arange(size)
-    a = (pairs_a[:, None, None] * size + step[None, :, None]) + np.zeros((1, 1, size), dtype=np.int64)
-    b = (pairs_b[:, None, None] * size + step[None, None, :]) + np.zeros((1, size, 1), dtype=np.int64)
-    keep = (a < total) & (b < total) & (a <= b)
-    parent = np.broadcast_to(np.arange(len(pairs_a))[:, None, None], a.shape)
-    return a[keep], b[keep], parent[keep]
-
-
-def close_pairs(codes: np.ndarray, max_bits: int = MAX_BITS):
-    """(i, j) arrays, i < j, of all pairs of ``codes`` (sorted by Gray rank) within ``max_bits``."""
-    leaves = Nodes(codes, codes, LEAF)
-    upper = Nodes(leaves.all_set, leaves.any_set, FANOUT)
-    a, b = np.triu_indices(len(upper.mask))
-    shared = upper.mask[a] & upper.mask[b]
-    differing = np.bitwise_count((upper.all_set[a] ^ upper.all_set[b]) & shared)
-    near = differing <= max_bits
-    a, b, shared, differing = a[near], b[near], shared[near], differing[near]
-    for at in range(0, len(a), 64):
-        part = slice(at, at + 64)
-        left, right, parent = _expand(a[part], b[part], FANOUT, len(leaves.mask))
-        fresh = leaves.mask[left] & leaves.mask[right] & ~shared[part][parent]
-        total = differing[part][parent] + np.bitwise_count(
-            (leaves.all_set[left] ^ leaves.all_set[right]) & fresh
-        )
-        near = total <= max_bits
-        left, right = left[near], right[near]
-        for first in range(0, len(left), LEAF_PAIRS):
-            some = slice(first, first + LEAF_PAIRS)
-            i, j, _ = _expand(left[some], right[some], LEAF, len(codes))
-            near = (i < j) & (np.bitwise_count(codes[i] ^ codes[j]) <= max_bits)
-            if near.any():
-                yield i[near], j[near]
+def _bits(words: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(words).sum(axis=0, dtype=np.int64)
+
+
+def _pairs_of_group(group: np.ndarray):
+    """(a, b) arrays, a <= b, of all pairs of nodes of one group. Groups lie together."""
+    at = np.arange(len(group))
+    yield at, at
+    step = 0
+    while len(at):
+        step += 1
+        at = at[at + step < len(group)]
+        at = at[group[at] == group[at + step]]
+        yield at, at + step
+
+
+def _expand(nodes: Nodes, a: np.ndarray, b: np.ndarray):
+    """All pairs (first <= second) of what is below the pairs of nodes, each with its place in ``a``."""
+    many = nodes.counts[a] * nodes.counts[b]
+    part = np.cumsum(many) // PAIRS
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(a)]
+    for first, last in zip(cuts, cuts[1:]):
+        some = many[first:last]
+        parent = np.repeat(np.arange(first, last), some)
+        at = np.arange(len(parent)) - np.repeat(np.cumsum(some) - some, some)
+        row, column = np.divmod(at, np.repeat(nodes.counts[b[first:last]], some))
+        left, right = nodes.starts[a[parent]] + row, nodes.starts[b[parent]] + column
+        keep = left <= right
+        yield left[keep], right[keep], parent[keep]
+
+
+def close_pairs(codes: np.ndarray, max_bits: int = MAX_BITS, group: np.ndarray | None = None):
+    """(i, j) arrays, i < j, of all pairs of ``codes`` of one group within ``max_bits``.
+
+    ``codes`` is one row of 64-bit words, or several, (words, codes), for longer codes. They come sorted
+    by group and then by Gray rank; without ``group`` they are one. Each group has an index of its own.
+    """
+    codes = np.atleast_2d(codes)
+    if codes.shape[1] < 2:
+        return
+    group = np.zeros(codes.shape[1], dtype=np.int64) if group is None else group
+    leaves = Nodes(codes, codes, group, LEAF)
+    upper = Nodes(leaves.all_set, leaves.any_set, leaves.group, FANOUT)
+    for a, b in _pairs_of_group(upper.group):
+        shared = upper.mask[:, a] & upper.mask[:, b]
+        differing = _bits((upper.all_set[:, a] ^ upper.all_set[:, b]) & shared)
+        near = differing <= max_bits
+        a, b, shared, differing = a[near], b[near], shared[:, near], differing[near]
+        for left, right, parent in _expand(upper, a, b):
+            fresh = leaves.mask[:, left] & leaves.mask[:, right] & ~shared[:, parent]
+            total = differing[parent] + _bits((leaves.all_set[:, left] ^ leaves.all_set[:, right]) & fresh)
+            near = total <= max_bits
+            for i, j, _ in _expand(leaves, left[near], right[near]):
+                different = i < j
+                i, j = i[different], j[different]
+                near = _bits(codes[:, i] ^ codes[:, j]) <= max_bits
+                if near.any():
+                    yield i[near], j[near]
 
 
 def _linker(max_bits: int):
@@ -229,7 +265,7 @@ def links(codes: DataFrame, *, max_bits: int = MAX_BITS, cell_limit: int = CELL_
         if not still.isEmpty():
             entries = entries.unionAll(_dealt(inner, still, cell_limit))
     sorted_cells = (
-        entries.withColumn("rank", _gray_rank(F.col("turned")))
+        entries.withColumn("rank", *gray_ranks(F.col("turned")))
         .repartition("inner", "cell", "deal")
         .sortWithinPartitions("inner", "cell", "deal", "rank")
         .drop("rank")
